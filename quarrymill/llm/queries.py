@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, compression_quality, exact_dedup, sharding
+from quarrymill.llm import bpe, compression_quality, exact_dedup, line_dedup, sharding, toxic_crf, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,32 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_5
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+#: verdict, host, path
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: The block list of the query; a deployment passes its own table of hosts.
+LISTED_SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_HOSTS = [f"{site}.example.{zone}" for site in LISTED_SITES for zone in ("com", "net", "org")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string")
+    out = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_crf.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,12 +59,40 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_quality": op3_compression_quality,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxic_crf": op9_toxic_crf,
     "op10_sharding": op10_sharding,
 }
 
+_URL_PARTS = r"""
+    SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": r"""
+        WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        n AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
+        c AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM n WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+        w AS (SELECT doc_id, pos, s || chr(10) || lead(s) OVER d || chr(10) || lead(s, 2) OVER d AS window_text FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        later AS (SELECT doc_id, pos FROM w WHERE window_text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY window_text ORDER BY doc_id, pos) > 1),
+        gone AS (SELECT DISTINCT c.doc_id, c.i FROM later w JOIN c ON c.doc_id = w.doc_id AND c.pos BETWEEN w.pos AND w.pos + 2),
+        kept AS (SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.i) AS body FROM n ANTI JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id),
+        cut AS (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id)
+        SELECT l.doc_id, coalesce(len(lines), 0)::INT AS n_lines, coalesce(removed, 0)::INT AS n_removed, sha256(coalesce(body, '')) AS text_sha256
+        FROM l LEFT JOIN kept k ON k.doc_id = l.doc_id LEFT JOIN cut ON cut.doc_id = l.doc_id""",
+    "op5_url_filter": f"""
+        WITH p AS ({_URL_PARTS}),
+        r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{x}')" for v, h, x in URL_RULES)}) t(verdict, h, x)),
+        fit AS (SELECT page_id, max_by(h || x, length(h || x)) AS rule, max_by(verdict, length(h || x)) AS verdict
+                FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x) GROUP BY page_id),
+        listed AS (SELECT unnest([{", ".join(f"'{h}'" for h in LISTED_HOSTS)}]) AS h),
+        hit AS (SELECT DISTINCT page_id FROM p JOIN listed ON host = h OR ends_with(host, '.' || h))
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN hit.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM p LEFT JOIN fit USING (page_id) LEFT JOIN hit USING (page_id)""",
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS body FROM documents)
         SELECT doc_id, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
