@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, compression_quality, exact_dedup, line_dedup, sharding, toxic_crf, url_filter
+from quarrymill.llm import bpe, compression_quality, exact_dedup, line_dedup, posting_lists, sharding, toxic_crf, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_posting_lists": op2_posting_lists,
     "op3_compression_quality": op3_compression_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
