@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, compression_quality, exact_dedup, line_dedup, posting_lists, sharding, toxic_crf, url_filter
+from quarrymill.llm import bpe, compression_quality, exact_dedup, line_dedup, mixing, posting_lists, sharding, toxic_crf, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target shares of tokens by language and quality label; domains that aren't named get none.
+MIXING_TARGETS = {"en:1": 0.46, "fr:1": 0.16, "de:1": 0.16, "es:1": 0.14, "en:0": 0.02, "fr:0": 0.02, "de:0": 0.02, "es:0": 0.02}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = documents.select("doc_id", "text", "lang").join(labels.select("doc_id", "quality"), "doc_id").withColumn("domain", F.concat_ws(":", "lang", F.col("quality").cast("string")))
+    fit = mixing.fit_rates(documents, mixing.fit_domains(labelled), MIXING_TARGETS)
+    top = F.array_position("p", F.array_max("p")).cast("int")
+    return fit.rates.select("doc_id", "tokens", "rate", F.get(F.array(*[F.lit(n) for n in fit.domains]), top - 1).alias("domain"), F.array_max("p").alias("posterior"), mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_lists.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -62,6 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_posting_lists": op2_posting_lists,
     "op3_compression_quality": op3_compression_quality,
     "op4_line_dedup": op4_line_dedup,
