@@ -126,15 +126,31 @@ def possibly_repeated(rows: DataFrame, scratch: Scratch, max_filter_bytes: int =
 
 def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 64 << 20) -> DataFrame:
     """A row per row of ``documents``: its id, keep_id, group_size, kept and text_sha256 (see the module)."""
+    return _settled(documents, id_col, text_col, max_filter_bytes).drop("raw")
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, with all their columns, that stay."""
+    verdict = _settled(documents, id_col, text_col).groupBy(F.col("doc_id").alias("_ed_id"), F.col("raw").alias("_ed_raw")).agg(F.max("kept").alias("_ed_kept"), F.count(F.lit(1)).alias("_ed_rows"))
+    verdict = Scratch(documents.sparkSession, "exact-dedup").keep(verdict.filter("not _ed_kept or _ed_rows > 1"), "verdict")
+    here = F.col(id_col).eqNullSafe(F.col("_ed_id")) & (F.xxhash64(text_col) == F.col("_ed_raw"))
+    out = documents.join(verdict, here, "left_anti")
+    alike = verdict.filter("_ed_kept")  # the row that stays, and others that are the same in id and text
+    if alike.limit(1).count():
+        out = out.unionByName(documents.join(alike, here, "left_semi").dropDuplicates([id_col, text_col]))
+    return out
+
+
+def _settled(documents: DataFrame, id_col: str, text_col: str, max_filter_bytes: int = 64 << 20) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "exact-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("points"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("sha"))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("points"), F.xxhash64(text_col).alias("raw"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("sha"))
     rows = scratch.keep(rows.withColumn("h", F.xxhash64("sha")).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     tested = possibly_repeated(rows, scratch, max_filter_bytes)
     scratch.drop("fingerprints")
     maybe, alone = tested.filter("hit = 2"), tested.filter("hit < 2")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))).alias("best")
     groups = maybe.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size"))
-    settled = maybe.join(groups, "sha").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha")
-    passed = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    return settled.unionByName(passed).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    settled = maybe.join(groups, "sha").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha", "raw")
+    passed = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "raw")
+    return settled.unionByName(passed).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "raw")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, compression_quality, exact_dedup, line_dedup, mixing, posting_lists, sharding, toxic_crf, url_filter
+from quarrymill.llm import bpe, compression_quality, exact_dedup, jaccard_join, line_dedup, mixing, posting_lists, sharding, toxic_crf, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxic_crf": op9_toxic_crf,
     "op10_sharding": op10_sharding,
@@ -102,6 +107,14 @@ ORACLE_SQL: dict[str, str] = {
         cut AS (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id)
         SELECT l.doc_id, coalesce(len(lines), 0)::INT AS n_lines, coalesce(removed, 0)::INT AS n_removed, sha256(coalesce(body, '')) AS text_sha256
         FROM l LEFT JOIN kept k ON k.doc_id = l.doc_id LEFT JOIN cut ON cut.doc_id = l.doc_id""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+        r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, b.y FROM r JOIN both_ways b ON b.x = r.y)
+        SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, len(sh)""",
     "op5_url_filter": f"""
         WITH p AS ({_URL_PARTS}),
         r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{x}')" for v, h, x in URL_RULES)}) t(verdict, h, x)),

@@ -333,6 +333,23 @@ def tag_toxicity(documents: DataFrame, model: ToxicModel, id_col: str = "doc_id"
     return rows.mapInArrow(run, "doc_id long, score double" + ", spans array<struct<start: int, end: int, probability: double>>" * with_spans)
 
 
+def drop_toxic(documents: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, with all their columns, whose score is below the threshold; nothing is shuffled."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(at)):
+                starts, ends, first = words(data, offsets, IS_BREAK)
+                c, _ = chains(m.lexicon, data, starts, ends, first)
+                score = logistic(document_features(marginals(m.weights, c), c.first), m.curve)
+                yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model that never saw the rows of fold 0 of 5."""
     model = fit(documents, labels, keep=fold(F.col("doc_id"), 5) != 0)
