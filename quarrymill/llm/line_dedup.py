@@ -35,31 +35,34 @@ def _counted(lines: Column) -> Column:
     return F.filter(stripped, lambda x: x["s"] != "")
 
 
-def _windows(counted: Column) -> Column:
-    """(position, two hashes) of each window."""
-    hashed = F.transform(counted, lambda x: F.struct(F.xxhash64(x["s"]).alias("a"), F.xxhash64(F.lit(1), x["s"]).alias("b")))
-    starts = F.when(F.size(counted) >= WIDTH, F.sequence(F.lit(0), F.size(counted) - WIDTH)).otherwise(F.array().cast("array<int>"))
-    of = lambda side: lambda p: F.xxhash64(*[F.get(hashed, p + k)[side] for k in range(WIDTH)])
-    return F.transform(starts, lambda p: F.struct(p.alias("pos"), of("a")(p).alias("a"), of("b")(p).alias("b")))
+def _windows(hashed: Column) -> Column:
+    """(position, its lines' indices, two hashes) of each window, from the column of (index, two hashes) of counted lines.
+
+    Shifted copies are zipped; a lambda that reached into the whole array would evaluate it for every element.
+    """
+    pairs = F.zip_with(hashed, F.slice(hashed, 2, F.size(hashed)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    triples = F.zip_with(pairs, F.slice(hashed, WIDTH, F.size(hashed)), lambda p, z: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.alias("z")))
+    whole = F.filter(triples, lambda t: t["z"].isNotNull())
+    side = lambda t, k: F.xxhash64(t["x"][k], t["y"][k], t["z"][k])
+    return F.transform(whole, lambda t, i: F.struct(i.alias("pos"), F.array(t["x"]["i"], t["y"]["i"], t["z"]["i"]).alias("lines"), side(t, "a").alias("a"), side(t, "b").alias("b")))
 
 
 def remove_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with the text cut, and ``_ld_lines`` and ``_ld_removed``: numbers of lines before, and removed."""
     scratch = Scratch(documents.sparkSession, "line-dedup")
     text = F.col(text_col)
-    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), _windows(_counted(_lines(text))).alias("w"))
-    windows = scratch.keep(rows.select("id", "h", F.inline("w")), "windows")
+    hashed = F.transform(_counted(_lines(text)), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("a"), F.xxhash64(F.lit(1), x["s"]).alias("b")))
+    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), hashed.alias("hashed")).filter(F.size("hashed") >= WIDTH)
+    windows = scratch.keep(rows.select("id", "h", F.inline(_windows(F.col("hashed")))), "windows")
     at = F.struct("id", "h", "pos")
     repeated = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).filter("n > 1").select("a", "b", "first")
-    later = windows.join(repeated, ["a", "b"]).filter(at > F.col("first"))
-    covered = later.groupBy(F.col("id").alias("_ld_id"), F.col("h").alias("_ld_h")).agg(F.array_sort(F.collect_set("pos")).alias("_ld_pos"))  # a document's own positions
+    later = windows.join(repeated, ["a", "b"]).filter(at > F.col("first")).select(F.col("id").alias("_ld_id"), F.col("h").alias("_ld_h"), F.explode("lines").alias("line"))
+    covered = later.groupBy("_ld_id", "_ld_h").agg(F.collect_set("line").alias("_ld_gone"))  # a document's own lines
     met = documents.withColumn("_ld_key", F.xxhash64(text)).join(covered, F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.col("_ld_key") == F.col("_ld_h")), "left")
-    lines = _lines(text)
-    met = met.withColumn("_ld_lines", F.when(text.isNull(), 0).otherwise(F.size(lines)))
-    counted = _counted(lines)
-    gone = F.array_distinct(F.flatten(F.transform("_ld_pos", lambda p: F.transform(F.sequence(p, p + (WIDTH - 1)), lambda q: F.get(counted, q)["i"]))))
-    met = met.withColumn("_ld_gone", F.when(F.col("_ld_pos").isNotNull(), gone))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_gone"))
-    cut = F.when(F.col("_ld_gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = met.withColumn("_ld_text", cut).withColumn("_ld_removed", F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_gone")))
-    return out.select(*[F.col("_ld_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns], "_ld_lines", "_ld_removed")
+    # The lines are a column of their own, so that they are cut once and looked up in place.
+    met = met.withColumn("_ld_all", _lines(text))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_ld_all") - 1), F.col("_ld_gone"))
+    cut = F.when(F.col("_ld_gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_ld_all"), i)), "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size("_ld_all")).alias("_ld_lines")
+    removed = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_gone")).alias("_ld_removed")
+    return met.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns], n_lines, removed)
