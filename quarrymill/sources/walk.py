@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quarrymill.functions import text as T
 
@@ -62,7 +63,7 @@ def with_language(files: DataFrame, path: str = "path", extra: list[tuple[str, s
     return out.withColumns({"language": F.coalesce("language", F.lit("unknown")), "kind": F.coalesce("kind", F.lit("other"))})
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _looks_binary(head: pd.Series) -> pd.Series:
     plain = bytes({7, 8, 9, 10, 12, 13, 27} | set(range(0x20, 0x100)))
 
