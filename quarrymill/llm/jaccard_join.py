@@ -4,7 +4,7 @@ Documents with equal sets are one class from the start. A set's prefix in a glob
 shingle with that of every set it can link to, so an index from prefix shingles to sets holds all candidates. Three
 kinds of set relation then replace the comparison of all pairs in a list:
 
-1. Each list has a pivot, its smallest set by hash. A set is first compared with the pivot that it shares most lists
+1. Each list has a pivot, its set with the largest share of shingles in lists. A set is first compared with the pivot that it shares most lists
    with; lists whose sets are then known to be connected need nothing more.
 2. In the other lists, sets are compared with the lists' own pivots. From |x & p| and |y & p| follow bounds for a pair,
    |x & y| <= min(|x & p| + |y - p|, |y & p| + |x - p|), so answers for y come from those of a similar set.
@@ -35,11 +35,15 @@ from pyspark.sql import functions as F
 from quarrymill.llm.scratch import Scratch
 from quarrymill.llm.text_kernel import U64, distinct_by_row, mixed, shingles, slices, word_hashes, words
 
-#: Shingles that a task counts, or index entries that it holds, before it sends them on.
+#: Shingles or index entries that a task holds before it sends them on.
 FLUSH = 1 << 21
-#: Least count of a shingle in the order table, and its most entries.
-FREQUENT, MOST_FREQUENT = 8, 1 << 20
+#: Least number of sets of a shingle in the order table, and its most entries.
+FREQUENT, MOST_FREQUENT = 4, 1 << 21
+#: Hashes below are counted: prefixes take a quarter of a set by hash, and a little more where frequent ones give way.
+LOW = U64(int(0.35 * 2**64))
 ENTRIES_PER_SEGMENT = 1 << 21
+#: Ids that are sent to every task to pick texts; with more, texts and ids meet in a shuffle.
+MOST_SENT = 1 << 20
 
 
 def linked(inter, n, m) -> Column:
@@ -84,29 +88,55 @@ class Seen:
 
 
 def _describe(width: int):
-    """mapInArrow over (doc_id, text): a row per document, and rows of shingles that this task met in several sets."""
-    names = ["doc_id", "n", "a", "b", "shingle", "sets"]
+    """mapInArrow over (doc_id, text, hash of the text): a row per document with the size and the hashes of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, first, _, h in sets_of(batch.column(1), width):
+                a, b = signatures(h, first)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(first).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column(2)[lo:hi]], ["doc_id", "n", "a", "b", "th"])
+
+    return run
 
-    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, count = np.unique(np.concatenate(held), return_counts=True)
-        h, count = h[count > 1], count[count > 1]
-        none = pa.nulls(len(h), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))], names)
+
+def _brief(h: np.ndarray) -> np.ndarray:
+    """Forty bits of a shingle's hash, by which its frequency is kept; that some share them shifts the order only."""
+    return mixed(h) >> U64(24)
+
+
+def _low(segment_bits: int, width: int):
+    """mapInArrow over (text): the shingles with low hashes, where prefixes come from, of sets new to this task, packed."""
+    within = U64(40 - segment_bits)
+
+    def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        brief = np.sort(np.concatenate(held))
+        name, first = np.unique(brief >> within, return_index=True)
+        t = (brief & ((U64(1) << within) - U64(1))).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array([t[i:j].tobytes() for i, j in zip(first, [*first[1:], len(t)], strict=True)], pa.binary())], ["segment", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = Seen(), [], 0
         for batch in batches:
-            for lo, hi, first, row, h in sets_of(batch.column(1), width):
-                a, b = signatures(h, first)
-                none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(first).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none], names)
-                held.append(h[seen.fresh(a)[row]])
+            for _, _, first, row, h in sets_of(batch.column(0), width):
+                a, _ = signatures(h, first)
+                held.append(_brief(h[seen.fresh(a)[row] & (h < LOW)]))
                 size += len(held[-1])
                 if size >= FLUSH:
-                    yield from counted(held)
+                    yield from pack(held)
                     held, size = [], 0
         if size:
-            yield from counted(held)
+            yield from pack(held)
+
+    return run
+
+
+def _frequent(segment_bits: int):
+    """A segment's shingles to those of ``FREQUENT`` sets or more."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, count = np.unique(np.frombuffer(b"".join(pdf["t"]), "<u4"), return_counts=True)
+        hit = count >= FREQUENT
+        return pd.DataFrame({"brief": (int(pdf["segment"].iloc[0]) << (40 - segment_bits)) + t[hit].astype(np.int64), "sets": count[hit].astype(np.int64)})
 
     return run
 
@@ -135,8 +165,9 @@ def _index(order, segment_bits: int, width: int):
                 row, h = row[new], h[new]
                 rank = np.zeros(len(h), np.int64)
                 if len(frequent) and len(h):
-                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    hit = frequent[at] == h
+                    brief = _brief(h)
+                    at = np.minimum(np.searchsorted(frequent, brief), len(frequent) - 1)
+                    hit = frequent[at] == brief
                     rank[hit] = place[at[hit]]
                 by = np.lexsort((h, rank, row))
                 row, h = row[by], h[by]
@@ -166,14 +197,14 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     t, a, n = t[new], a[new], n[new]
     _, first, size = np.unique(t, return_index=True, return_counts=True)
     first, size = first[size > 1], size[size > 1]
-    columns = {"list": np.zeros(0, np.int64), "pivot": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "w": np.zeros(0, np.int32)}
+    columns = {"list": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "w": np.zeros(0, np.int32)}
     if len(first):
         total = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(a))])
         _, one, w = np.unique(total[first + size] - total[first], return_index=True, return_counts=True)
         first, size = first[one], size[one]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
         name = (int(pdf["segment"].iloc[0]) << 32) + t[first].astype(np.int64)
-        columns = {"list": np.repeat(name, size), "pivot": np.repeat(a[first].view(np.int64), size), "a": a[at].view(np.int64), "n": n[at].astype(np.int32), "w": np.repeat(w, size).astype(np.int32)}
+        columns = {"list": np.repeat(name, size), "a": a[at].view(np.int64), "n": n[at].astype(np.int32), "w": np.repeat(w, size).astype(np.int32)}
     return pd.DataFrame(columns)
 
 
@@ -226,25 +257,34 @@ def near_duplicates(documents: DataFrame, width: int = 5, id_col: str = "doc_id"
     """doc_id, n_shingles and component_id of every row."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard-join")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.keep(docs.mapInArrow(_describe(width), "doc_id long, n long, a long, b long, shingle long, sets long"), "rows")
-
-    # The order: rare shingles by hash, then the bounded table of frequent ones by count.
-    often = rows.filter("sets is not null").groupBy("shingle").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= FREQUENT).orderBy(F.desc("sets"), "shingle").limit(MOST_FREQUENT).toArrow()
-    h = often.column("shingle").to_numpy().view(U64)
-    by = np.argsort(h)
-    order = spark.sparkContext.broadcast((h[by], (len(h) - np.arange(len(h)))[by]))  # MOST_FREQUENT entries of 16 bytes
-
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    rows = scratch.keep(docs.mapInArrow(_describe(width), "doc_id long, n long, a long, b long, th long"), "rows")
     sets = rows.filter("n > 0 and doc_id is not null")
-    classes = scratch.keep(sets.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.keep(sets.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep")), "classes")
     entries = classes.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0)).alias("e")).first().e
-    bits = max(3, int(np.ceil(np.log2(max(1, entries) / ENTRIES_PER_SEGMENT))))
-    packed = docs.filter("doc_id is not null").select("text").mapInArrow(_index(order, bits, width), "segment long, t binary, a binary, n binary")
-    lists = scratch.keep(packed.groupBy("segment").applyInPandas(_lists, "list long, pivot long, a long, n int, w int"), "lists")
+    bits = max(8, int(np.ceil(np.log2(max(1, entries) / ENTRIES_PER_SEGMENT))))
+    texts_only = docs.filter("doc_id is not null").select("text")
+
+    # The order: shingles of few sets by hash, then the bounded table of frequent ones by count.
+    counted = texts_only.mapInArrow(_low(bits, width), "segment long, t binary").groupBy("segment").applyInPandas(_frequent(bits), "brief long, sets long")
+    often = counted.orderBy(F.desc("sets"), "brief").limit(MOST_FREQUENT).toArrow()
+    brief = often.column("brief").to_numpy().view(U64)
+    by = np.argsort(brief)
+    order = spark.sparkContext.broadcast((brief[by], (len(brief) - np.arange(len(brief)))[by]))  # MOST_FREQUENT entries of 16 bytes
+
+    packed = texts_only.mapInArrow(_index(order, bits, width), "segment long, t binary, a binary, n binary")
+    lists = scratch.keep(packed.groupBy("segment").applyInPandas(_lists, "list long, a long, n int, w int"), "plain-lists")
+    # A list's pivot is its set with the largest share of shingles in lists: edits leave a set with shingles of its own.
+    shares = lists.groupBy("a").agg((F.sum("w") / F.max("n")).alias("share"))
+    pivots = lists.select("list", "a").join(shares, "a").groupBy("list").agg(F.max_by("a", F.struct("share", "a")).alias("pivot"))
+    lists = scratch.keep(lists.join(pivots, "list"), "lists")
+    scratch.drop("plain-lists")
 
     # The texts of all sets that are in a list, one for each.
-    listed = lists.select("a").distinct().join(classes, "a").select("a", F.col("rep").alias("doc_id"))
-    texts = scratch.keep(docs.join(listed, "doc_id").dropDuplicates(["a"]).select("a", "text"), "texts")
+    listed = lists.select("a").distinct().join(classes, "a").select("a", "rep.doc_id", "rep.th")
+    listed = scratch.keep(listed, "listed")
+    few = F.broadcast(listed) if listed.count() <= MOST_SENT else listed  # 24 bytes each
+    texts = scratch.keep(docs.join(few, ["doc_id", "th"]).dropDuplicates(["a"]).select("a", "text"), "texts")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
         """Exact overlaps of pairs (x, y, n, m), written."""
@@ -264,7 +304,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, id_col: str = "doc_id"
     best = shared.groupBy("a", "n").agg(F.max_by("pivot", F.struct("w", "pivot")).alias("pivot"))
     compared = [compare(with_pivots(best), "compared-1")]
     links = [compared[0].filter(linked(F.col("inter"), F.col("n"), F.col("m"))).select("x", "y")]
-    known = components(links[0], scratch, "known-1")
+    # Every set has one link here at most, to its pivot, and takes over the pivot's own; that is enough to tell connected
+    # sets, and costs no loop.
+    star = scratch.keep(links[0].select(F.col("x").alias("v"), F.col("y").alias("c")), "star")
+    known = star.join(star.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
 
     # 2. Lists over several components: their sets with their own pivots.
     def open_lists(of: DataFrame, label: DataFrame) -> DataFrame:
@@ -300,9 +343,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, id_col: str = "doc_id"
 
     # From sets to documents: the smallest id of a set, and of all sets of its component.
     named = classes.join(label.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
-    smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    smallest = named.groupBy("c").agg(F.min("rep.doc_id").alias("component_id"))
     by_set = named.join(smallest, "c").select("a", "b", "component_id")
-    described = rows.filter("sets is null")
-    out = described.join(by_set, ["a", "b"], "left")
+    out = rows.join(by_set, ["a", "b"], "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
