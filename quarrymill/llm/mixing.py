@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.scratch import Scratch
@@ -76,13 +76,19 @@ def histograms(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit_domains(labelled: DataFrame, per_domain: int = 300, max_bytes: int = 1 << 16, steps: int = 150, ridge: float = 1e-4) -> DomainModel:
-    """Softmax regression on up to ``per_domain`` rows (doc_id, text, domain) a domain, the first by a hash of the id."""
-    rows = labelled.filter(F.col("domain").isNotNull() & (F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes)).select(F.xxhash64("doc_id").alias("h"), "doc_id", "domain", F.coalesce("text", F.lit("")).alias("text"))
-    names = sorted(r.domain for r in rows.select("domain").distinct().collect())  # the domains that are to be weighted
-    sample = []
-    for name in names:
-        sample += rows.filter(F.col("domain") == name).orderBy("h", "doc_id").limit(per_domain).collect()
+def fit_domains(documents: DataFrame, labelled: DataFrame, per_domain: int = 300, max_bytes: int = 1 << 16, steps: int = 150, ridge: float = 1e-4) -> DomainModel:
+    """Softmax regression on up to ``per_domain`` labelled rows (doc_id, domain) a domain, the first by a hash of the id.
+
+    Ids are chosen before any text moves: only the chosen rows' texts leave their tasks.
+    """
+    sized = documents.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("_bytes"))
+    known = labelled.select("doc_id", "domain").filter("doc_id IS NOT NULL AND domain IS NOT NULL").distinct()
+    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.join(sized.filter(F.col("_bytes") <= max_bytes), "doc_id").select("doc_id", "domain").distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_domain)
+    chosen = documents.sparkSession.createDataFrame([tuple(r) for r in ids.select("doc_id", "domain").collect()], "doc_id long, domain string")  # per_domain a domain
+    text = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
+    sample = sorted(text.join(F.broadcast(chosen), "doc_id").select("domain", "doc_id", "text").collect())
+    names = sorted({r.domain for r in sample})
     if not sample:
         return DomainModel(["all"], np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
     x = histograms([r.text.encode() for r in sample])

@@ -20,8 +20,8 @@ MIXING_TARGETS = {"en:1": 0.46, "fr:1": 0.16, "de:1": 0.16, "es:1": 0.14, "en:0"
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = documents.select("doc_id", "text", "lang").join(labels.select("doc_id", "quality"), "doc_id").withColumn("domain", F.concat_ws(":", "lang", F.col("quality").cast("string")))
-    fit = mixing.fit_rates(documents, mixing.fit_domains(labelled), MIXING_TARGETS)
+    labelled = documents.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id").withColumn("domain", F.concat_ws(":", "lang", F.col("quality").cast("string")))
+    fit = mixing.fit_rates(documents, mixing.fit_domains(documents, labelled), MIXING_TARGETS)
     top = F.array_position("p", F.array_max("p")).cast("int")
     return fit.rates.select("doc_id", "tokens", "rate", F.get(F.array(*[F.lit(n) for n in fit.domains]), top - 1).alias("domain"), F.array_max("p").alias("posterior"), mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 

@@ -38,12 +38,12 @@ def test_rates_reach_the_targets(spark):
     texts = ["alpha beta gamma " * 5] * 30 + ["un deux trois quatre " * 3] * 10 + [None, ""]
     d = docs(spark, texts)
     labelled = d.filter("text <> ''").withColumn("domain", F.when(F.contains("text", F.lit("alpha")), "en").otherwise("fr"))
-    fit = mixing.fit_rates(d, mixing.fit_domains(labelled), {"en": 0.5, "fr": 0.5})
+    fit = mixing.fit_rates(d, mixing.fit_domains(d, labelled), {"en": 0.5, "fr": 0.5})
     got = fit.rates.toPandas()
     assert len(got) == len(texts) and (got.rate >= 0).all()
     share = sum(r.rate * r.tokens * r.p[0] for r in got.itertuples()) / sum(r.rate * r.tokens for r in got.itertuples())
     assert share == pytest.approx(0.5, abs=0.01)
-    floor = mixing.fit_rates(d, mixing.fit_domains(labelled), temper=0.5, floor=1.0)
+    floor = mixing.fit_rates(d, mixing.fit_domains(d, labelled), temper=0.5, floor=1.0)
     assert floor.rates.filter("rate < 1").count() == 0
 
 
@@ -59,7 +59,7 @@ def test_projected_gradient_is_the_constrained_optimum():
 
 def test_mixing_of_nothing(spark):
     d = docs(spark, [])
-    fit = mixing.fit_rates(d, mixing.fit_domains(d.withColumn("domain", F.col("lang"))))
+    fit = mixing.fit_rates(d, mixing.fit_domains(d, d.withColumn("domain", F.col("lang"))))
     assert fit.rates.count() == 0
 
 
