@@ -35,8 +35,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its rate says, never less than once: languages move to their shares to the power 0.7."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
-    fit = mixing.fit_rates(docs, mixing.fit_domains(labelled), temper=0.7, floor=1.0)
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    fit = mixing.fit_rates(docs, mixing.fit_domains(docs, labelled), temper=0.7, floor=1.0)
     more = fit.rates.select("doc_id", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies")).filter("copies > 1").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     # Rows that are read once pass straight through; the others get the rest of their copies by a join.
     again = docs.join(more, "doc_id").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies") - 1)))
