@@ -26,7 +26,8 @@ def find(documents: DataFrame, points: DataFrame | None, queries: DataFrame, con
         mode = "hybrid_search"
     else:
         hits, mode = sparse, "sparse_only"
-    asked = queries.select("query_id", ranking.intent(F.col("text"))["intent"].alias("intent"))
+    # Aggregated, so that the long expression for the intent is evaluated once a query and not pasted into each use.
+    asked = queries.groupBy("query_id").agg(F.first(ranking.intent(F.col("text"))["intent"]).alias("intent"))
     rows = hits.drop("rank").join(asked, "query_id")
     if "class" in kept.columns:
         classes = ranking.classes(documents.sparkSession)

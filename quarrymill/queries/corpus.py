@@ -226,10 +226,10 @@ def _(spark, d):
     return load(spark, d, "embeddings").select("vec_id", (F.size("embedding") == 64).alias("fits"), near["x"].alias("resolved"))
 
 
-@query("st_windowed_events", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+@query("st_windowed_events", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def _(spark, d):
     e = load(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
-    return stream.windowed(e, "ts", "1 hour", "6 hours", "event_type", "value").select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 4).alias("mean"))
+    return stream.windowed(e, "ts", "1 hour", "6 hours", "event_type", "value").select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("st_sessions", """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events)) GROUP BY user_id, s""")

@@ -31,10 +31,10 @@ def _(spark, d):
     return t.select(F.coalesce("event_type", F.lit("*")).alias("component"), "n", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "least", "most")
 
 
-@query("a2_timing_summary", "SELECT user_id, " + ", ".join(f"coalesce(round(avg(value) FILTER (event_type = '{k}'), 2), 0.0) AS {k}_mean" for k in _LIST) + " FROM events GROUP BY user_id")
+@query("a2_timing_summary", "SELECT user_id, " + ", ".join(f"coalesce(round(sum(value) FILTER (event_type = '{k}'), 2), 0.0) AS {k}_total" for k in _LIST) + " FROM events GROUP BY user_id")
 def _(spark, d):
-    means = [F.coalesce(F.round(F.avg(F.when(c("event_type") == k, c("value"))), 2), F.lit(0.0)).alias(f"{k}_mean") for k in _LIST]
-    return load(spark, d, "events").groupBy("user_id").agg(*means)
+    totals = [F.coalesce(F.round(F.sum(F.when(c("event_type") == k, c("value"))), 2), F.lit(0.0)).alias(f"{k}_total") for k in _LIST]
+    return load(spark, d, "events").groupBy("user_id").agg(*totals)
 
 
 @query("a3_counters", "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS \"{k}\"" for k in _LIST) + " FROM events GROUP BY user_id")

@@ -44,10 +44,10 @@ def deduplicated(stream: DataFrame, key: list[str], time: str, late: str) -> Dat
 
 
 def windowed(events: DataFrame, time: str, late: str, width: str, by: str, value: str) -> DataFrame:
-    """Counts and means by window and class, in batch or with a watermark."""
+    """Counts, totals and means by window and class, in batch or with a watermark."""
     if events.isStreaming:
         events = events.withWatermark(time, late)
-    return events.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), by, "n", "mean")
+    return events.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), by, "n", "total", "mean")
 
 
 def sessions(events: DataFrame, time: str, late: str, gap: str, by: str) -> DataFrame:
