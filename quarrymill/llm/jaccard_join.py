@@ -8,7 +8,7 @@ kinds of set relation then replace the comparison of all pairs in a list:
    with; lists whose sets are then known to be connected need nothing more.
 2. In the other lists, sets are compared with the lists' own pivots. From |x & p| and |y & p| follow bounds for a pair,
    |x & y| <= min(|x & p| + |y - p|, |y & p| + |x - p|), so answers for y come from those of a similar set.
-3. The sets of a list that are in one component and alike in size and overlap form a block, and whole pairs of blocks are
+3. The sets of a pivot's lists that are in one component and alike in size and overlap form a block, and whole pairs of blocks are
    skipped if their bound or their sizes rule out a link. Only members of the surviving blocks are compared, exactly.
 
 Nothing is cut off: a pair sharing a prefix shingle is compared, connected already, or ruled out by an exact bound.
@@ -39,7 +39,7 @@ from quarrymill.llm.text_kernel import U64, distinct_by_row, mixed, shingles, sl
 FLUSH = 1 << 21
 #: Least number of sets of a shingle in the order table, and its most entries.
 FREQUENT, MOST_FREQUENT = 4, 1 << 21
-#: Hashes below are counted: prefixes take a quarter of a set by hash, and a little more where frequent ones give way.
+#: Hashes below are counted and stand first in the order; prefixes take a quarter of a set and seldom reach beyond.
 LOW = U64(int(0.35 * 2**64))
 ENTRIES_PER_SEGMENT = 1 << 21
 #: Ids that are sent to every task to pick texts; with more, texts and ids meet in a shuffle.
@@ -163,7 +163,8 @@ def _index(order, segment_bits: int, width: int):
                 a, _ = signatures(h, first)
                 new = seen.fresh(a)[row]
                 row, h = row[new], h[new]
-                rank = np.zeros(len(h), np.int64)
+                # Few sets' shingles, then frequent ones by count, then the hashes that weren't counted.
+                rank = np.where(h < LOW, 0, MOST_FREQUENT + 1)
                 if len(frequent) and len(h):
                     brief = _brief(h)
                     at = np.minimum(np.searchsorted(frequent, brief), len(frequent) - 1)
@@ -323,7 +324,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, id_col: str = "doc_id"
 
     # 3. Blocks of sets of one component that are alike in size and overlap with the pivot.
     overlap = compared[0].union(compared[1]).select(F.col("x").alias("a"), F.col("y").alias("pivot"), F.col("inter").alias("o"))
-    still = open_lists(left.drop("c"), known).join(overlap, ["a", "pivot"], "left")
+    # Lists with one pivot are taken together, so that each pair comes up once.
+    still = open_lists(left.drop("c"), known).select(F.col("pivot").alias("list"), "pivot", "a", "n", "c").distinct().join(overlap, ["a", "pivot"], "left")
     # Without a comparison (sizes too different) the overlap is unknown, -1.
     still = still.select("list", "a", "c", "n", F.when(F.col("a") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))).cast("int").alias("o"))
     still = scratch.keep(still, "open-2")
