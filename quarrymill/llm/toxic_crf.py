@@ -10,8 +10,11 @@ form; forward and backward sums then run over tokens with evidence only, for all
 still give the marginals of the whole chain. A document's score comes from its largest marginal and from their sum by a
 logistic curve. Spans are maximal runs of neighbouring toxic tokens, with offsets in characters.
 
-Fitting: evidence counts cover all labelled rows that may be used; the strongest ``lexicon`` entries and a sample of
-``per_class`` rows a class fit the weights. Scoring reads whole texts in one pass and shuffles nothing.
+Fitting: evidence counts cover all labelled rows that may be used. An entry needs two toxic documents, and counts that
+chance seldom gives: the bound is the least at which no more than ``FALSE_SHARE`` of the entries are expected by chance
+among all features of these very rows, so small groups of rows have entries too; where no bound will do, the strongest
+stay. Up to ``lexicon`` entries, and ``chain_rows`` rows a class of ``max_bytes`` at most, fit the weights; each of
+these rows is seen without its own part in the counts. Scoring reads whole texts in one pass and shuffles nothing.
 
 Defined results: null and empty texts, and texts without a token of evidence, get the curve's value for marginals of 0.
 Without labelled rows of both classes the lexicon is empty and all scores are one constant. Repeated rows are scored
@@ -29,13 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.folds import fit_logistic, fold, logistic, sample_labelled
+from quarrymill.llm.scratch import Scratch
 from quarrymill.llm.text_kernel import IS_BREAK, U64, distinct_by_row, mixed, slices, word_hashes, words
 
 #: Bytes of the beginnings and ends that count as features beside the word.
 AFFIXES = (4, 5, 6, 7, 8, 9)
-#: Least evidence of a lexicon entry, and the least logarithm of how much likelier its counts are than by chance; that
-#: many features are tried that lesser ones do occur by chance.
-MIN_EVIDENCE, MIN_SURPRISE = 1.5, 14.0
+#: Least evidence and least toxic documents of a lexicon entry.
+MIN_EVIDENCE, MIN_TOXIC = 1.5, 2
+#: Share of entries that chance may give; the bounds tried for it, as logarithms of how much likelier counts are than by
+#: chance; and the number of documents from which an upper bound of the chance is taken.
+FALSE_SHARE, BOUNDS, COUNTED = 0.1, np.arange(3.0, 14.5, 0.5), 200
+#: Labelled ids that are sent to every task at once.
+LABEL_BLOCK = 2_000_000
 #: Labelled toxic from here on; and the longest gap that belongs to a labelled span.
 CLEAR_EVIDENCE, SPAN_GAP = 2.5, 1
 #: Nearer tokens with evidence than this share a span if the chain is toxic at both.
@@ -255,33 +263,96 @@ def _counter():
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, per_class: int = 4000, max_bytes: int = 1 << 16, lexicon: int = 20_000, chain_rows: int = 400) -> ToxicModel:
-    """Evidence from up to ``per_class`` labelled rows a class; weights and curve from up to ``chain_rows`` of them."""
+def strength(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Surprise (-1: no entry at any bound) and evidence of features in t of ``toxic`` and c of ``clean`` documents."""
+    t, c, share = np.asarray(t, float), np.asarray(c, float), toxic / (toxic + clean)
+    n = np.maximum(t + c, 1)
+    # Half a document each way keeps single finds from counting as proof.
+    evidence = np.log((t + 0.5) / (toxic + 1.0)) - np.log((c + 0.5) / (clean + 1.0))
+    surprise = t * np.log(np.maximum(t, 1) / (n * share)) + c * np.log(np.maximum(c, 1) / (n * (1 - share)))
+    return np.where((t >= MIN_TOXIC) & (t > n * share) & (evidence >= MIN_EVIDENCE), surprise, -1.0), evidence
+
+
+def _strength(t: F.Column, c: F.Column, toxic: int, clean: int) -> tuple[F.Column, F.Column]:
+    """The same of columns."""
+    n, share = t + c, toxic / (toxic + clean)
+    evidence = F.log((t + 0.5) / (toxic + 1.0)) - F.log((c + 0.5) / (clean + 1.0))
+    surprise = t * F.log(t / (n * share)) + F.when(c > 0, c * F.log(c / (n * (1 - share)))).otherwise(0.0)
+    return F.when((t >= MIN_TOXIC) & (t > n * share) & (evidence >= MIN_EVIDENCE), surprise).otherwise(-1.0), evidence
+
+
+def by_chance(toxic: int, clean: int) -> np.ndarray:
+    """The chance that a feature of n documents (row n; the last: of more) reaches each of ``BOUNDS``, labels being dealt at random."""
+    share = toxic / (toxic + clean)
+    out = np.zeros((COUNTED + 2, len(BOUNDS)))
+    out[-1] = np.exp(-BOUNDS)  # Chernoff
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, COUNTED + 1)))])
+    for n in range(1, COUNTED + 1):
+        t = np.arange(n + 1)
+        mass = np.exp(factorial[n] - factorial[t] - factorial[n - t] + t * np.log(share) + (n - t) * np.log(1 - share))
+        out[n] = mass @ (strength(t, n - t, toxic, clean)[0][:, None] >= BOUNDS)
+    return out
+
+
+def least_surprise(found: list[tuple[int, int, int]], toxic: int, clean: int) -> float:
+    """The bound for (n, how many of ``BOUNDS`` are reached, features)."""
+    chance, expected, reached = by_chance(toxic, clean), np.zeros(len(BOUNDS)), np.zeros(len(BOUNDS))
+    for n, steps, features_ in found:
+        expected += features_ * chance[n]
+        reached[:steps] += features_
+    fits = np.flatnonzero((reached > 0) & (expected <= FALSE_SHARE * reached))
+    some = np.flatnonzero(reached > 0)
+    return float(BOUNDS[fits[0] if len(fits) else some[-1] if len(some) else 0])
+
+
+def labelled_rows(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, text, y) of all rows with a known label; ids are sent to the texts, in blocks, and no text is moved."""
+    blocks = -(-known.count() // LABEL_BLOCK) or 1
+    text = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    out = None
+    for block in range(blocks):
+        part = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
+        found = text.join(F.broadcast(part), "doc_id")  # about LABEL_BLOCK ids
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, max_bytes: int = 1 << 16, lexicon: int = 20_000, chain_rows: int = 400) -> ToxicModel:
+    """Evidence from all labelled rows; weights and curve from up to ``chain_rows`` a class."""
     keep = F.lit(True) if keep is None else keep
-    rows = sample_labelled(documents, labels, label, keep, per_class, max_bytes).select("doc_id", "text", "y")
+    rows = labelled_rows(documents, labels.select(F.col("doc_id"), F.col(label).alias("y")).filter(keep & F.col("y").isin(0, 1)).distinct())
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    none = ToxicModel(Lexicon(), START_WEIGHTS, np.array([4.0 if toxic else -4.0, 0.0, 0.0]))
     if not toxic or not clean:
-        return none
+        return ToxicModel(Lexicon(), START_WEIGHTS, np.array([4.0 if toxic else -4.0, 0.0, 0.0]))
+    scratch = Scratch(documents.sparkSession, "toxic-counts")
     counts = rows.select("text", "y").mapInArrow(_counter(), "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Half a document each way keeps single finds from counting as proof.
-    evidence = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    n, share = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
-    surprise = F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
-    strong = counts.filter((F.col("toxic") > n * share) & (surprise >= MIN_SURPRISE)).select("h", evidence.alias("e")).filter(F.col("e") >= MIN_EVIDENCE).orderBy(F.desc("e"), "h").limit(lexicon).collect()
-    if not strong:
-        return none
-    lex = Lexicon(np.array([r.h for r in strong], np.int64).view(U64), np.array([r.e for r in strong]))
-    parts = [rows.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(chain_rows) for y in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).collect()  # at most 2 * chain_rows rows of max_bytes
+    # A feature of one document is no entry at any bound and needs no place in the table.
+    counts = scratch.keep(counts.filter(F.col("toxic") + F.col("clean") >= MIN_TOXIC), "counts")
+    n, (surprise, evidence) = F.col("toxic") + F.col("clean"), _strength(F.col("toxic"), F.col("clean"), toxic, clean)
+    steps = F.greatest(F.lit(0), F.least(F.lit(len(BOUNDS)), F.floor((surprise - float(BOUNDS[0])) / float(BOUNDS[1] - BOUNDS[0])) + 1))
+    found = counts.select(F.least(n, F.lit(COUNTED + 1)).alias("n"), steps.alias("steps")).groupBy("n", "steps").count().collect()  # at most COUNTED * len(BOUNDS) rows
+    bound = least_surprise([(r.n, int(r.steps), r["count"]) for r in found], toxic, clean)
+    # Beside the entries, what would be one but for a single clean document.
+    almost, _ = _strength(F.col("toxic"), F.greatest(F.col("clean") - 1, F.lit(0)), toxic, max(clean - 1, 1))
+    strong = counts.filter((surprise >= bound) | (almost >= bound)).select("h", "toxic", "clean", evidence.alias("e")).orderBy((surprise >= bound).desc(), F.desc("e"), "h").limit(lexicon).collect()
+    scratch.drop("counts")
+    hashes, t, c = (np.array([r[k] for r in strong], np.int64) for k in ("h", "toxic", "clean"))
+    # The lexicon; and what it would be without one clean or one toxic document, as that document's own features see it.
+    lex, *without = (
+        Lexicon(hashes.view(U64)[e[0] >= bound], e[1][e[0] >= bound])
+        for e in (strength(t, c, toxic, clean), strength(t, np.maximum(c - 1, 0), toxic, max(clean - 1, 1)), strength(t - 1, c, max(toxic - 1, 1), clean))
+    )
+    if not len(lex.hashes):
+        return ToxicModel(Lexicon(), START_WEIGHTS, np.array([np.log(toxic / clean), 0.0, 0.0]))
+    sample = sample_labelled(documents, labels, label, keep, chain_rows, max_bytes).select("doc_id", "text", "y").collect()  # at most 2 * chain_rows rows of max_bytes
     y = np.array([r.y for r in sample])
     learn, all_features, labelled = [], [], []
     model = ToxicModel(lex, START_WEIGHTS, np.zeros(3))
     for r in sample:
         data, offsets = np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())])
         starts, ends, first = words(data, offsets, IS_BREAK)
-        c, index = chains(lex, data, starts, ends, first)
+        c, index = chains(without[r.y], data, starts, ends, first)
         dense = np.zeros(len(starts))
         dense[index] = c.evidence
         labelled.append(c)
