@@ -227,4 +227,6 @@ def _(spark, d):
 @query("qa_find_code")
 def _(spark, d):
     docs = load(spark, d, "documents").select(c("doc_id").alias("chunk_id"), "text", "lang", F.concat("source", F.lit("/doc_"), c("doc_id").cast("string")).alias("path"))
-    return search.find(docs, _points(spark, d), _texts(spark, d).join(_asked(spark, d), "query_id", "left"))
+    asked = load(spark, d, "benchmark").select(c("item_id").alias("query_id"), "text")  # every passage, with the vector of its id
+    vectors = _points(spark, d).select(c("chunk_id").alias("query_id"), "dense")
+    return search.find(docs, _points(spark, d), asked.join(vectors, "query_id", "left"))
