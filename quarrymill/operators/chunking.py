@@ -182,7 +182,7 @@ def split_lines(first: int, last: int, lengths: list[int], most: int) -> Iterato
         yield start, last
 
 
-def delimiter_chunks(text: str, sizes: Sizes = Sizes(), most_chunks: int = 5000) -> list[tuple[int, int, str, int]]:
+def delimiter_chunks(text: str, sizes: Sizes = Sizes()) -> list[tuple[int, int, str, int]]:
     """(first line, last line, kind, depth) of a file's chunks: structures, and paragraphs where there are none."""
     if not text.strip():
         return [(1, text.count("\n") + 1, "whitespace", 0)] if text else []
@@ -204,7 +204,7 @@ def delimiter_chunks(text: str, sizes: Sizes = Sizes(), most_chunks: int = 5000)
             out += [(x, y, kind, depth) for x, y in split_lines(a, b, lengths, sizes.optimal * 4)]
         else:
             out.append((a, b, kind, depth))
-    return sorted(set(out))[:most_chunks]
+    return sorted(set(out))
 
 
 def python_chunks(text: str, sizes: Sizes = Sizes(), deepest: int = 200) -> list[tuple[int, int, str, int]]:

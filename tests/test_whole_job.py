@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarrymill.operators import chunking
 from quarrymill.queries import search
 from quarrymill.sources.tables import load
 
@@ -9,3 +10,9 @@ from quarrymill.sources.tables import load
 def test_find_code_asks_every_passage(spark, sf_dir):
     asked = {r.item_id for r in load(spark, sf_dir, "benchmark").select("item_id").collect()}
     assert {r.query_id for r in search.QUERIES["qa_find_code"](spark, sf_dir).select("query_id").collect()} == asked
+
+
+def test_chunks_reach_the_end_of_a_long_file():
+    text = "\n\n".join(f"paragraph {i}" for i in range(6000))
+    found = chunking.delimiter_chunks(text)
+    assert len(found) == 6000 and found[-1][1] == text.count("\n") + 1
