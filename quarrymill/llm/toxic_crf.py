@@ -13,8 +13,8 @@ logistic curve. Spans are maximal runs of neighbouring toxic tokens, with offset
 Fitting: evidence counts cover all labelled rows that may be used. An entry needs two toxic documents, and counts that
 chance seldom gives: the bound is the least at which no more than ``FALSE_SHARE`` of the entries are expected by chance
 among all features of these very rows, so small groups of rows have entries too; where no bound will do, the strongest
-stay. Up to ``lexicon`` entries, and ``chain_rows`` rows a class of ``max_bytes`` at most, fit the weights; each of
-these rows is seen without its own part in the counts. Scoring reads whole texts in one pass and shuffles nothing.
+stay. Up to ``lexicon`` entries, and ``chain_rows`` rows a class of ``max_bytes`` at most, fit the weights and the
+curve; each of these rows is taken whole, in pieces of ``PIECE`` tokens, and seen without its own part in the counts. Scoring reads whole texts in one pass and shuffles nothing.
 
 Defined results: null and empty texts, and texts without a token of evidence, get the curve's value for marginals of 0.
 Without labelled rows of both classes the lexicon is empty and all scores are one constant. Repeated rows are scored
@@ -46,6 +46,8 @@ FALSE_SHARE, BOUNDS, COUNTED = 0.1, np.arange(3.0, 14.5, 0.5), 200
 LABEL_BLOCK = 2_000_000
 #: Labelled toxic from here on; and the longest gap that belongs to a labelled span.
 CLEAR_EVIDENCE, SPAN_GAP = 2.5, 1
+#: Tokens of a sampled document that the weights are fitted to at once.
+PIECE = 300
 #: Nearer tokens with evidence than this share a span if the chain is toxic at both.
 JOIN_GAP = 2
 
@@ -185,8 +187,13 @@ def label_tokens(evidence: np.ndarray, toxic: bool) -> np.ndarray:
     return y
 
 
+def pieces(evidence: np.ndarray, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All tokens of a document in runs of ``PIECE`` at most; only the transition from one run to the next is left out."""
+    return [(evidence[at : at + PIECE], labels[at : at + PIECE]) for at in range(0, len(evidence), PIECE)]
+
+
 def fit_weights(documents: list[tuple[np.ndarray, np.ndarray]], ridge: float = 0.02, steps: int = 40) -> np.ndarray:
-    """Gradient ascent on the mean log-likelihood of (evidence, labels) of whole documents, padded to one matrix."""
+    """Gradient ascent on the mean log-likelihood of (evidence, labels) of pieces of documents, padded to one matrix."""
     w = START_WEIGHTS.copy()
     if not documents:
         return w
@@ -356,8 +363,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", keep=None
         dense = np.zeros(len(starts))
         dense[index] = c.evidence
         labelled.append(c)
-        if 0 < len(starts) <= 300:
-            learn.append((dense, label_tokens(dense, bool(r.y)).astype(float)))
+        learn += pieces(dense, label_tokens(dense, bool(r.y)).astype(float))
     model.weights = fit_weights(learn)
     for c in labelled:
         all_features.append(document_features(marginals(model.weights, c), c.first))

@@ -26,3 +26,12 @@ def test_evidence_counts_every_labelled_row(spark, monkeypatch):
     assert np.isclose(toxic_crf.fit(df, df.select("doc_id", "toxic")).lexicon.evidence.max(), want)
     monkeypatch.setattr(toxic_crf, "LABEL_BLOCK", 3)
     assert np.isclose(toxic_crf.fit(df, df.select("doc_id", "toxic")).lexicon.evidence.max(), want)
+
+
+def test_weights_see_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxic_crf, "fit_weights", lambda learn, **k: seen.extend(learn) or toxic_crf.START_WEIGHTS)
+    rows = [(i, "plain " * 700 + "swearword" * (i % 2), i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxic_crf.fit(df, df.select("doc_id", "toxic"))
+    assert sum(len(e) for e, _ in seen) == sum(len(t.split()) for _, t, _ in rows)
