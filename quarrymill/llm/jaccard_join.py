@@ -1,22 +1,26 @@
 """Exact Jaccard join of shingle sets, and the classes that its links make, by set relations.
 
-Documents with equal sets are one class from the start. A set's prefix in a global order (rare shingles first) shares a
-shingle with that of every set it can link to, so an index from prefix shingles to sets holds all candidates. Three
-kinds of set relation then replace the comparison of all pairs in a list:
-
-1. Each list has a pivot, its set with the largest share of shingles in lists. A set is first compared with the pivot that it shares most lists
-   with; lists whose sets are then known to be connected need nothing more.
-2. In the other lists, sets are compared with the lists' own pivots. From |x & p| and |y & p| follow bounds for a pair,
-   |x & y| <= min(|x & p| + |y - p|, |y & p| + |x - p|), so answers for y come from those of a similar set.
-3. The sets of a pivot's lists that are in one component and alike in size and overlap form a block, and whole pairs of blocks are
-   skipped if their bound or their sizes rule out a link. Only members of the surviving blocks are compared, exactly.
-
-Nothing is cut off: a pair sharing a prefix shingle is compared, connected already, or ruled out by an exact bound.
-
-Work and memory: index entries travel as packed arrays, one row for each task and segment of the hash space; hot
-shingles go to the end of the order, for which a bounded table of the most frequent ones is broadcast (it changes the
-order only, never the result). Components come from joins; no link reaches the driver. Shingles and sets are told
-apart by 64-bit hashes.
+Documents with equal sets are one class from the start. Shingles stand in one global order, rare ones first; two sets
+that link share a shingle within their prefixes, so an index from prefix shingles to (set, size, position) holds every
+candidate. Of sets in one list, relations between sets leave little to compare:
+
+1. Each list has a pivot, its set with the largest share of shingles in lists, which the others are compared with. Lists
+   whose sets are then known to be connected need nothing more.
+2. Of the lists that are left, sets of one component, size, position and overlap with the pivot form a block, and whole
+   blocks are skipped against each other by component, by size, and by position: behind the first shingle that two sets
+   share, at positions p and q, they share no more than min(n - p, m - q).
+3. From |x & v| and |y & v| for a pivot v follow the answers of y from those of x: |x & y| is at most
+   min(|x & v| + |y - v|, |y & v| + |x - v|) and at least |x & v| + |y & v| - |v|. Where this settles a pair, it is a
+   link, or none, without a comparison. The pairs that are left are compared exactly.
+
+Nothing is cut off: a pair that shares a prefix shingle is compared, connected already, or settled by an exact bound.
+
+Work and memory. Shingles of all sets are counted; those of ``FREQUENT`` sets or more, up to ``MOST_FREQUENT`` of them,
+are broadcast as the order's end (a fixed size; it changes the order only, never the result), which keeps the lists of
+common passages short. Index entries travel packed, one row for each task and segment of the hash space; those of
+shingles with more than ``HOT`` sets travel as plain rows, so no task meets an unbounded list. Comparisons are joins of
+narrow pairs with packed sets, which Spark's skew handling splits at hot pivots. Components come from joins; no link
+reaches the driver. Shingles and sets are told apart by 64-bit hashes.
 
 Defined results: null, empty and blank texts have an empty set, size 0 and are alone. Rows with equal sets share their
 component whatever their ids. Rows without an id have no component, and link with nothing. Other columns pass by.
@@ -33,16 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.scratch import Scratch
-from quarrymill.llm.text_kernel import U64, distinct_by_row, mixed, shingles, slices, word_hashes, words
+from quarrymill.llm.text_kernel import U64, distinct_rows, mixed, shingles, slices, sort_rows, word_hashes, words
 
 #: Shingles or index entries that a task holds before it sends them on.
 FLUSH = 1 << 21
 #: Least number of sets of a shingle in the order table, and its most entries.
 FREQUENT, MOST_FREQUENT = 4, 1 << 21
-#: Hashes below are counted and stand first in the order; prefixes take a quarter of a set and seldom reach beyond.
-LOW = U64(int(0.35 * 2**64))
+#: Sets of a shingle whose index entries travel as plain rows.
+HOT = 1 << 16
 ENTRIES_PER_SEGMENT = 1 << 21
-#: Ids that are sent to every task to pick texts; with more, texts and ids meet in a shuffle.
+#: Ids that are sent to every task to pick rows; with more, rows and ids meet in a shuffle.
 MOST_SENT = 1 << 20
 
 
@@ -56,12 +60,11 @@ def needed(n: np.ndarray) -> np.ndarray:
     return (3 * n + 3) // 4
 
 
-def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, offsets, rows, hashes) of the distinct shingles of runs of rows."""
+def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, offsets, hashes) of the distinct shingles of runs of rows, in order within a row."""
     for lo, hi, data, offsets in slices(column):
         starts, ends, first = words(data, offsets)
-        row, h = distinct_by_row(*shingles(word_hashes(data, starts, ends), first, width))
-        yield lo, hi, np.searchsorted(row, np.arange(hi - lo + 1)), row, h
+        yield lo, hi, *distinct_rows(*shingles(word_hashes(data, starts, ends), first, width))
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,20 +74,19 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mixed(total[first[1:]] - total[first[:-1]]), mixed(other[first[1:]] - other[first[:-1]])
 
 
-class Seen:
-    """The sets that a task has met."""
-
-    def __init__(self):
-        self.names = np.zeros(0, U64)
-
-    def fresh(self, a: np.ndarray) -> np.ndarray:
-        first = np.zeros(len(a), bool)
-        first[np.unique(a, return_index=True)[1]] = True
-        at = np.searchsorted(self.names, a)
-        at[at == len(self.names)] = 0
-        first &= ~(self.names[at] == a) if len(self.names) else True
-        self.names = np.union1d(self.names, a)
-        return first
+def _new_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, offsets, hashes) of the sets of a text column that this task hasn't met."""
+    met: set[int] = set()
+    for batch in batches:
+        for _, _, first, h in sets_of(batch.column(0), width):
+            a, _ = signatures(h, first)
+            fresh = np.zeros(len(a), bool)
+            for i, name in enumerate(a.tolist()):
+                if name not in met:
+                    met.add(name)
+                    fresh[i] = True
+            n = np.diff(first)
+            yield a[fresh], np.concatenate([[0], np.cumsum(n[fresh])]), h[np.repeat(fresh, n)]
 
 
 def _describe(width: int):
@@ -92,7 +94,7 @@ def _describe(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, first, _, h in sets_of(batch.column(1), width):
+            for lo, hi, first, h in sets_of(batch.column(1), width):
                 a, b = signatures(h, first)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(first).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column(2)[lo:hi]], ["doc_id", "n", "a", "b", "th"])
 
@@ -104,26 +106,38 @@ def _brief(h: np.ndarray) -> np.ndarray:
     return mixed(h) >> U64(24)
 
 
-def _low(segment_bits: int, width: int):
-    """mapInArrow over (text): the shingles with low hashes, where prefixes come from, of sets new to this task, packed."""
+def _raw(values: np.ndarray, cuts: list[tuple[int, int]]) -> pa.Array:
+    return pa.array([values[i:j].tobytes() for i, j in cuts], pa.binary())
+
+
+def _runs(sorted_names: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    name, first = np.unique(sorted_names, return_index=True)
+    return name, list(zip(first, [*first[1:], len(sorted_names)], strict=True))
+
+
+def _counted(segment_bits: int, width: int):
+    """mapInArrow over (text): how many sets new to this task have each shingle; packed, those of one set apart."""
     within = U64(40 - segment_bits)
+    low = (U64(1) << within) - U64(1)
 
     def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        brief = np.sort(np.concatenate(held))
-        name, first = np.unique(brief >> within, return_index=True)
-        t = (brief & ((U64(1) << within) - U64(1))).astype("<u4")
-        yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array([t[i:j].tobytes() for i, j in zip(first, [*first[1:], len(t)], strict=True)], pa.binary())], ["segment", "t"])
+        brief, count = np.unique(np.concatenate(held), return_counts=True)
+        alone = brief[count == 1]
+        name, cuts = _runs(alone >> within)
+        yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), _raw((alone & low).astype("<u4"), cuts), pa.nulls(len(cuts), pa.binary())], ["segment", "t", "count"])
+        brief, count = brief[count > 1], count[count > 1].astype("<u4")
+        if len(brief):
+            name, cuts = _runs(brief >> within)
+            yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), _raw((brief & low).astype("<u4"), cuts), _raw(count, cuts)], ["segment", "t", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = Seen(), [], 0
-        for batch in batches:
-            for _, _, first, row, h in sets_of(batch.column(0), width):
-                a, _ = signatures(h, first)
-                held.append(_brief(h[seen.fresh(a)[row] & (h < LOW)]))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield from pack(held)
-                    held, size = [], 0
+        held, size = [], 0
+        for _, _, h in _new_sets(batches, width):
+            held.append(_brief(h))
+            size += len(h)
+            if size >= FLUSH:
+                yield from pack(held)
+                held, size = [], 0
         if size:
             yield from pack(held)
 
@@ -134,102 +148,152 @@ def _frequent(segment_bits: int):
     """A segment's shingles to those of ``FREQUENT`` sets or more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, count = np.unique(np.frombuffer(b"".join(pdf["t"]), "<u4"), return_counts=True)
+        t = np.frombuffer(b"".join(pdf["t"]), "<u4")
+        count = np.concatenate([np.ones(len(x) // 4, np.int64) if c is None else np.frombuffer(c, "<u4").astype(np.int64) for x, c in zip(pdf["t"], pdf["count"], strict=True)])
+        by = np.argsort(t, kind="stable")
+        t, first = np.unique(t[by], return_index=True)
+        count = np.add.reduceat(count[by], first) if len(t) else count
         hit = count >= FREQUENT
-        return pd.DataFrame({"brief": (int(pdf["segment"].iloc[0]) << (40 - segment_bits)) + t[hit].astype(np.int64), "sets": count[hit].astype(np.int64)})
+        return pd.DataFrame({"brief": (int(pdf["segment"].iloc[0]) << (40 - segment_bits)) + t[hit].astype(np.int64), "sets": count[hit]})
 
     return run
 
 
+class Order:
+    """The end of the global order: frequent shingles, by the number of their sets."""
+
+    def __init__(self, brief: np.ndarray, sets: np.ndarray):
+        place = np.argsort(np.lexsort((brief, sets)))
+        by = np.argsort(brief)
+        self.brief, self.place, self.hot = brief[by], place[by].astype(U64), int((sets >= HOT).sum())
+        self.sieve = np.zeros(1 << 24, bool)
+        self.sieve[(brief & U64(0xFFFFFF)).view(np.int64)] = True
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """A 64-bit place of each shingle in the order."""
+        key, brief = h.copy(), _brief(h)
+        maybe = np.flatnonzero(self.sieve[(brief & U64(0xFFFFFF)).view(np.int64)])
+        if len(self.brief):
+            at = np.minimum(np.searchsorted(self.brief, brief[maybe]), len(self.brief) - 1)
+            found = self.brief[at] == brief[maybe]
+            key[maybe[found]] = ~U64(MOST_FREQUENT) + self.place[at[found]]
+        return key
+
+    def first_hot(self) -> np.uint64:
+        """The least key of a hot shingle; hot ones stand last."""
+        return ~U64(MOST_FREQUENT) + U64(len(self.brief) - self.hot) if self.hot else ~U64(0)
+
+
 def _index(order, segment_bits: int, width: int):
-    """mapInArrow over (doc_id, text): packed (shingle, set, size) entries of prefixes, by segment."""
+    """mapInArrow over (text): packed (shingle, set, size, position) entries of prefixes by segment; of hot ones a row each (segment -1)."""
     shift = U64(64 - segment_bits)
 
-    def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        t, a, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        segment = t >> shift if segment_bits else np.zeros(len(t), U64)
-        by = np.argsort(segment, kind="stable")
-        t, a, n, segment = t[by], a[by], n[by], segment[by]
-        name, first = np.unique(segment, return_index=True)
-        cut = list(zip(first, [*first[1:], len(t)], strict=True))
-        columns = [pa.array(name.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in ((t & U64(0xFFFFFFFF)).astype("<u4"), a, n.astype("<u4")))]
-        yield pa.RecordBatch.from_arrays(columns, ["segment", "t", "a", "n"])
+    def batch(name: np.ndarray, t: pa.Array, a: pa.Array, n: pa.Array, p: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), t, a, n, p], ["segment", "t", "a", "n", "p"])
+
+    def pack(held: list[tuple[np.ndarray, ...]], first_hot: np.uint64) -> Iterator[pa.RecordBatch]:
+        key, a, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        hot = key >= first_hot
+        if hot.any():
+            each = [(i, i + 1) for i in range(int(hot.sum()))]
+            yield batch(np.full(len(each), -1), *(_raw(x[hot], each) for x in (key, a, n.astype("<u4"), p.astype("<u4"))))
+        t, a, n, p = mixed(key[~hot]), a[~hot], n[~hot], p[~hot]
+        by = np.argsort(t >> shift, kind="stable")
+        t, a, n, p = t[by], a[by], n[by], p[by]
+        name, cuts = _runs(t >> shift)
+        yield batch(name, *(_raw(x, cuts) for x in ((t & U64(0xFFFFFFFF)).astype("<u4"), a, n.astype("<u4"), p.astype("<u4"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, place = order.value
-        seen, held, size = Seen(), [], 0
-        for batch in batches:
-            for _, _, first, row, h in sets_of(batch.column(0), width):
-                a, _ = signatures(h, first)
-                new = seen.fresh(a)[row]
-                row, h = row[new], h[new]
-                # Few sets' shingles, then frequent ones by count, then the hashes that weren't counted.
-                rank = np.where(h < LOW, 0, MOST_FREQUENT + 1)
-                if len(frequent) and len(h):
-                    brief = _brief(h)
-                    at = np.minimum(np.searchsorted(frequent, brief), len(frequent) - 1)
-                    hit = frequent[at] == brief
-                    rank[hit] = place[at[hit]]
-                by = np.lexsort((h, rank, row))
-                row, h = row[by], h[by]
-                n = np.diff(first)
-                start = np.searchsorted(row, np.arange(len(n)))
-                keep = np.arange(len(row)) - start[row] < (n - needed(n) + 1)[row]
-                held.append((mixed(h[keep]), a[row[keep]], n[row[keep]]))
-                size += int(keep.sum())
-                if size >= FLUSH:
-                    yield from pack(held)
-                    held, size = [], 0
+        table = order.value
+        first_hot = table.first_hot()
+        held, size = [], 0
+        for a, first, h in _new_sets(batches, width):
+            key = table.keys(h)
+            sort_rows(key, first)
+            n = np.diff(first)
+            row = np.repeat(np.arange(len(n)), n)
+            p = np.arange(len(key)) - first[:-1][row]
+            keep = p < (n - needed(n) + 1)[row]
+            held.append((key[keep], a[row[keep]], n[row[keep]], p[keep]))
+            size += int(keep.sum())
+            if size >= FLUSH:
+                yield from pack(held, first_hot)
+                held, size = [], 0
         if size:
-            yield from pack(held)
+            yield from pack(held, first_hot)
 
     return run
 
 
 def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A segment's entries to the lists of two sets or more, each different list once, with how many shingles have it."""
+    """A segment's entries to the lists of two sets or more, each different list once, with the least positions and how many shingles have it."""
     t = np.frombuffer(b"".join(pdf["t"]), "<u4")
     a = np.frombuffer(b"".join(pdf["a"]), U64)
     n = np.frombuffer(b"".join(pdf["n"]), "<u4")
-    by = np.lexsort((a, t))
-    t, a, n = t[by], a[by], n[by]
+    p = np.frombuffer(b"".join(pdf["p"]), "<u4")
+    # Most shingles are of one set.
+    by = np.argsort(t, kind="stable")
+    same = t[by][1:] == t[by][:-1]
+    shared = np.zeros(len(t), bool)
+    shared[by[1:]] = same
+    shared[by[:-1]] |= same
+    t, a, n, p = t[shared], a[shared], n[shared], p[shared]
+    by = np.lexsort((p, a, t))
+    t, a, n, p = t[by], a[by], n[by], p[by]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1])
-    t, a, n = t[new], a[new], n[new]
+    t, a, n, p = t[new], a[new], n[new], p[new]
     _, first, size = np.unique(t, return_index=True, return_counts=True)
     first, size = first[size > 1], size[size > 1]
-    columns = {"list": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "w": np.zeros(0, np.int32)}
+    columns = {"list": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "p": np.zeros(0, np.int32), "w": np.zeros(0, np.int32)}
     if len(first):
         total = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(a))])
-        _, one, w = np.unique(total[first + size] - total[first], return_index=True, return_counts=True)
+        _, one, same_as, w = np.unique(total[first + size] - total[first], return_index=True, return_inverse=True, return_counts=True)
+        # The first shingle that two sets share comes before all others with the same list, so the least positions hold for it.
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        least = p.copy()
+        np.minimum.at(least, within + np.repeat(first[one][same_as], size), p[within + np.repeat(first, size)])
         first, size = first[one], size[one]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
         name = (int(pdf["segment"].iloc[0]) << 32) + t[first].astype(np.int64)
-        columns = {"list": np.repeat(name, size), "a": a[at].view(np.int64), "n": n[at].astype(np.int32), "w": np.repeat(w, size).astype(np.int32)}
+        columns = {"list": np.repeat(name, size), "a": a[at].view(np.int64), "n": n[at].astype(np.int32), "p": least[at].astype(np.int32), "w": np.repeat(w, size).astype(np.int32)}
     return pd.DataFrame(columns)
 
 
-def _overlaps(width: int):
-    """mapInArrow over (x, y, n, m, text of x, text of y): (x, y, n, m, overlap)."""
+def _unpacked():
+    """mapInArrow over rows of hot shingles: (list, a, n, p, w)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, a, n, p = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind) for i, kind in ((1, "<u8"), (2, "<u8"), (3, "<u4"), (4, "<u4")))
+            columns = [t.view(np.int64), a.view(np.int64), n.astype(np.int32), p.astype(np.int32), np.ones(len(t), np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["list", "a", "n", "p", "w"])
+
+    return run
+
+
+def _packed(width: int):
+    """mapInArrow over (text, a): (a, h), the set's sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                found = []
-                for column in (part.column(4), part.column(5)):
-                    sets = [(row + i, h) for i, _, _, row, h in sets_of(column, width)]
-                    found.append((np.concatenate([r for r, _ in sets]), np.concatenate([h for _, h in sets])))
-                row, h = np.concatenate([found[0][0], found[1][0]]), np.concatenate([found[0][1], found[1][1]])
-                by = np.lexsort((h, row))
-                row, h = row[by], h[by]
-                twice = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
-                inter = np.bincount(row[1:][twice], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(inter.astype(np.int64))], ["x", "y", "n", "m", "inter"])
+            for lo, hi, first, h in sets_of(batch.column(0), width):
+                yield pa.RecordBatch.from_arrays([batch.column(1)[lo:hi], _raw(h, list(zip(first[:-1], first[1:], strict=True)))], ["a", "h"])
 
     return run
 
 
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (x, y, n, m, set of x, set of y): (x, y, n, m, overlap)."""
+    for batch in batches:
+        inter = np.zeros(batch.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            both = np.concatenate([np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)])
+            both.sort()
+            inter[i] = np.count_nonzero(both[1:] == both[:-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(inter)], ["x", "y", "n", "m", "inter"])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(v, c): every vertex of the written ``edges`` (x, y) with its component's smallest vertex.
 
@@ -243,7 +307,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("near"))
         better = labels.join(near, "v").select("v", "c", F.least("c", "near").alias("l"))
-        jumped = better.join(better.select(F.col("v").alias("l"), F.col("l").alias("ll")), "l").select("v", "c", F.least("l", "ll").alias("d"))
+        jumped = better.join(labels.select(F.col("v").alias("l"), F.col("c").alias("ll")), "l").select("v", "c", F.least("l", "ll").alias("d"))
         turn += 1
         moved = scratch.keep(jumped, f"{name}-{turn}")
         done = moved.filter("d < c").limit(1).count() == 0
@@ -254,8 +318,39 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def _order(counts: DataFrame) -> Order:
+    """The order table from the written (brief, sets): all of at least as many sets as let no more than ``MOST_FREQUENT`` in."""
+    steps = F.floor(8 * F.log2("sets")).cast("int").alias("step")
+    found = sorted(((r.step, r["count"]) for r in counts.groupBy(steps).count().collect()), reverse=True)  # at most 8 * 64 rows
+    least, held = None, 0
+    for step, n in found:
+        if held + n > MOST_FREQUENT:
+            break
+        least, held = step, held + n
+    often = counts.filter(steps >= least).toArrow() if least is not None else pa.table({"brief": pa.array([], pa.int64()), "sets": pa.array([], pa.int64())})
+    return Order(often.column("brief").to_numpy().view(U64), often.column("sets").to_numpy())
+
+
+def picked(rows: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
+    """Rows joined with the written table of ids, which is sent out if it is small."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, key)
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    return _joined(documents, width, id_col, text_col).drop("th")
+
+
+def keep_one(documents: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, with all their columns, that stay: of each component the rows with the smallest id, and all rows without an id."""
+    named = _joined(documents, width, id_col, text_col)
+    scratch = Scratch(documents.sparkSession, "jaccard-keep")
+    gone = scratch.keep(named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_jj_id"), F.col("th").alias("_jj_th")).distinct(), "gone")
+    here = (F.col(id_col) == F.col("_jj_id")) & (F.xxhash64(text_col) == F.col("_jj_th"))
+    return documents.join(gone, here, "left_anti")
+
+
+def _joined(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard-join")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
@@ -264,89 +359,91 @@ def near_duplicates(documents: DataFrame, width: int = 5, id_col: str = "doc_id"
     classes = scratch.keep(sets.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep")), "classes")
     entries = classes.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0)).alias("e")).first().e
     bits = max(8, int(np.ceil(np.log2(max(1, entries) / ENTRIES_PER_SEGMENT))))
-    texts_only = docs.filter("doc_id is not null").select("text")
-
-    # The order: shingles of few sets by hash, then the bounded table of frequent ones by count.
-    counted = texts_only.mapInArrow(_low(bits, width), "segment long, t binary").groupBy("segment").applyInPandas(_frequent(bits), "brief long, sets long")
-    often = counted.orderBy(F.desc("sets"), "brief").limit(MOST_FREQUENT).toArrow()
-    brief = often.column("brief").to_numpy().view(U64)
-    by = np.argsort(brief)
-    order = spark.sparkContext.broadcast((brief[by], (len(brief) - np.arange(len(brief)))[by]))  # MOST_FREQUENT entries of 16 bytes
-
-    packed = texts_only.mapInArrow(_index(order, bits, width), "segment long, t binary, a binary, n binary")
-    lists = scratch.keep(packed.groupBy("segment").applyInPandas(_lists, "list long, a long, n int, w int"), "plain-lists")
+    texts = docs.filter("doc_id is not null").select("text")
+
+    counts = scratch.keep(texts.mapInArrow(_counted(bits, width), "segment long, t binary, count binary").groupBy("segment").applyInPandas(_frequent(bits), "brief long, sets long"), "counts")
+    order = spark.sparkContext.broadcast(_order(counts))  # MOST_FREQUENT entries of 17 bytes
+    scratch.drop("counts")
+
+    entry = "segment long, t binary, a binary, n binary, p binary"
+    index = texts.mapInArrow(_index(order, bits, width), entry)
+    listed = "list long, a long, n int, p int, w int"
+    if order.value.hot:
+        index = scratch.keep(index, "index")
+        plain = index.filter("segment < 0").mapInArrow(_unpacked(), listed).groupBy("list", "a", "n", "w").agg(F.min("p").alias("p")).select("list", "a", "n", "p", "w")
+        lists = index.filter("segment >= 0").groupBy("segment").applyInPandas(_lists, listed).unionByName(plain)
+    else:
+        lists = index.groupBy("segment").applyInPandas(_lists, listed)
+    lists = scratch.keep(lists, "plain-lists")
+    order.unpersist()
+    scratch.drop("index")
     # A list's pivot is its set with the largest share of shingles in lists: edits leave a set with shingles of its own.
     shares = lists.groupBy("a").agg((F.sum("w") / F.max("n")).alias("share"))
-    pivots = lists.select("list", "a").join(shares, "a").groupBy("list").agg(F.max_by("a", F.struct("share", "a")).alias("pivot"))
-    lists = scratch.keep(lists.join(pivots, "list"), "lists")
+    pivots = lists.join(shares, "a").groupBy("list").agg(F.max(F.struct("share", "a", "n", "p")).alias("pivot"))
+    pivots = pivots.select("list", F.col("pivot.a").alias("v"), F.col("pivot.n").alias("vn"), F.col("pivot.p").alias("vp"))
+    lists = scratch.keep(lists.drop("w").join(pivots, "list"), "lists")
     scratch.drop("plain-lists")
 
-    # The texts of all sets that are in a list, one for each.
-    listed = lists.select("a").distinct().join(classes, "a").select("a", "rep.doc_id", "rep.th")
-    listed = scratch.keep(listed, "listed")
-    few = F.broadcast(listed) if listed.count() <= MOST_SENT else listed  # 24 bytes each
-    texts = scratch.keep(docs.join(few, ["doc_id", "th"]).dropDuplicates(["a"]).select("a", "text"), "texts")
+    # The sets of lists, packed, one document's text for each.
+    wanted = scratch.keep(lists.select("a").distinct().join(classes, "a").select("a", "rep.doc_id", "rep.th"), "wanted")
+    sets_packed = picked(docs, wanted, ["doc_id", "th"]).dropDuplicates(["a"]).select("text", "a").mapInArrow(_packed(width), "a long, h binary")
+    sets_packed = scratch.keep(sets_packed, "packed", compression="lz4")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """Exact overlaps of pairs (x, y, n, m), written."""
-        left = texts.select(F.col("a").alias("x"), F.col("text").alias("tx"))
-        right = texts.select(F.col("a").alias("y"), F.col("text").alias("ty"))
-        met = pairs.join(left, "x").join(right, "y").select("x", "y", "n", "m", "tx", "ty")
-        return scratch.keep(met.mapInArrow(_overlaps(width), "x long, y long, n long, m long, inter long"), name)
-
-    size = classes.select(F.col("a").alias("y"), F.col("n").alias("m"))
-    alike = 4 * F.least("n", "m") >= 3 * F.greatest("n", "m")
-
-    def with_pivots(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("x"), F.col("pivot").alias("y"), F.col("n").cast("long").alias("n")).join(size, "y").filter(alike)
-
-    # 1. Every set with the pivot that it shares most lists with.
-    shared = lists.filter("a <> pivot").groupBy("a", "n", "pivot").agg(F.sum("w").alias("w"))
-    best = shared.groupBy("a", "n").agg(F.max_by("pivot", F.struct("w", "pivot")).alias("pivot"))
-    compared = [compare(with_pivots(best), "compared-1")]
-    links = [compared[0].filter(linked(F.col("inter"), F.col("n"), F.col("m"))).select("x", "y")]
-    # Every set has one link here at most, to its pivot, and takes over the pivot's own; that is enough to tell connected
-    # sets, and costs no loop.
-    star = scratch.keep(links[0].select(F.col("x").alias("v"), F.col("y").alias("c")), "star")
-    known = star.join(star.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
-
-    # 2. Lists over several components: their sets with their own pivots.
-    def open_lists(of: DataFrame, label: DataFrame) -> DataFrame:
-        named = of.join(label.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
-        several = named.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("list")
-        return named.join(several, "list", "left_semi")
-
-    left = scratch.keep(open_lists(lists.drop("w"), known), "open-1")
-    todo = with_pivots(left.filter("a <> pivot").select("a", "n", "pivot").distinct()).join(compared[0].select("x", "y"), ["x", "y"], "left_anti")
-    compared.append(compare(todo, "compared-2"))
-    links.append(compared[1].filter(linked(F.col("inter"), F.col("n"), F.col("m"))).select("x", "y"))
-    known = components(links[0].union(links[1]), scratch, "known-2")
-
-    # 3. Blocks of sets of one component that are alike in size and overlap with the pivot.
-    overlap = compared[0].union(compared[1]).select(F.col("x").alias("a"), F.col("y").alias("pivot"), F.col("inter").alias("o"))
-    # Lists with one pivot are taken together, so that each pair comes up once.
-    still = open_lists(left.drop("c"), known).select(F.col("pivot").alias("list"), "pivot", "a", "n", "c").distinct().join(overlap, ["a", "pivot"], "left")
-    # Without a comparison (sizes too different) the overlap is unknown, -1.
-    still = still.select("list", "a", "c", "n", F.when(F.col("a") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))).cast("int").alias("o"))
-    still = scratch.keep(still, "open-2")
-    blocks = scratch.keep(still.groupBy("list", "c", "n", "o").agg(F.count(F.lit(1)).alias("members")), "blocks")
-    p, q = (blocks.select("list", *[F.col(c).alias(f"{c}{side}") for c in ("c", "n", "o")]) for side in "pq")
-    known_both = (F.col("op") >= 0) & (F.col("oq") >= 0)
-    by_pivot = F.when(known_both, F.least(F.col("op") + F.col("nq") - F.col("oq"), F.col("oq") + F.col("np") - F.col("op")))
-    bound = F.least(by_pivot, F.col("np"), F.col("nq"))  # least() passes over nulls
-    possible = p.join(q, "list").filter((F.col("cp") < F.col("cq")) & linked(bound, F.col("np"), F.col("nq")))
-    key = lambda side: ["list", f"c{side}", f"n{side}", f"o{side}"]
-    members = lambda side, name: still.select(F.col("a").alias(name), *[F.col(k.removesuffix(side) if k != "list" else k).alias(k) for k in key(side)])
-    pairs = possible.join(members("p", "x"), key("p")).join(members("q", "y"), key("q"))
-    pairs = pairs.select("x", "y", F.col("np").cast("long").alias("n"), F.col("nq").cast("long").alias("m")).distinct()
-    last = compare(pairs.join(overlap.select(F.col("a").alias("x"), F.col("pivot").alias("y")), ["x", "y"], "left_anti"), "compared-3")
-    links.append(last.filter(linked(F.col("inter"), F.col("n"), F.col("m"))).select("x", "y"))
+        """Exact overlaps of distinct pairs (x, y, n, m), written."""
+        pairs = scratch.keep(pairs, f"{name}-pairs")
+        ids = scratch.keep(pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct(), f"{name}-ids")
+        some = picked(sets_packed, ids, ["a"])
+        met = pairs.join(some.select(F.col("a").alias("x"), F.col("h").alias("hx")), "x").join(some.select(F.col("a").alias("y"), F.col("h").alias("hy")), "y")
+        out = scratch.keep(met.select("x", "y", "n", "m", "hx", "hy").mapInArrow(_overlaps, "x long, y long, n long, m long, inter long"), name)
+        scratch.drop(f"{name}-pairs", f"{name}-ids")
+        return out
+
+    def possible(n: Column, p: Column, m: Column, q: Column) -> Column:
+        """Whether sets of n and m may link whose first common shingle stands at p and q."""
+        return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & linked(F.least(n - p, m - q).cast("long"), n, m)
+
+    col = F.col
+    # 1. The lists' sets with the lists' pivots.
+    near = lists.filter((col("a") != col("v")) & possible(col("n"), col("p"), col("vn"), col("vp")))
+    first = compare(near.select(F.least("a", "v").alias("x"), F.greatest("a", "v").alias("y"), F.when(col("a") < col("v"), col("n")).otherwise(col("vn")).cast("long").alias("n"), F.when(col("a") < col("v"), col("vn")).otherwise(col("n")).cast("long").alias("m")).distinct(), "compared-1")
+    is_link = linked(col("inter"), col("n"), col("m"))
+    links = [first.filter(is_link).select("x", "y")]
+    known = components(links[0], scratch, "known").select(col("v").alias("a"), "c")
+
+    # 2. Blocks of the lists over several components; without a comparison the overlap with the pivot is unknown, -1.
+    named = lists.join(known, "a", "left").withColumn("c", F.coalesce("c", "a"))
+    several = named.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("list")
+    overlap = first.select(col("x").alias("a"), col("y").alias("v"), col("inter").alias("o")).union(first.select("y", "x", "inter"))
+    still = named.join(several, "list", "left_semi").join(overlap, ["a", "v"], "left")
+    o = F.when(col("a") == col("v"), col("n")).otherwise(F.coalesce("o", F.lit(-1))).cast("int")
+    still = scratch.keep(still.select("list", "c", "n", "p", o.alias("o"), "vn", "a"), "still")
+    key = ["list", "c", "n", "p", "o"]
+    blocks = still.groupBy(*key).agg(F.first("vn").alias("vn"))
+    left, right = (blocks.select("list", *[col(k).alias(k + side) for k in key[1:]], *(["vn"] if side == "x" else [])) for side in "xy")
+    both = (col("ox") >= 0) & (col("oy") >= 0)
+    most = F.when(both, F.least(col("ox") + col("ny") - col("oy"), col("oy") + col("nx") - col("ox")))
+    bound = F.least(most, "nx", "ny")  # least() passes over nulls
+    met = left.join(right, "list").filter((col("cx") < col("cy")) & possible(col("nx"), col("px"), col("ny"), col("py")) & linked(bound, col("nx"), col("ny")))
+    sure = F.coalesce(both & linked(col("ox") + col("oy") - col("vn"), col("nx"), col("ny")), F.lit(False))
+    met = met.withColumn("sure", sure)
+    of = lambda side, name: still.select("list", *[col(k).alias(k + side) for k in key[1:]], col("a").alias(name))
+    keys = lambda side: ["list", *[k + side for k in key[1:]]]
+    pairs = met.join(of("x", "x"), keys("x")).join(of("y", "y"), keys("y"))
+    pairs = pairs.groupBy("x", "y").agg(F.max(col("nx").cast("long")).alias("n"), F.max(col("ny").cast("long")).alias("m"), F.max("sure").alias("sure"))
+    pairs = scratch.keep(pairs, "pairs")
+
+    # 3. What bounds leave open is compared.
+    links.append(pairs.filter("sure").select("x", "y"))
+    last = compare(pairs.filter("not sure").drop("sure"), "compared-2")
+    links.append(last.filter(is_link).select("x", "y"))
     label = components(links[0].union(links[1]).union(links[2]), scratch, "label")
 
     # From sets to documents: the smallest id of a set, and of all sets of its component.
-    named = classes.join(label.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
-    smallest = named.groupBy("c").agg(F.min("rep.doc_id").alias("component_id"))
-    by_set = named.join(smallest, "c").select("a", "b", "component_id")
+    owned = classes.join(label.select(col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
+    smallest = owned.groupBy("c").agg(F.min("rep.doc_id").alias("component_id"))
+    by_set = scratch.keep(owned.join(smallest, "c").select("a", "b", "component_id"), "by-set")
+    scratch.drop("lists", "wanted", "packed", "compared-1", "compared-2", "still", "pairs", "classes")
     out = rows.join(by_set, ["a", "b"], "left")
-    own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    own = F.when(col("doc_id").isNull(), None).when(col("n") == 0, col("doc_id")).otherwise(col("component_id"))
+    return out.select("doc_id", col("n").alias("n_shingles"), own.alias("component_id"), "th")

@@ -83,34 +83,67 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE)
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
+class Hasher:
+    """64-bit hashes of runs of bytes with A-Z lower-cased: polynomials over the bytes, read off sums made once."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, U64)
+        values = LOWER[data].astype(U64)
+        values += U64(1)
+        values *= up[: len(data)]
+        np.cumsum(values, out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased: a polynomial over its bytes, read off prefix sums."""
-    up, down = _powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum((LOWER[data].astype(U64) + U64(1)) * up[: len(data)], out=prefix[1:])
-    return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word."""
+    return Hasher(data)(starts, ends)
 
 
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], U64)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle hash), with repeats: runs of ``width`` words, or all of a row with fewer words (none without words)."""
+    """(offsets by row, shingle hashes), with repeats: runs of ``width`` words, or all of a row with fewer words (none without words)."""
     place = np.resize(_PLACE, width) * (np.arange(width, dtype=U64) // U64(5) * U64(2) + U64(1))
     count = np.diff(first)
-    full = np.maximum(count - width + 1, 0)
-    row = np.repeat(np.arange(len(count)), full)
-    at = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full) + first[:-1][row]
-    s = np.zeros(len(at), U64)
-    for k in range(width):
-        s += h[at + k] * place[k]
-    short = np.flatnonzero((count > 0) & (count < width))
-    t = np.zeros(len(short), U64)
+    few = (count > 0) & (count < width)
+    offsets = np.concatenate([[0], np.cumsum(np.where(few, 1, np.maximum(count - width + 1, 0)))])
+    s = np.zeros(offsets[-1], U64)
+    if len(h) >= width:
+        # Runs that begin at each word; those over the end of a row are left out.
+        runs = h[: len(h) - width + 1] * place[0]
+        for k in range(1, width):
+            runs += h[k : len(h) - width + 1 + k] * place[k]
+        left = np.repeat(first[1:], count) - np.arange(first[-1])
+        s[~np.repeat(few, np.diff(offsets))] = runs[left[: len(runs)] >= width]
+    short = np.flatnonzero(few)
+    t = count[short].astype(U64) * U64(0xA0761D6478BD642F)
     for k in range(width - 1):
         has = count[short] > k
         t[has] += h[first[short[has]] + k] * place[k]
-    t += count[short].astype(U64) * U64(0xA0761D6478BD642F)
-    return np.concatenate([row, short]), mixed(np.concatenate([s, t]))
+    s[offsets[short]] = t
+    return offsets, mixed(s)
+
+
+def sort_rows(values: np.ndarray, offsets: np.ndarray) -> None:
+    """Sorts each row's values in place."""
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if b - a > 1:
+            values[a:b].sort()
+
+
+def distinct_rows(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of each row's distinct values in order; ``values`` is sorted in place."""
+    sort_rows(values, offsets)
+    new = np.ones(len(values) + 1, np.int64)
+    new[1:-1] = values[1:] != values[:-1] if len(values) else new[1:-1]
+    new[offsets] = 1
+    kept = np.concatenate([[0], np.cumsum(new[:-1])])
+    return kept[offsets], values[new[:-1] == 1]
 
 
 def distinct_by_row(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

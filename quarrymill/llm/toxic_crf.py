@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.folds import fit_logistic, fold, logistic, sample_labelled
 from quarrymill.llm.scratch import Scratch
-from quarrymill.llm.text_kernel import IS_BREAK, U64, distinct_by_row, mixed, slices, word_hashes, words
+from quarrymill.llm.text_kernel import IS_BREAK, U64, Hasher, distinct_by_row, mixed, slices, words
 
 #: Bytes of the beginnings and ends that count as features beside the word.
 AFFIXES = (4, 5, 6, 7, 8, 9)
@@ -48,18 +48,21 @@ LABEL_BLOCK = 2_000_000
 CLEAR_EVIDENCE, SPAN_GAP = 2.5, 1
 #: Tokens of a sampled document that the weights are fitted to at once.
 PIECE = 300
+#: Cells of the table that tells most features from lexicon entries at once.
+SIEVE = 1 << 20
 #: Nearer tokens with evidence than this share a span if the chain is toxic at both.
 JOIN_GAP = 2
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indices of words, hashes) for the word itself and for each beginning and end that is shorter than it."""
-    everything = np.arange(len(starts))
-    yield everything, word_hashes(data, starts, ends)
+    hashes, longer = Hasher(data), np.arange(len(starts))
+    yield longer, hashes(starts, ends)
     for n in AFFIXES:
-        longer = np.flatnonzero(ends - starts > n)
-        yield longer, mixed(word_hashes(data, starts[longer], starts[longer] + n) + U64(2 * n))
-        yield longer, mixed(word_hashes(data, ends[longer] - n, ends[longer]) + U64(2 * n + 1))
+        longer = longer[ends[longer] - starts[longer] > n]
+        a, b = starts[longer], ends[longer]
+        yield longer, mixed(hashes(a, a + n) + U64(2 * n))
+        yield longer, mixed(hashes(b - n, b) + U64(2 * n + 1))
 
 
 @dataclass
@@ -70,15 +73,15 @@ class Lexicon:
     def __post_init__(self):
         order = np.argsort(self.hashes)
         self.hashes, self.evidence = self.hashes[order], self.evidence[order]
-        self.sieve = np.zeros(1 << 16, bool)
-        self.sieve[(self.hashes & U64(0xFFFF)).astype(np.int64)] = True
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[(self.hashes & U64(SIEVE - 1)).view(np.int64)] = True
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the words with evidence, and the most that any of their features has."""
         best = np.zeros(len(starts))
         if len(self.hashes) and len(starts):
             for index, h in features(data, starts, ends):
-                maybe = np.flatnonzero(self.sieve[(h & U64(0xFFFF)).astype(np.int64)])
+                maybe = np.flatnonzero(self.sieve[(h & U64(SIEVE - 1)).view(np.int64)])
                 at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
                 hit = self.hashes[at] == h[maybe]
                 np.maximum.at(best, index[maybe[hit]], self.evidence[at[hit]])

@@ -230,7 +230,9 @@ def components(texts):
     return {i: (len(s[i]), find(i)) for i in range(len(s))}
 
 
-def test_near_copies_by_brute_force(spark):
+# The defaults; hot shingles and ids that are too many to be sent; an order without a table.
+@pytest.mark.parametrize("limits", [{}, {"HOT": 4, "MOST_SENT": 0}, {"MOST_FREQUENT": 0}])
+def test_near_copies_by_brute_force(spark, monkeypatch, limits):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = [t for t in AWKWARD if t is None or len(t) < 3000]
@@ -244,10 +246,19 @@ def test_near_copies_by_brute_force(spark):
     passage = " ".join(rng.choice(vocabulary, 30))
     texts += [passage + " " + " ".join(rng.choice(vocabulary, int(n))) for n in rng.integers(2, 60, 25)]
     d = docs(spark, texts).withColumn("n", F.lit(1)).repartition(5)
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(d).collect()}
     assert got == components(texts)
 
 
+def test_one_of_each_component_stays(spark):
+    other = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, LINE), (2, LINE.upper()), (2, other), (3, None), (3, None), (None, LINE)]  # id 2 twice: a near copy, and a text of its own
+    kept = jaccard_join.keep_one(docs(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("th", F.lit("clash")))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, LINE), (1, LINE), (2, other), (3, ""), (3, "")]
+
+
 def test_near_copies_of_nothing(spark):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
     lone = jaccard_join.near_duplicates(docs(spark, [LINE, LINE], [None, 4])).collect()
