@@ -9,8 +9,8 @@ the left. Their recursion pauses after ``STEPS`` steps, so that it holds a bound
 there. Decoding joins ids to the vocabulary and strings the bytes together in the order of the ids, per document.
 
 The merge table is the vocabulary's own: a pair's rank is that of its joined bytes. Memory is bounded by slices of
-texts, the pieces of one query and a cache of pieces that is emptied at ``CACHE_PIECES``; a Python worker keeps it for
-its next tasks.
+texts, the pieces of one query and a cache of pieces that is emptied at ``CACHE_BYTES``; a Python worker keeps it for
+its next tasks, and frees it when ``IDLE_SECONDS`` pass without one.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Texts are never shuffled, so repeated rows,
 ties and other columns have no effect on a row.
@@ -19,7 +19,9 @@ ties and other columns have no effect on a row.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+import threading
 from collections.abc import Iterator
 
 import duckdb
@@ -30,9 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.scratch import small_batches
 from quarrymill.llm.text_kernel import slices
 
-CACHE_PIECES = 1_200_000
+#: Of pieces and their ids, with what Python adds to each.
+CACHE_BYTES, ENTRY_BYTES = 160 << 20, 150
+IDLE_SECONDS = 10.0
 #: Bytes of pieces in one recursive query.
 QUERY_BYTES = 1 << 20
 #: Pieces of more bytes, of which places fit in 6 bits, contract all safe occurrences in a step.
@@ -128,6 +133,11 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.cache: dict[str, bytes] = {}
+        self.held = 0
+
+    def close(self) -> None:
+        self.cache.clear()
+        self.db.close()
 
     def _start(self, pieces: list[bytes]) -> pa.Table:
         sizes = np.array([len(p) for p in pieces])
@@ -167,13 +177,11 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of pieces into the cache; only pieces that aren't tokens themselves need a query."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
         short, long = [], []
         for piece in pieces:
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                self.cache[piece] = rank.to_bytes(4, "little")
+                self._hold(piece, rank.to_bytes(4, "little"))
             else:
                 (long if len(raw) > LONG_PIECE else short).append((piece, raw))
         for group, contract in ((short, self._short), (long, self._long)):
@@ -184,15 +192,21 @@ class Codec:
                     size += len(group[hi][1])
                     hi += 1
                 for (piece, _), ids in zip(group[lo:hi], contract([raw for _, raw in group[lo:hi]]), strict=True):
-                    self.cache[piece] = ids
+                    self._hold(piece, ids)
                 lo = hi
 
+    def _hold(self, piece: str, ids: bytes) -> None:
+        self.cache[piece] = ids
+        self.held += ENTRY_BYTES + len(piece) + len(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self.find(t) for t in texts]
+        if self.held > CACHE_BYTES:
+            self.cache.clear()
+            self.held = 0
         fresh: set[str] = set().union(*cut)
-        if len(self.cache) <= CACHE_PIECES:
-            fresh.difference_update(self.cache)
+        fresh.difference_update(self.cache)
         self.learn(fresh)
         return [b"".join(map(self.cache.__getitem__, pieces)) for pieces in cut]
 
@@ -210,16 +224,33 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+_IDLE: list[threading.Timer] = []
+
+
+def _free() -> None:
+    while _CODECS:
+        _CODECS.popitem()[1].close()
 
 
-def _codec(held) -> Codec:
-    """This worker's codec for a vocabulary and pattern; one at a time."""
+@contextlib.contextmanager
+def _codec(held) -> Iterator[Codec]:
+    """This worker's codec for a vocabulary and pattern, one at a time; freed when it has been idle."""
+    while _IDLE:
+        timer = _IDLE.pop()
+        timer.cancel()
+        timer.join()
     content, pattern = held.value
     key = hashlib.sha256(content + pattern.encode()).hexdigest()
     if key not in _CODECS:
-        _CODECS.clear()
+        _free()
         _CODECS[key] = Codec(load_ranks(content), pattern)
-    return _CODECS[key]
+    try:
+        yield _CODECS[key]
+    finally:
+        timer = threading.Timer(IDLE_SECONDS, _free)
+        timer.daemon = True
+        _IDLE.append(timer)
+        timer.start()
 
 
 def encode_documents(documents: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -227,16 +258,14 @@ def encode_documents(documents: DataFrame, ranks: bytes, pattern: str, id_col: s
 
     ``ranks`` is the content of a vocabulary file, of a fixed size, which is broadcast.
     """
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((ranks, pattern))
     names = ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
     digest = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
-        for batch in batches:
-            codec = codec or _codec(held)
-            texts = batch.column(1).fill_null("")
-            for lo, hi, _, _ in slices(texts):
+        with _codec(held) as codec:
+            for texts, (lo, hi, _, _), batch in ((t, s, b) for b in batches for t in [b.column(1).fill_null("")] for s in slices(t)):
                 ids = codec.encode(texts[lo:hi].to_pylist())
                 decoded = codec.decode(ids)
                 columns = {"doc_id": batch.column(0)[lo:hi], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "ids_sha256": pa.array(list(map(digest, ids)), pa.string()), "decoded_sha256": pa.array(list(map(digest, decoded)), pa.string())}
@@ -251,9 +280,8 @@ def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFram
     held = encoded.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
-        for batch in batches:
-            codec = codec or _codec(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.decode(batch.column(1).fill_null(b"").to_pylist()), pa.binary())], ["doc_id", "text"])
+        with _codec(held) as codec:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.decode(batch.column(1).fill_null(b"").to_pylist()), pa.binary())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text binary")

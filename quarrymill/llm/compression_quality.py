@@ -5,7 +5,7 @@ dictionary; the difference of the two sums of sizes, over their total, is the on
 fitted on other labelled rows turns it into a probability of label 1.
 
 Fitting takes a bounded sample (``per_class`` rows a class for dictionaries and as many for the curve, none longer than
-``max_bytes``); scoring reads every whole text in one pass without a shuffle.
+``max_bytes``; a dictionary of ``dictionary_bytes`` holds pieces of ``PIECE`` bytes from all over each text); scoring reads every whole text in one pass without a shuffle.
 
 Defined results: null and empty texts have difference 0 and so the curve's value there. Without labelled rows of both
 classes every score is the constant that the curve then has. Repeated rows are scored alike, other columns pass by.
@@ -13,6 +13,7 @@ classes every score is the constant that the curve then has. Repeated rows are s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.folds import fit_logistic, fold, logistic, sample_labelled
+from quarrymill.llm.scratch import small_batches
 from quarrymill.llm.text_kernel import text_bytes
 
 BLOCK = 4096
+#: Bytes of a text's pieces in a dictionary.
+PIECE = 128
 LEVEL = 3
 
 
@@ -70,15 +74,24 @@ SCALE = 100.0
 
 
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """Texts taken in turn, ``size`` bytes at most; equal shares of each, so that no long text fills the dictionary."""
+    """``size`` bytes at most; an equal share of each text, in pieces from all over it, so that no long text fills the dictionary."""
     if not texts:
         return b""
     share = max(256, size // len(texts))
-    out, left = [], size
+    pieces = []
     for text in texts:
-        part = text[: min(share, left)]
-        out.append(part)
-        left -= len(part)
+        # As many pieces as the share holds, each from a place of its own stretch of the whole text.
+        wanted = max(1, min(share, len(text)) // PIECE)
+        stretch = len(text) / wanted
+        for i in range(wanted):
+            begin, end = int(i * stretch), int((i + 1) * stretch)
+            spare = max(0, end - begin - PIECE)
+            at = begin + (zlib.crc32(text[begin:end]) % (spare + 1) if spare else 0)
+            pieces.append(text[at : min(end, at + PIECE)])
+    out, left = [], size
+    for piece in pieces:
+        out.append(piece[:left])
+        left -= len(piece)
         if left <= 0:
             break
     return b"\n".join(reversed(out))
@@ -87,8 +100,7 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", keep=None, per_class: int = 1000, max_bytes: int = 1 << 16, dictionary_bytes: int = 1 << 18) -> QualityModel:
     """Dictionaries from every other sampled row of each class, the curve from the rest."""
     keep = F.lit(True) if keep is None else keep
-    rows = sample_labelled(documents, labels, label, keep, 2 * per_class, max_bytes).select("doc_id", "text", "y").collect()  # at most 4 * per_class rows of max_bytes
-    rows.sort(key=lambda r: (r.y, r.doc_id if r.doc_id is not None else -1, r.text))
+    rows = sample_labelled(documents, labels, label, keep, 2 * per_class, max_bytes)
     learn = {y: [r.text.encode() for r in rows if r.y == y][::2] for y in (0, 1)}
     model = QualityModel(dictionary(learn[1], dictionary_bytes), dictionary(learn[0], dictionary_bytes), np.zeros(2))
     rest = [r for y in (0, 1) for r in [r for r in rows if r.y == y][1::2]] or rows
@@ -99,6 +111,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", keep=No
 
 def score_quality(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row."""
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -12,22 +12,22 @@ def fold(doc_id, folds: int) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def sample_labelled(documents: DataFrame, labels: DataFrame, label: str, keep, per_class: int, max_bytes: int) -> DataFrame:
+def sample_labelled(documents: DataFrame, labels: DataFrame, label: str, keep, per_class: int, max_bytes: int) -> list[Row]:
     """(doc_id, text, y) of up to ``per_class`` labelled rows a class, the first in the order of a hash of the id.
 
-    ``keep`` is the condition on labelled ids that a fit may use. Rows of more than ``max_bytes`` are left out of the fit
-    (never out of the scoring), which bounds the sample: ``per_class * 2 * max_bytes``.
+    ``keep`` is the condition on labelled ids that a fit may use. Ids are chosen before any text moves, twice the sample,
+    to allow for rows that are absent or of more than ``max_bytes``, which are left out of the fit (never out of the
+    scoring); so at most ``4 * per_class * max_bytes`` reach the driver.
     """
-    known = labels.select(F.col("doc_id"), F.col(label).alias("y")).filter(keep & F.col("y").isin(0, 1)).distinct()
-    # The labelled ids are few and small; twice the sample allows for rows that are absent or too long.
-    chosen = None
-    for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    text = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = text.join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= max_bytes)  # at most 4 * per_class ids
-    parts = [found.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    spark = documents.sparkSession
+    known = labels.select(F.col("doc_id"), F.col(label).alias("y")).filter(keep & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).distinct()
+    chosen = [tuple(r) for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()]
+    ids = spark.createDataFrame(chosen, "doc_id long, y int")
+    text = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
+    found = text.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h")).collect()
+    found.sort(key=lambda r: (r.y, r.h, r.doc_id, r.text))
+    first = [r for r in found if r.y == 0][:per_class]
+    return first + [r for r in found if r.y == 1][:per_class]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:

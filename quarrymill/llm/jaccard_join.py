@@ -40,7 +40,7 @@ from quarrymill.llm.scratch import Scratch
 from quarrymill.llm.text_kernel import U64, distinct_rows, mixed, shingles, slices, sort_rows, word_hashes, words
 
 #: Shingles or index entries that a task holds before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 #: Least number of sets of a shingle in the order table, and its most entries.
 FREQUENT, MOST_FREQUENT = 4, 1 << 21
 #: Sets of a shingle whose index entries travel as plain rows.

@@ -9,7 +9,8 @@ A_k = sum over d of r_d t_d p_dk. Rates solve the least squares problem
 with targets T_k, all tokens N and s_k the domain's tokens at rate 1, by accelerated projected gradient steps. A step
 needs only the domains' totals, a sum over documents; a document's rates follow from its posterior and the totals'
 history, so a pass reads the written posteriors, folds the history since the last snapshot of rates and adds up.
-Nothing is shuffled but one row of totals from each task.
+Nothing is shuffled but one row of totals from each task. Steps end when all targets are reached, when they move nothing
+any more (the ridge holds a domain off its target a little), or at ``most_steps``; ``Fit.ended`` says which.
 
 Fitting the classifier takes a bounded sample of labelled rows (``per_domain``, none over ``max_bytes``); everything else
 covers all documents and whole texts.
@@ -29,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.scratch import Scratch
+from quarrymill.llm.scratch import Scratch, small_batches
 from quarrymill.llm.text_kernel import slices, words
 
 BITS = 12
 SNAPSHOT = 10
+#: A fit is stationary when in so many steps in a row no total moves by more than this share of the tolerance.
+STILL_STEPS, STILL = 3, 0.05
 
 
 def trigram_buckets(data: np.ndarray) -> np.ndarray:
@@ -45,14 +48,26 @@ def trigram_buckets(data: np.ndarray) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
+#: Rows of fewer trigrams are summed trigram by trigram, longer ones by their histogram; and histograms held at once.
+LONG_ROW, HELD_ROWS = 1024, 64
 
 
-def row_means(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Means of the trigrams' values within each row; rows with fewer than three bytes have 0."""
-    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
-    first = np.minimum(offsets[:-1], len(values))
-    end = np.clip(offsets[1:] - 2, first, len(values))
-    return (total[end] - total[first]) / np.maximum(end - first, 1)[:, None]
+def row_means(weights: np.ndarray, buckets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Means of the trigrams' weights within each row of bytes; rows with fewer than three bytes have 0."""
+    first = np.minimum(offsets[:-1], len(buckets))
+    n = np.clip(offsets[1:] - 2, first, len(buckets)) - first
+    out = np.zeros((len(n), weights.shape[1]))
+    short = np.flatnonzero((n > 0) & (n < LONG_ROW))
+    if len(short):
+        starts = np.cumsum(n[short]) - n[short]
+        at = np.arange(n[short].sum()) + np.repeat(first[short] - starts, n[short])
+        out[short] = np.add.reduceat(weights[buckets[at]], starts, axis=0)
+    long = np.flatnonzero(n >= LONG_ROW)
+    for lo in range(0, len(long), HELD_ROWS):
+        rows = long[lo : lo + HELD_ROWS]
+        counts = np.stack([np.bincount(buckets[first[i] : first[i] + n[i]], minlength=len(weights)) for i in rows])
+        out[rows] = counts.astype(np.float32) @ weights
+    return out / np.maximum(n, 1)[:, None]
 
 
 @dataclass
@@ -62,7 +77,7 @@ class DomainModel:
     bias: np.ndarray
 
     def posteriors(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z = row_means(self.weights[trigram_buckets(data)], offsets) + self.bias
+        z = row_means(self.weights, trigram_buckets(data), offsets) + self.bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -83,8 +98,12 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, per_domain: int = 300
     """
     sized = documents.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("_bytes"))
     known = labelled.select("doc_id", "domain").filter("doc_id IS NOT NULL AND domain IS NOT NULL").distinct()
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.join(sized.filter(F.col("_bytes") <= max_bytes), "doc_id").select("doc_id", "domain").distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_domain)
+    known = Scratch(documents.sparkSession, "mixing-labels").keep(known.join(sized.filter(F.col("_bytes") <= max_bytes), "doc_id").select("doc_id", "domain").distinct(), "known")
+    # A large domain's rows with small hashes, four times as many as are taken, are all that meets in its task.
+    sizes = known.groupBy("domain").count().select("domain", F.least(F.lit(1.0), (4.0 * per_domain + 100) / F.col("count")).alias("share"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    order = Window.partitionBy("domain").orderBy(part, "doc_id")
+    ids = known.join(F.broadcast(sizes), "domain").filter(part < F.col("share")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_domain)  # sizes: a row for each domain
     chosen = documents.sparkSession.createDataFrame([tuple(r) for r in ids.select("doc_id", "domain").collect()], "doc_id long, domain string")  # per_domain a domain
     text = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
     sample = sorted(text.join(F.broadcast(chosen), "doc_id").select("domain", "doc_id", "text").collect())
@@ -113,6 +132,7 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, per_domain: int = 300
 
 def posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, tokens (words between white space) and p, the posterior over the model's domains, of every row."""
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights a domain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +210,8 @@ class Fit:
     targets: np.ndarray
     reached: np.ndarray
     steps: int
+    #: "reached" (all targets within the tolerance), "stationary" (no step moves the totals any more) or "limit".
+    ended: str
 
 
 def targets_for(shares: np.ndarray, names: list[str], weights: dict[str, float] | None, temper: float, floor: float, tokens: float) -> np.ndarray:
@@ -225,8 +247,12 @@ def fit_rates(documents: DataFrame, model: DomainModel, weights: dict[str, float
     wanted = targets_for(natural / max(tokens, 1.0), model.names, weights, temper, floor, tokens)
     row_scale = np.maximum(natural, 1e-9 * max(tokens, 1.0))
     # The largest curvature is at most the largest sum of a posterior's entries over its domains' scale, about 1.
-    steps, done, snapshot = none(), 0, 0
-    while tokens and done < most_steps and (np.abs(reached - wanted) / np.maximum(wanted, 1e-3 * tokens)).max() > tolerance:
+    steps, done, snapshot, still, scale = none(), 0, 0, 0, np.maximum(wanted, 1e-3 * tokens)
+    ended = "reached"
+    while tokens and (np.abs(reached - wanted) / scale).max() > tolerance:
+        if still == STILL_STEPS or done == most_steps:
+            ended = "stationary" if still == STILL_STEPS else "limit"
+            break
         direction = (at_point - wanted) / row_scale
         momentum = done / (done + 3.0)
         steps = Steps(floor, ridge, 1.0, np.vstack([steps.directions, direction]), np.append(steps.momenta, (done - 1) / (done + 2.0) if done else 0.0))
@@ -236,10 +262,12 @@ def fit_rates(documents: DataFrame, model: DomainModel, weights: dict[str, float
             table, old, snapshot = scratch.keep(table.mapInArrow(_moved(held), table.schema), f"rates-{done}"), snapshot, done
             scratch.drop(f"rates-{old}")
             steps = none()
+        before = reached
         at_point, reached = totals(steps, momentum)
+        still = still + 1 if (np.abs(reached - before) / scale).max() < STILL * tolerance else 0
     held = spark.sparkContext.broadcast(steps)
     out = table.mapInArrow(_moved(held), table.schema)
-    return Fit(out.select("doc_id", "tokens", "p", "rate"), model.names, wanted, reached, done)
+    return Fit(out.select("doc_id", "tokens", "p", "rate"), model.names, wanted, reached, done, ended)
 
 
 def copies(rate, key) -> F.Column:

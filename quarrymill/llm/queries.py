@@ -22,8 +22,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labelled = documents.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id").withColumn("domain", F.concat_ws(":", "lang", F.col("quality").cast("string")))
     fit = mixing.fit_rates(documents, mixing.fit_domains(documents, labelled), MIXING_TARGETS)
-    top = F.array_position("p", F.array_max("p")).cast("int")
-    return fit.rates.select("doc_id", "tokens", "rate", F.get(F.array(*[F.lit(n) for n in fit.domains]), top - 1).alias("domain"), F.array_max("p").alias("posterior"), mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    top = F.array_position("p", F.array_max("p")).cast("int") - 1
+    of = lambda values: F.get(F.array(*map(F.lit, values)), top)
+    ended = [F.lit(fit.ended).alias("fit_ended"), F.lit(fit.steps).alias("fit_steps")]
+    return fit.rates.select("doc_id", "tokens", "rate", of(fit.domains).alias("domain"), F.array_max("p").alias("posterior"), mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), of(map(float, fit.targets)).alias("domain_target"), of(map(float, fit.reached)).alias("domain_reached"), *ended)
 
 
 def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

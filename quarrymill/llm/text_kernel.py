@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Space and U+0009 to U+000D.
 IS_SPACE = np.zeros(256, bool)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.folds import fit_logistic, fold, logistic, sample_labelled
-from quarrymill.llm.scratch import Scratch
+from quarrymill.llm.scratch import Scratch, small_batches
 from quarrymill.llm.text_kernel import IS_BREAK, U64, Hasher, distinct_by_row, mixed, slices, words
 
 #: Bytes of the beginnings and ends that count as features beside the word.
@@ -355,7 +355,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", keep=None
     )
     if not len(lex.hashes):
         return ToxicModel(Lexicon(), START_WEIGHTS, np.array([np.log(toxic / clean), 0.0, 0.0]))
-    sample = sample_labelled(documents, labels, label, keep, chain_rows, max_bytes).select("doc_id", "text", "y").collect()  # at most 2 * chain_rows rows of max_bytes
+    sample = sample_labelled(documents, labels, label, keep, chain_rows, max_bytes)  # on the driver, bounded
     y = np.array([r.y for r in sample])
     learn, all_features, labelled = [], [], []
     model = ToxicModel(lex, START_WEIGHTS, np.zeros(3))
@@ -382,6 +382,7 @@ def _character_offsets(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, do
 
 def tag_toxicity(documents: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:
     """doc_id, score and (if asked for) spans of every row: arrays of start, end (characters) and probability."""
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,6 +416,7 @@ def tag_toxicity(documents: DataFrame, model: ToxicModel, id_col: str = "doc_id"
 
 def drop_toxic(documents: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``documents``, with all their columns, whose score is below the threshold; nothing is shuffled."""
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
 
