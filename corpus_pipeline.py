@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import bpe, exact_dedup, jaccard_join, mixing, toxic_crf
-from quarrymill.llm.scratch import Scratch
+from quarrymill.llm.scratch import Scratch, cleared
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below one half; null texts stay."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxic_crf.drop_toxic(docs, toxic_crf.fit(docs, labels))
+    """Documents whose score is below one half; null texts stay. A model without evidence that would drop everything is refused."""
+    model = toxic_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not len(model.lexicon.hashes) and model.curve[0] >= 0:
+        raise ValueError("the labels tell no toxic document from others, and most of them are toxic")
+    return toxic_crf.drop_toxic(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies, and all without an id."""
-    named = jaccard_join.near_duplicates(docs)
-    gone = named.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
+        with cleared():
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{i}")
         if i:
             scratch.drop(f"stage-{i - 1}")
     return docs
