@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,26 +22,117 @@ def top_k(hits: DataFrame, k: int, score: Column, key: str = "chunk_id", by: str
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _similar(metric: str, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Each query's similarity (distances negated) to all rows of ``p``, by matrix products; null where it isn't defined."""
+    if metric == "manhattan":
+        return -np.stack([np.abs(p - x).sum(axis=1) for x in q])
+    product = q @ p.T
+    if metric == "dot":
+        return product
+    qq, pp = (q * q).sum(axis=1)[:, None], (p * p).sum(axis=1)[None, :]
+    if metric == "euclidean":
+        return -np.sqrt(np.maximum(qq + pp - 2 * product, 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return product / (np.sqrt(qq) * np.sqrt(pp))
+
+
+def _exactly(metric: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The same for one query, added up in one order, so that equal vectors have equal scores."""
+    if metric == "manhattan":
+        return -np.abs(p - x).sum(axis=1)
+    if metric == "euclidean":
+        return -np.sqrt(((p - x) ** 2).sum(axis=1))
+    product = (p * x).sum(axis=1)
+    if metric == "dot":
+        return product
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return product / (np.sqrt((x * x).sum()) * np.sqrt((p * p).sum(axis=1)))
+
+
+def _nearest(held, k: int, metric: str, same: bool):
+    """mapInArrow over (chunk_id, dense): this batch's best ``k`` of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = held.value
+        for batch in batches:
+            vectors = batch.column(1)
+            ok = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), q.shape[1]), False).to_numpy(zero_copy_only=False))
+            ids = batch.column(0).take(pa.array(ok))
+            p = vectors.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+            number = {x: i for i, x in enumerate(ids.to_pylist())}
+            order = np.argsort(np.argsort(np.array(ids.to_pylist()))) if len(ids) else np.zeros(0, int)
+            who, at, score = [], [], []
+            for lo in range(0, len(q), 256):
+                rough = np.nan_to_num(_similar(metric, q[lo : lo + 256], p), nan=-np.inf) if len(p) else np.zeros((0, 0))
+                for i, row in enumerate(rough):
+                    if not same and (own := number.get(names[lo + i])) is not None:
+                        row[own] = -np.inf
+                    most = min(k, len(row))
+                    least = np.partition(row, len(row) - most)[len(row) - most]
+                    near = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & np.isfinite(row)) if np.isfinite(least) else np.flatnonzero(np.isfinite(row))
+                    exact = _exactly(metric, q[lo + i], p[near])
+                    best = np.lexsort((order[near], -exact))[:k]
+                    who += [names[lo + i]] * len(best)
+                    at.append(near[best])
+                    score.append(exact[best])
+            if who:
+                found = ids.take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(who, held_type(names)), found, pa.array(np.concatenate(score))], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def held_type(names: list) -> pa.DataType:
+    return pa.string() if names and isinstance(names[0], str) else pa.int64()
+
+
 def dense_search(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", condition: Column | None = None, same: bool = False) -> DataFrame:
     """query_id, chunk_id, score and rank of the nearest points of a stated set of queries, by exhaustive scan.
 
     ``points`` has chunk_id and dense, ``queries`` query_id and dense; ``condition`` filters points before any is
-    scored. Queries are counted and sent out in blocks of ``QUERY_BLOCK``; each task keeps the best k of each query
-    before anything is shuffled. ``same`` lets a query find the point of its own id.
+    scored. Queries are counted and sent out as matrices of ``QUERY_BLOCK`` rows at most; each batch of points is one
+    matrix product with a block and keeps the best k of each query before anything is shuffled, so points are never
+    moved. Points without a vector of the queries' length don't take part. ``same`` lets a query find the point of its
+    own id.
     """
+    spark = points.sparkSession
     if condition is not None:
         points = points.filter(condition)
-    n = queries.count()
-    q = queries.select("query_id", F.col("dense").alias("_q"))
-    blocks = -(-n // QUERY_BLOCK) or 1
-    out = None
-    for block in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        pairs = points.select("chunk_id", "dense").join(F.broadcast(part), F.lit(True) if same else F.col("chunk_id") != F.col("query_id"))
-        score = V.METRICS[metric](F.col("dense"), F.col("_q"))
-        found = pairs.select("query_id", "chunk_id", (-score if metric in V.DISTANCES else score).alias("score"))
-        found = top_k(found, k, F.col("score"))
-        out = found if out is None else out.unionByName(found)
+    kinds = dict(points.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    q = queries.filter(F.size("dense") > 0).select("query_id", F.transform("dense", lambda x: x.cast("double")).alias("_q"), F.size("dense").alias("_n"))
+    found = None
+    for length in [r["_n"] for r in q.select("_n").distinct().collect()]:
+        own = q.filter(F.col("_n") == length)
+        blocks = -(-own.count() // QUERY_BLOCK)
+        for block in range(blocks):
+            rows = (own if blocks == 1 else own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).collect()  # about QUERY_BLOCK rows
+            if rows:
+                held = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r["_q"] for r in rows], np.float64)))
+                part = points.select("chunk_id", "dense").mapInArrow(_nearest(held, k, metric, same), schema)
+                found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    out = top_k(found, k, F.col("score"))
+    return out.withColumn("score", -F.col("score")) if metric in V.DISTANCES else out
+
+
+def binary_search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` points of each query that agree with it in most signs of components (``agree``), ties to the smaller id."""
+    sign = lambda v: F.transform(v, lambda x: F.when(x > 0, 1.0).otherwise(-1.0))
+    n = F.size("dense")
+    p = points.filter(n > 0).select("chunk_id", sign(F.col("dense")).alias("dense"))
+    found = dense_search(p, queries.select("query_id", sign(F.col("dense")).alias("dense")), k, "dot")
+    length = queries.select("query_id", n.alias("_n"))
+    # Of n signs, those that agree less those that don't are the product.
+    return found.join(length, "query_id").select("query_id", "chunk_id", ((F.col("score") + F.col("_n")) / 2).cast("int").alias("agree"), "rank")
+
+
+def rescored(hits: DataFrame, points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """The best ``k`` of rough ``hits`` (of quantised vectors, say) by their score on the original vectors."""
+    pairs = hits.select("query_id", "chunk_id").join(points.select("chunk_id", "dense"), "chunk_id").join(queries.select("query_id", F.col("dense").alias("_q")), "query_id")
+    score = V.METRICS[metric](F.col("dense"), F.col("_q"))
+    out = top_k(pairs.select("query_id", "chunk_id", (-score if metric in V.DISTANCES else score).alias("score")), k, F.col("score"))
     return out.withColumn("score", -F.col("score")) if metric in V.DISTANCES else out
 
 
@@ -47,21 +143,43 @@ def sparse_search(postings: DataFrame, query_terms: DataFrame, k: int) -> DataFr
     return top_k(scored, k, F.round("score", 9))
 
 
+def tokenised(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """chunk_id and ``words``, lower-cased runs of letters, digits and underscores, with their number ``dl``."""
+    words = documents.select(F.col(key).alias("chunk_id"), F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1).alias("words"))
+    return words.select("chunk_id", "words", F.coalesce(F.size("words"), F.lit(0)).alias("dl"))
+
+
 def terms(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(chunk_id, term, tf, dl): lower-cased runs of letters, digits and underscores."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    exploded = documents.select(F.col(key).alias("chunk_id"), F.size(words).alias("dl"), F.explode(words).alias("term"))
+    """(chunk_id, term, tf, dl) of all words."""
+    exploded = tokenised(documents, key, text).select("chunk_id", "dl", F.explode("words").alias("term"))
     return exploded.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
+#: Most terms of queries that are sent to every task; with more, words meet them in a shuffle.
+MOST_TERMS = 1 << 20
+
+
 def bm25_search(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi scores of (query_id, text) over documents; only terms of queries are counted and shuffled."""
-    asked = terms(queries, "query_id", "text").select(F.col("chunk_id").alias("query_id"), "term")
-    sizes = documents.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("avg_dl")).first()
-    postings = terms(documents, key, text).join(asked.select("term").distinct(), "term", "left_semi")
-    idf = postings.groupBy("term").agg(F.log(F.lit(1.0) + (F.lit(float(sizes.n)) - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5)).alias("idf"))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(sizes.avg_dl or 1.0))))
-    weighted = postings.join(idf, "term").select("chunk_id", "term", (F.col("idf") * tf).alias("weight"))
+    """Okapi scores of (query_id, text) over documents.
+
+    A text is cut into words once, before they are exploded, so no text or regular expression stands above the explosion.
+    One pass counts documents by term (each document's words once, and a null word that counts it and its length), the
+    other keeps the words that are asked for, which are all that is counted by document and shuffled.
+    """
+    asked = tokenised(queries, "query_id", "text").select(F.col("chunk_id").alias("query_id"), F.explode(F.array_distinct("words")).alias("term"))
+    wanted = asked.select("term").distinct()
+    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    sent = lambda df: F.broadcast(df) if few else df  # noqa: E731  a row for each term of the queries, at most MOST_TERMS
+    words = tokenised(documents, key, text)
+    once = words.select("dl", F.explode(F.array_append(F.coalesce(F.array_distinct("words"), F.array().cast("array<string>")), F.lit(None).cast("string"))).alias("term"))
+    counted = once.join(sent(wanted.unionByName(documents.sparkSession.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "_t")), F.col("term").eqNullSafe(F.col("_t")))
+    found = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
+    total = found.filter("term IS NULL").first()
+    n, average = (float(total.n), float(total.dl / total.n)) if total else (0.0, 1.0)
+    idf = found.filter("term IS NOT NULL").select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
+    postings = words.select("chunk_id", "dl", F.explode("words").alias("term")).join(sent(idf), "term").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.max("idf").alias("idf"))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average or 1.0)))
+    weighted = postings.select("chunk_id", "term", (F.col("idf") * tf).alias("weight"))
     return sparse_search(weighted, asked.withColumn("weight", F.lit(1.0)), k)
 
 

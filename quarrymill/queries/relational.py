@@ -74,11 +74,11 @@ def _(spark, d):
     return e.join(e.filter("vec_id % 5 = 0"), "vec_id", "left_anti")
 
 
-@query("j7_rerank_enrichment", "SELECT r.event_id, r.value AS rerank_score, o.value AS original_score FROM events r LEFT JOIN (SELECT event_id, value FROM events WHERE event_id % 2 = 0) o USING (event_id) WHERE r.event_id % 3 = 0")
+@query("j7_rerank_enrichment", "SELECT r.event_id, r.value AS rerank_score, o.value AS original_score FROM events r LEFT JOIN (SELECT event_id, value FROM events WHERE event_type <> 'view') o USING (event_id)")
 def _(spark, d):
     e = load(spark, d, "events")
-    original = e.filter("event_id % 2 = 0").select("event_id", c("value").alias("original_score"))
-    return e.filter("event_id % 3 = 0").select("event_id", c("value").alias("rerank_score")).join(original, "event_id", "left")
+    original = e.filter("event_type <> 'view'").select("event_id", c("value").alias("original_score"))
+    return e.select("event_id", c("value").alias("rerank_score")).join(original, "event_id", "left")
 
 
 @query("j8_positional_join", "SELECT a.o_orderkey, b.l_partkey FROM orders a JOIN lineitem b ON a.o_orderkey = b.l_orderkey AND b.l_linenumber = 1")
@@ -201,9 +201,9 @@ def _(spark, d):
     return li.filter("l_quantity > 40").select("l_partkey").subtract(li.filter("l_discount > 0.05").select("l_partkey"))
 
 
-@query("u8_store_merge", "SELECT DISTINCT sha256(text) AS key FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT text FROM conversations)")
+@query("u8_store_merge", "SELECT DISTINCT sha256(text) AS key FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)")
 def _(spark, d):
-    both = load(spark, d, "documents").filter("doc_id % 2 = 0").select("text").unionByName(load(spark, d, "conversations").select("text"))
+    both = load(spark, d, "documents").select("text").unionByName(load(spark, d, "conversations").select("text"))
     return both.select(T.content_hash(c("text")).alias("key")).distinct()
 
 

@@ -59,9 +59,9 @@ def _(spark, d):
     return files(spark, d).select(T.content_hash(c("path")).alias("chunk_id"), c("path").alias("file_path"), c("lang").alias("language"), F.char_length("text").alias("length"), T.content_hash(c("text")).alias("content_hash"), ((c("doc_id") % 2 == 0) & (c("doc_id") % 3 == 0)).alias("embedding_complete"))
 
 
-@query("p8_p9_hit_projection", f"{_FILE} SELECT path AS file_path, 1 AS span_start, len(string_split(text, chr(10)))::INT AS span_end, round(n_chars / 1000.0, 6) AS relevance FROM f WHERE doc_id % 10 = 0")
+@query("p8_p9_hit_projection", f"{_FILE} SELECT path AS file_path, 1 AS span_start, len(string_split(text, chr(10)))::INT AS span_end, round(n_chars / 1000.0, 6) AS relevance FROM f")
 def _(spark, d):
-    return files(spark, d).filter("doc_id % 10 = 0").select(c("path").alias("file_path"), F.lit(1).alias("span_start"), F.size(F.split("text", "\n", -1)).alias("span_end"), F.round(F.coalesce(F.lit(None).cast("double"), c("n_chars") / 1000.0), 6).alias("relevance"))
+    return files(spark, d).select(c("path").alias("file_path"), F.lit(1).alias("span_start"), F.size(F.split("text", "\n", -1)).alias("span_end"), F.round(F.coalesce(F.lit(None).cast("double"), c("n_chars") / 1000.0), 6).alias("relevance"))
 
 
 @query("p10_x1_truncated", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END AS short FROM documents")

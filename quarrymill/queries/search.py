@@ -29,8 +29,8 @@ def _points(spark, d):
 
 
 def _asked(spark, d):
-    """A stated set of five query vectors."""
-    return _points(spark, d).filter("chunk_id < 5").select(c("chunk_id").alias("query_id"), "dense")
+    """The stated queries: vectors whose id is divisible by 50."""
+    return _points(spark, d).filter("chunk_id % 50 = 0").select(c("chunk_id").alias("query_id"), "dense")
 
 
 _E = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings"
@@ -43,7 +43,7 @@ _METRIC = {
 
 
 def _dense_sql(metric: str, k: int, where: str = "true") -> str:
-    return f"""WITH e AS ({_E}), s AS (SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, p.label, {_METRIC[metric]} AS score FROM e q JOIN e p ON q.vec_id <> p.vec_id WHERE q.vec_id < 5 AND p.{where if where != "true" else "vec_id >= 0"}),
+    return f"""WITH e AS ({_E}), s AS (SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, p.label, {_METRIC[metric]} AS score FROM e q JOIN e p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0 AND p.{where if where != "true" else "vec_id >= 0"}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, {"label, " if where == "true" else ""}round({"-" if metric in V.DISTANCES else ""}score, 6) AS score, rank FROM r WHERE rank <= {k}"""
 
 
@@ -68,24 +68,24 @@ def _(spark, d):
     return Q.dense_search(_points(spark, d), _asked(spark, d), 30, condition=c("label").isin(1, 3, 5)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("v3_sparse_search", """WITH p AS (SELECT l_orderkey AS chunk_id, l_suppkey AS term, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), q AS (SELECT s_nationkey AS query_id, s_suppkey AS term, 1.0 + s_suppkey % 3 AS weight FROM supplier WHERE s_nationkey < 4),
+@query("v3_sparse_search", """WITH p AS (SELECT l_orderkey AS chunk_id, l_suppkey AS term, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), q AS (SELECT s_nationkey AS query_id, s_suppkey AS term, 1.0 + s_suppkey % 3 AS weight FROM supplier),
     s AS (SELECT query_id, chunk_id, sum(p.weight * q.weight) AS score FROM p JOIN q USING (term) GROUP BY ALL) SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 30""")
 def _(spark, d):
     postings = load(spark, d, "lineitem").groupBy(c("l_orderkey").alias("chunk_id"), c("l_suppkey").alias("term")).agg(F.sum("l_quantity").alias("weight"))
-    asked = load(spark, d, "supplier").filter("s_nationkey < 4").select(c("s_nationkey").alias("query_id"), c("s_suppkey").alias("term"), (1.0 + c("s_suppkey") % 3).alias("weight"))
+    asked = load(spark, d, "supplier").select(c("s_nationkey").alias("query_id"), c("s_suppkey").alias("term"), (1.0 + c("s_suppkey") % 3).alias("weight"))
     return Q.sparse_search(postings, asked, 30).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 #: Benchmark passages as text queries.
 _BM25 = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1) AS ws FROM documents), n AS (SELECT count(*) AS n, avg(len(ws)) AS avg_dl FROM t),
-    q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) AS term FROM benchmark WHERE item_id < 5), u AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM t),
+    q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) AS term FROM benchmark), u AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM t),
     p AS (SELECT doc_id, dl, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL), i AS (SELECT term, ln(1.0 + (any_value(n.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, n GROUP BY term),
     b AS (SELECT query_id, doc_id AS chunk_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) AS score FROM p JOIN i USING (term) JOIN q USING (term), n GROUP BY ALL),
     sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM b QUALIFY rank <= 30)"""
 
 
 def _texts(spark, d):
-    return load(spark, d, "benchmark").filter("item_id < 5").select(c("item_id").alias("query_id"), "text")
+    return load(spark, d, "benchmark").select(c("item_id").alias("query_id"), "text")
 
 
 @query("v4_bm25", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 5) AS score FROM sparse")
@@ -93,7 +93,7 @@ def _(spark, d):
     return Q.bm25_search(load(spark, d, "documents"), _texts(spark, d), 30).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
-_LEGS = f"""e AS ({_E}), dense AS (SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, {_METRIC["cosine"]} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_METRIC["cosine"]} DESC, p.vec_id) AS rank FROM e q JOIN e p ON q.vec_id <> p.vec_id WHERE q.vec_id < 5 QUALIFY rank <= 30), {_BM25}"""
+_LEGS = f"""e AS ({_E}), dense AS (SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, {_METRIC["cosine"]} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_METRIC["cosine"]} DESC, p.vec_id) AS rank FROM e q JOIN e p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 30), {_BM25}"""
 
 
 def _legs(spark, d):
@@ -195,11 +195,17 @@ def _(spark, d):
     return z.select("vec_id", F.aggregate("z", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("z").alias("most"), F.array_min("z").alias("least"))
 
 
-@query("v18_binary_search", f"WITH e AS ({_E}) SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, list_sum(list_transform(list_zip(q.v, p.v), lambda z: ((z[1] > 0) = (z[2] > 0))::INT))::INT AS agree FROM e q JOIN e p ON q.vec_id <> p.vec_id WHERE q.vec_id < 2")
+@query("v18_binary_search", f"WITH e AS ({_E}) SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, list_sum(list_transform(list_zip(q.v, p.v), lambda z: ((z[1] > 0) = (z[2] > 0))::INT))::INT AS agree FROM e q JOIN e p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY agree DESC, p.vec_id) <= 30")
 def _(spark, d):
-    p = load(spark, d, "embeddings")
-    q = p.filter("vec_id < 2").select(c("vec_id").alias("query_id"), c("embedding").alias("q"))  # two stated queries
-    return p.join(F.broadcast(q), c("vec_id") != c("query_id")).select("query_id", c("vec_id").alias("chunk_id"), V.sign_agreement(c("q"), c("embedding")).alias("agree"))
+    return Q.binary_search(_points(spark, d), _asked(spark, d), 30).select("query_id", "chunk_id", "agree")
+
+
+@query("v18_rescored_search", _dense_sql("cosine", 10).replace("chunk_id, label, round", "chunk_id, round"))
+def _(spark, d):
+    p, q = _points(spark, d).select("chunk_id", "dense"), _asked(spark, d)
+    whole = p.count()
+    rough = Q.binary_search(p, q, whole)  # every point is a candidate, so that the rescored result is the exact one
+    return Q.rescored(rough, p, q, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("v19_shortened", f"WITH e AS ({_E}) SELECT vec_id, round(sqrt(list_sum(list_transform(v[1:16], lambda x: x * x))), 6) AS norm16 FROM e")
