@@ -7,15 +7,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of the order that are summed on their own.
+RANGES = 256
+
+
 def running_batches(rows: DataFrame, order: list[str], tokens: Column, budget: int) -> DataFrame:
     """``batch``: the running total of tokens over the whole order, in units of the budget.
 
-    Rows are dealt to ranges of the order; each range is summed on its own, and what comes before a range is added from
-    the ranges' totals, so no task sees all rows.
+    Rows are dealt to ranges of the order by fixed bounds, so a row's range doesn't change when a task is run again; each
+    range is summed on its own, and what comes before a range is added from the ranges' totals, so no task sees all rows.
     """
-    spread = rows.withColumn("_tokens", tokens.cast("long")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    first = F.col(order[0])
+    bounds = rows.select(F.percentile_approx(first, [i / RANGES for i in range(1, RANGES)], 10_000).alias("b")).first().b or []
+    held = F.lit(sorted(set(bounds))) if bounds else F.array()
+    spread = rows.withColumn("_tokens", tokens.cast("long")).withColumn("_part", F.size(F.filter(held, lambda x: x <= first)) if bounds else F.lit(0))
     totals = spread.groupBy("_part").agg(F.sum("_tokens").alias("_sum"))
-    before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each partition
+    before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each range
     own = F.sum("_tokens").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return spread.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_own")) / budget)).drop("_tokens", "_part", "_own", "_before")
 

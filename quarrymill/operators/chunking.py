@@ -7,6 +7,8 @@ function of one file, run over Arrow batches, so files are spread over tasks and
 from __future__ import annotations
 
 import ast
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.batching import merge_small
+
 #: Kinds of delimiters with their priority, and those whose chunks keep their size.
 PRIORITY = {
     "module_boundary": 90, "class": 85, "interface": 80, "type_alias": 75, "impl_block": 75, "struct": 75, "extension": 70, "function": 70, "property": 65, "method": 65, "enum": 65,
@@ -94,6 +98,8 @@ KEYWORDS = {
 _KIND = {word: kind for kind, words in KEYWORDS.items() for word in words}
 _WORD = re.compile(r"\b(" + "|".join(sorted(_KIND, key=len, reverse=True)) + r")\b")
 _PAIR = {"{": "}", "(": ")", "[": "]"}
+_OPENS = {closed: opened for opened, closed in _PAIR.items()}
+_BRACKET = re.compile(r"[{}()\[\]]")
 _SKIP = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*.*?\*/|#[^\n]*", re.S)
 
 
@@ -115,14 +121,15 @@ def masked(text: str) -> str:
 
 
 def brackets(code: str) -> list[tuple[int, int, str, int]]:
-    """(open, close, bracket, depth) of matched brackets, by a stack."""
-    stack, out = [], []
-    for i, ch in enumerate(code):
+    """(open, close, bracket, depth) of matched brackets, by a stack for each kind."""
+    stacks: dict[str, list[int]] = {opened: [] for opened in _PAIR}
+    out = []
+    for m in _BRACKET.finditer(code):
+        ch = m[0]
         if ch in _PAIR:
-            stack.append((i, ch))
-        elif stack and ch == _PAIR[stack[-1][1]]:
-            at, opened = stack.pop()
-            out.append((at, i + 1, opened, len(stack)))
+            stacks[ch].append(m.start())
+        elif held := stacks[_OPENS[ch]]:
+            out.append((held.pop(), m.end(), _OPENS[ch], len(held)))
     return out
 
 
@@ -151,9 +158,9 @@ def boundaries(text: str) -> list[Boundary]:
     for m in _WORD.finditer(code):
         line_end = code.find("\n", m.end())
         line_end = len(code) if line_end < 0 else line_end
-        brace = next((a for a in opens if m.end() <= a <= line_end), None)
-        if brace is not None:
-            out.append(Boundary(m.start(), braces[brace][0], _KIND[m[1]], braces[brace][1]))
+        at = bisect.bisect_left(opens, m.end())
+        if at < len(opens) and opens[at] <= line_end:
+            out.append(Boundary(m.start(), braces[opens[at]][0], _KIND[m[1]], braces[opens[at]][1]))
         elif code[m.end() : line_end].rstrip().endswith(":"):
             out.append(Boundary(m.start(), indented_end(code, m.start()), _KIND[m[1]], 0))
     return out
@@ -169,68 +176,137 @@ def resolved(found: list[Boundary]) -> list[Boundary]:
     return sorted(chosen, key=lambda b: (b.start, -b.end))
 
 
-def split_lines(first: int, last: int, lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of lines of at most ``most`` characters each; a longer line is alone."""
-    start, used = first, 0
-    for n in range(first, last + 1):
-        size = lengths[n - 1] + 1
-        if used and used + size > most:
-            yield start, n - 1
-            start, used = n, 0
-        used += size
-    if start <= last:
-        yield start, last
+Chunk = tuple[int, int, str, int]
+
+
+class Lines:
+    """The lines of a file, by number from 1."""
+
+    def __init__(self, text: str):
+        self.text = text.split("\n")
+        self.starts = [0, *itertools.accumulate(len(x) + 1 for x in self.text)]
+
+    def of(self, at: int) -> int:
+        """The line of a character's place."""
+        return bisect.bisect_right(self.starts, at)
+
+    def size(self, first: int, last: int) -> int:
+        return self.starts[last] - self.starts[first - 1] - 1
+
+    def stretches(self, first: int, last: int) -> Iterator[tuple[int, int]]:
+        """Runs of lines that aren't blank."""
+        start = None
+        for n in range(first, last + 2):
+            if n <= last and self.text[n - 1].strip():
+                start = start or n
+            elif start:
+                yield start, n - 1
+                start = None
+
+
+def split_lines(lines: Lines, first: int, last: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of at most ``most`` characters each, cut at blank lines where that is possible; a longer line is alone."""
+    start = end = None
+    for a, b in lines.stretches(first, last):
+        if start and lines.size(start, b) <= most:
+            end = b
+            continue
+        if start:
+            yield start, end
+        start, end = a, b
+        while lines.size(start, end) > most and start < end:
+            cut = max(start, bisect.bisect_right(lines.starts, lines.starts[start - 1] + most + 1) - 1)
+            yield start, min(cut, end - 1)
+            start = min(cut, end - 1) + 1
+    if start:
+        yield start, end
+
+
+def uncovered(lines: Lines, found: list[Chunk]) -> list[Chunk]:
+    """Blocks of the lines that no chunk holds, between blank lines."""
+    out, at = [], 1
+    for a, b, _, _ in [*sorted(found), (len(lines.text) + 1, 0, "", 0)]:
+        out += [(x, y, "block", 0) for x, y in lines.stretches(at, a - 1)] if a > at else []
+        at = max(at, b + 1)
+    return out
+
+
+def sized(lines: Lines, found: list[Chunk], sizes: Sizes) -> list[Chunk]:
+    """Chunks after what their size asks for: small neighbours of no kind of their own join, those over the limit are cut."""
+    out: list[Chunk] = []
+    run: list[Chunk] = []
+
+    def close() -> None:
+        groups = merge_small([lines.size(a, b) // 4 for a, b, _, _ in run], sizes.floor, sizes.acceptable)
+        for _, part in itertools.groupby(zip(groups, run, strict=True), lambda x: x[0]):
+            held = [c for _, c in part]
+            out.append((held[0][0], held[-1][1], held[0][2], held[0][3]))
+        run.clear()
+
+    for a, b, kind, depth in sorted(set(found)):
+        most = sizes.limit if kind in KEPT_WHOLE else sizes.acceptable
+        if lines.size(a, b) // 4 > most:
+            close()
+            out += [(x, y, kind, depth) for x, y in split_lines(lines, a, b, sizes.optimal * 4)]
+        elif kind in KEPT_WHOLE:
+            close()
+            out.append((a, b, kind, depth))
+        else:
+            if run and run[-1][1] + 1 != a:
+                close()
+            run.append((a, b, kind, depth))
+    close()
+    return sorted(set(out))
+
 
+def delimiter_chunks(text: str, sizes: Sizes = Sizes()) -> list[Chunk]:
+    """(first line, last line, kind, depth) of a file's chunks, which hold every line that isn't blank.
 
-def delimiter_chunks(text: str, sizes: Sizes = Sizes()) -> list[tuple[int, int, str, int]]:
-    """(first line, last line, kind, depth) of a file's chunks: structures, and paragraphs where there are none."""
+    Structures, and blocks of what stands between them; paragraphs where there are no structures.
+    """
     if not text.strip():
         return [(1, text.count("\n") + 1, "whitespace", 0)] if text else []
-    lines = text.split("\n")
-    lengths = [len(x) for x in lines]
-    line_of = lambda at: text.count("\n", 0, at) + 1
+    lines = Lines(text)
     kept = [b for b in resolved(boundaries(text)) if b.kind in KEPT_WHOLE or b.end - b.start >= sizes.floor * 4]
-    found = [(line_of(b.start), line_of(max(b.start, b.end - 1)), b.kind, b.depth) for b in kept]
-    if not found:
-        at = 0
-        for part in re.split(r"(\n\n+)", text):
-            if part.strip():
-                found.append((line_of(at), line_of(at + len(part.rstrip("\n")) - 1), "paragraph", 0))
-            at += len(part)
-    out = []
-    for a, b, kind, depth in found:
-        size = sum(lengths[a - 1 : b]) + b - a
-        if size // 4 > sizes.limit:
-            out += [(x, y, kind, depth) for x, y in split_lines(a, b, lengths, sizes.optimal * 4)]
-        else:
-            out.append((a, b, kind, depth))
-    return sorted(set(out))
+    found = [(lines.of(b.start), lines.of(max(b.start, b.end - 1)), b.kind, b.depth) for b in kept]
+    if found:
+        found += uncovered(lines, found)
+    else:
+        found = [(a, b, "paragraph", 0) for a, b in lines.stretches(1, len(lines.text))]
+    return sized(lines, found, sizes)
+
 
+def python_chunks(text: str, sizes: Sizes = Sizes(), deepest: int = 200) -> list[Chunk]:
+    """The same from the syntax tree of Python code; what doesn't parse is cut by delimiters.
 
-def python_chunks(text: str, sizes: Sizes = Sizes(), deepest: int = 200) -> list[tuple[int, int, str, int]]:
-    """The same from the syntax tree of Python code; what doesn't parse is cut by delimiters."""
+    A class over the limit gives way to its parts; what stands between them, and what is nested deeper than ``deepest``,
+    becomes blocks. A function over the limit is cut at blank lines.
+    """
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return delimiter_chunks(text, sizes)
-    out: list[tuple[int, int, str, int]] = []
-
-    def visit(node: ast.AST, depth: int) -> None:
+    lines = Lines(text)
+    found: list[Chunk] = []
+    todo: list[tuple[ast.AST, int]] = [(tree, 0)]
+    while todo:
+        node, depth = todo.pop()
         for child in ast.iter_child_nodes(node):
             kind = "class" if isinstance(child, ast.ClassDef) else "function" if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef) else None
             if kind and depth < deepest:
                 first, last = min([child.lineno, *(d.lineno for d in child.decorator_list)]), child.end_lineno
-                own = "method" if kind == "function" and isinstance(node, ast.ClassDef) else kind
-                size = len(ast.get_source_segment(text, child) or "") // 4
-                if size > sizes.limit and kind == "class":
-                    visit(child, depth + 1)
+                if kind == "class" and lines.size(first, last) // 4 > sizes.limit:
+                    todo.append((child, depth + 1))
                 else:
-                    out.append((first, last, own, depth))
+                    found.append((first, last, "method" if kind == "function" and isinstance(node, ast.ClassDef) else kind, depth))
             elif isinstance(node, ast.Module) and hasattr(child, "lineno"):
-                out.append((child.lineno, child.end_lineno, "module", depth))
+                found.append((child.lineno, child.end_lineno, "module", depth))
+    return sized(lines, found + uncovered(lines, found), sizes) or delimiter_chunks(text, sizes)
+
 
-    visit(tree, 0)
-    return sorted(set(out)) or delimiter_chunks(text, sizes)
+def over_limit(chunks: DataFrame, key: str, most: int = 5000) -> DataFrame:
+    """Files with more chunks than a file should have, and how many; all their chunks stay."""
+    return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks")).filter(F.col("chunks") > most)
 
 
 def chunk_files(files: DataFrame, key: str = "path", text: str = "text", language: str = "language", sizes: Sizes = Sizes()) -> DataFrame:

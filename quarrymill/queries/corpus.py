@@ -67,7 +67,7 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", chunking.action(F.floor(F.char_length("text") / 4)).alias("action"))
 
 
-@query("c11_python_chunks")
+@query("c11_python_chunks", "SELECT doc_id::VARCHAR AS key, (i - 1)::INT AS chunk_index, (3 * i - 2)::INT AS line_start, (3 * i - 1)::INT AS line_end, 'function' AS kind FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
 def _(spark, d):
     """Documents dressed up as Python modules, a function for each line."""
     body = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("def f"), i.cast("string"), F.lit("():\n    return "), F.char_length(x).cast("string"))), "\n\n")
@@ -75,6 +75,11 @@ def _(spark, d):
     return chunking.chunk_files(f).select("key", "chunk_index", "line_start", "line_end", "kind")
 
 
+@query("c14_over_limit", r"SELECT doc_id, count(*) AS chunks FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\n+')) AS content FROM documents) WHERE trim(regexp_replace(content, '\s+', ' ', 'g')) <> '' GROUP BY doc_id HAVING count(*) > 3")
+def _(spark, d):
+    return chunking.over_limit(chunking.paragraphs(load(spark, d, "documents"), "doc_id", "text"), "doc_id", 3)
+
+
 @query("c16_c17_priorities", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {p}, {str(k in chunking.NESTABLE).lower()}, {str(k in chunking.KEPT_WHOLE).lower()})" for k, p in chunking.PRIORITY.items()) + ") t(kind, priority, nestable, kept_whole)")
 def _(spark, d):
     rows = [(k, p, k in chunking.NESTABLE, k in chunking.KEPT_WHOLE) for k, p in chunking.PRIORITY.items()]
@@ -93,7 +98,10 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", (n("{") - n("}")).alias("open_braces"))
 
 
-@query("w5_file_batches")
+@query("w5_file_batches", """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) // 4 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    r(conv_id, turn, i, batch, used) AS (SELECT conv_id, turn, i, 0::BIGINT, n FROM t WHERE i = 1 UNION ALL
+    SELECT t.conv_id, t.turn, t.i, r.batch + (r.used > 0 AND r.used + t.n > 400)::INT, CASE WHEN r.used > 0 AND r.used + t.n > 400 THEN t.n ELSE r.used + t.n END FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
+    SELECT conv_id, turn, batch FROM r""")
 def _(spark, d):
     turns = load(spark, d, "conversations").select("conv_id", "turn", "text")
     return batching.file_batches(turns, "conv_id", "turn", F.floor(F.char_length("text") / 4), 400).select("conv_id", "turn", "batch")
