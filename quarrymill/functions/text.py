@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def truncated(text: Column, most: int = 100, ellipsis: str = "...") -> Column:
@@ -34,6 +39,83 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.trim(split, F.lit("_")))
 
 
+def _parts(name: Column) -> Column:
+    return F.filter(F.split(snake_case(name), "_"), lambda w: w != "")
+
+
+def camel_case(name: Column) -> Column:
+    """``likeThis``."""
+    return F.array_join(F.transform(_parts(name), lambda w, i: F.when(i == 0, w).otherwise(F.initcap(w))), "")
+
+
+def pascal_case(name: Column) -> Column:
+    return F.array_join(F.transform(_parts(name), F.initcap), "")
+
+
+def title_case(name: Column) -> Column:
+    """``Like This``, with small words in lower case but for the first."""
+    return F.array_join(F.transform(_parts(name), lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.initcap(w))), " ")
+
+
+def sentence_case(name: Column) -> Column:
+    """``Like this``; an ``_id`` at the end goes."""
+    return F.array_join(F.transform(_parts(F.regexp_replace(name, r"(?<=.)_id$", "")), lambda w, i: F.when(i == 0, F.initcap(w)).otherwise(w)), " ")
+
+
+#: Words that titles keep small.
+SMALL_WORDS = ["a", "an", "and", "as", "at", "but", "by", "for", "from", "if", "in", "into", "is", "nor", "of", "on", "or", "the", "to", "with", "without", "vs"]
+
+
+@F.pandas_udf(StringType())
+def _compatible_form(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+#: Characters that show nothing, and what stands in place of an order to a model.
+INVISIBLE = r"[\u200b\u200c\u200d\u2060\ufeff\x00-\x08\x0b\x0c\x0e-\x1f]"
+REMOVED = "[[ POSSIBLE PROMPT INJECTION REMOVED ]]"
+
+
+def sanitised(text: Column) -> Column:
+    """Compatibility form, without characters that show nothing and without orders to a model, trimmed; null stays null."""
+    # ASCII is its own compatibility form, so most texts never leave the JVM.
+    plain = F.when(text.rlike(r"[^\x00-\x7f]"), _compatible_form(text)).otherwise(text)
+    shown = F.regexp_replace(plain, INVISIBLE, "")
+    return F.trim(F.regexp_replace(shown, "(?i)" + "|".join(f"(?:{p})" for p in INJECTIONS), REMOVED.replace("[", "\\[").replace("]", "\\]")))
+
+
+#: Most characters and groups of a pattern that users may give.
+MOST_PATTERN, MOST_GROUPS = 8192, 100
+_REPEATED_GROUP = re.compile(r"\((?:[^()\\]|\\.)*(?:[*+|]|\{\d*,?\d*\})(?:[^()\\]|\\.)*\)\s*(?:[*+]|\{\d*,?\d*\})")
+_REPEATED_TWICE = re.compile(r"(?<!\\)(?:[*+]|\{\d*,\d*\})\s*(?:[*+]|\{\d*,\d*\})")
+
+
+def checked_pattern(pattern: str) -> re.Pattern[str]:
+    """The compiled pattern; ValueError if it is too long, repeats what repeats, has too many groups or isn't one."""
+    if len(pattern) > MOST_PATTERN:
+        raise ValueError(f"longer than {MOST_PATTERN} characters")
+    if _REPEATED_GROUP.search(pattern) or _REPEATED_TWICE.search(pattern):
+        raise ValueError("a repetition is repeated")
+    if len(re.findall(r"(?<!\\)\(", pattern)) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    try:
+        return re.compile(pattern)
+    except re.error as e:
+        raise ValueError(f"not a pattern: {e}") from e
+
+
+def uuid7(milliseconds: Column, key: Column) -> Column:
+    """A version 7 identifier of a time, whose other bits follow from the key: the same for the same row however often it is made."""
+    time = F.lpad(F.lower(F.hex(milliseconds.cast("long"))), 12, "0")
+    rest = F.sha2(key.cast("string").cast("binary"), 256)
+    variant = F.substring(F.translate(F.substring(rest, 4, 1), "0123456789abcdef", "89ab89ab89ab89ab"), 1, 1)
+    return F.concat_ws("-", F.substring(time, 1, 8), F.substring(time, 9, 4), F.concat(F.lit("7"), F.substring(rest, 1, 3)), F.concat(variant, F.substring(rest, 5, 3)), F.substring(rest, 8, 12))
+
+
+def uuid7_milliseconds(identifier: Column) -> Column:
+    return F.conv(F.substring(F.replace(identifier, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("long")
+
+
 def word_count(text: Column) -> Column:
     trimmed = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " ")))
@@ -92,6 +174,9 @@ PERSONAL = {
     "ipv6": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b",
     "ip": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
     "path": r"/(?:home|Users)/[A-Za-z0-9._-]+",
+    "username": r"(?:@[A-Za-z0-9._-]{3,}|(?:user|username|usr)[:=]\s*[A-Za-z0-9._-]{3,})",
+    "company": r"\b[A-Z][A-Za-z0-9&]*(?:[ \t]+[A-Z&][A-Za-z0-9&]*){0,4}[ \t]+(?:Inc|LLC|LLP|Corp|Corporation|PBC|Ltd|Limited|GmbH|AG|Partners|Group|Holdings|Company|Technologies|Systems|Solutions|Services)\b",
+    "name": r"\b[A-Z][a-z]{2,}[ \t]+[A-Z][a-z]{2,}(?:[ \t]+[A-Z][a-z]{2,})?\b",
 }
 
 

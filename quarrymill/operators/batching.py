@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of the order that are summed on their own.
 RANGES = 256
+#: Values, the same in every run, from which the ranges' bounds are taken.
+SAMPLED = 20_000
 
 
 def running_batches(rows: DataFrame, order: list[str], tokens: Column, budget: int) -> DataFrame:
@@ -17,10 +19,12 @@ def running_batches(rows: DataFrame, order: list[str], tokens: Column, budget: i
     Rows are dealt to ranges of the order by fixed bounds, so a row's range doesn't change when a task is run again; each
     range is summed on its own, and what comes before a range is added from the ranges' totals, so no task sees all rows.
     """
-    first = F.col(order[0])
-    bounds = rows.select(F.percentile_approx(first, [i / RANGES for i in range(1, RANGES)], 10_000).alias("b")).first().b or []
-    held = F.lit(sorted(set(bounds))) if bounds else F.array()
-    spread = rows.withColumn("_tokens", tokens.cast("long")).withColumn("_part", F.size(F.filter(held, lambda x: x <= first)) if bounds else F.lit(0))
+    first, n = F.col(order[0]), rows.count()
+    share = F.lit(max(1, n // SAMPLED))
+    some = sorted(r[0] for r in rows.filter(first.isNotNull() & (F.pmod(F.xxhash64(*order), share) == 0)).select(first).collect())  # about SAMPLED values
+    bounds = sorted({some[i * len(some) // RANGES] for i in range(1, RANGES)}) if some else []
+    held = F.lit(bounds) if bounds else F.array()
+    spread = rows.withColumn("_tokens", tokens.cast("long")).withColumn("_part", F.when(first.isNull(), -1).otherwise(F.size(F.filter(held, lambda x: x <= first))) if bounds else F.lit(0))
     totals = spread.groupBy("_part").agg(F.sum("_tokens").alias("_sum"))
     before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each range
     own = F.sum("_tokens").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -149,7 +149,42 @@ def indented_end(code: str, at: int) -> int:
     return end if end >= 0 else len(code)
 
 
-def boundaries(text: str) -> list[Boundary]:
+@dataclass(frozen=True)
+class CustomDelimiter:
+    """A pair of marks of a deployment's own, of one of the fixed kinds; places between them are one structure."""
+
+    opens: str
+    closes: str
+    kind: str
+
+    def __post_init__(self):
+        if self.kind not in PRIORITY or not self.opens or not self.closes:
+            raise ValueError(f"no delimiter: {self}")
+
+    def boundaries(self, code: str) -> Iterator[Boundary]:
+        marks = re.compile(f"{re.escape(self.opens)}|{re.escape(self.closes)}")
+        held: list[int] = []
+        for m in marks.finditer(code):
+            if self.opens == self.closes:
+                if held:
+                    yield Boundary(held.pop(), m.end(), self.kind, 0)
+                else:
+                    held.append(m.start())
+            elif m[0] == self.opens:
+                held.append(m.start())
+            elif held:
+                yield Boundary(held.pop(), m.end(), self.kind, len(held))
+
+
+@dataclass(frozen=True)
+class CustomLanguage:
+    """A language with delimiters beside the fixed ones."""
+
+    name: str
+    delimiters: tuple[CustomDelimiter, ...]
+
+
+def boundaries(text: str, custom: tuple[CustomDelimiter, ...] = ()) -> list[Boundary]:
     code = masked(text)
     pairs = brackets(code)
     braces = {a: (b, depth) for a, b, ch, depth in pairs if ch == "{"}
@@ -163,7 +198,7 @@ def boundaries(text: str) -> list[Boundary]:
             out.append(Boundary(m.start(), braces[opens[at]][0], _KIND[m[1]], braces[opens[at]][1]))
         elif code[m.end() : line_end].rstrip().endswith(":"):
             out.append(Boundary(m.start(), indented_end(code, m.start()), _KIND[m[1]], 0))
-    return out
+    return out + [b for delimiter in custom for b in delimiter.boundaries(text)]
 
 
 def resolved(found: list[Boundary]) -> list[Boundary]:
@@ -259,7 +294,7 @@ def sized(lines: Lines, found: list[Chunk], sizes: Sizes) -> list[Chunk]:
     return sorted(set(out))
 
 
-def delimiter_chunks(text: str, sizes: Sizes = Sizes()) -> list[Chunk]:
+def delimiter_chunks(text: str, sizes: Sizes = Sizes(), custom: tuple[CustomDelimiter, ...] = ()) -> list[Chunk]:
     """(first line, last line, kind, depth) of a file's chunks, which hold every line that isn't blank.
 
     Structures, and blocks of what stands between them; paragraphs where there are no structures.
@@ -267,7 +302,7 @@ def delimiter_chunks(text: str, sizes: Sizes = Sizes()) -> list[Chunk]:
     if not text.strip():
         return [(1, text.count("\n") + 1, "whitespace", 0)] if text else []
     lines = Lines(text)
-    kept = [b for b in resolved(boundaries(text)) if b.kind in KEPT_WHOLE or b.end - b.start >= sizes.floor * 4]
+    kept = [b for b in resolved(boundaries(text, custom)) if b.kind in KEPT_WHOLE or b.end - b.start >= sizes.floor * 4]
     found = [(lines.of(b.start), lines.of(max(b.start, b.end - 1)), b.kind, b.depth) for b in kept]
     if found:
         found += uncovered(lines, found)
@@ -309,15 +344,17 @@ def over_limit(chunks: DataFrame, key: str, most: int = 5000) -> DataFrame:
     return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks")).filter(F.col("chunks") > most)
 
 
-def chunk_files(files: DataFrame, key: str = "path", text: str = "text", language: str = "language", sizes: Sizes = Sizes()) -> DataFrame:
+def chunk_files(files: DataFrame, key: str = "path", text: str = "text", language: str = "language", sizes: Sizes = Sizes(), languages: tuple[CustomLanguage, ...] = ()) -> DataFrame:
     """Chunks of every file: key, chunk_index, line_start, line_end, kind, priority, nesting_level and content."""
 
+    own = {x.name: x.delimiters for x in languages}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, body, lang in pdf.itertuples(index=False, name=None):
                 body = body or ""
-                found = python_chunks(body, sizes) if lang == "python" else delimiter_chunks(body, sizes)
+                found = python_chunks(body, sizes) if lang == "python" else delimiter_chunks(body, sizes, own.get(lang, ()))
                 lines = body.split("\n")
                 rows += [(name, i, a, b, kind, PRIORITY[kind], depth, "\n".join(lines[a - 1 : b])) for i, (a, b, kind, depth) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["key", "chunk_index", "line_start", "line_end", "kind", "priority", "nesting_level", "content"])

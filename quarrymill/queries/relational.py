@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import text as T
 from quarrymill.operators import changes as C
 from quarrymill.operators import spans as S
+from quarrymill.operators import stats as A
 from quarrymill.sources.tables import FILES_SQL, files, load
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -299,9 +300,9 @@ def _(spark, d):
     return load(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", at).alias("latest"), F.min_by("event_id", at).alias("oldest"))
 
 
-@query("t8_random_sample")
+@query("t8_random_sample", "SELECT vec_id FROM embeddings ORDER BY md5('8/' || vec_id), vec_id LIMIT 20")
 def _(spark, d):
-    return load(spark, d, "embeddings").select("vec_id").orderBy(F.xxhash64(F.lit(8), "vec_id"), "vec_id").limit(20)
+    return A.sampled(load(spark, d, "embeddings").select("vec_id"), "vec_id", 20, seed=8)
 
 
 _POINTS = "SELECT doc_id AS chunk_id, sha256(text) AS h FROM documents WHERE doc_id % 2 = 0"

@@ -197,7 +197,7 @@ def _(spark, d):
     return g.select("user_id", F.round(A.precision_at(c("found"), F.array(*map(F.lit, ("click", "error", "none")))), 6).alias("precision_at_k"))
 
 
-@query("a30_checksum")
+@query("a30_checksum", "SELECT count(*) AS n, bit_xor(('0x' || substr(md5(concat_ws(chr(31), doc_id, coalesce(text, ''), coalesce(lang, ''))), 1, 15))::BIGINT) AS checksum FROM documents")
 def _(spark, d):
     return A.checksum(load(spark, d, "documents").select("doc_id", "text", "lang"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrymill.queries import corpus, filtering, relational, scalars, search, statistics
+from quarrymill.queries import corpus, filtering, platform, relational, scalars, search, statistics
 
-_MODULES = [scalars, filtering, relational, statistics, search, corpus]
+_MODULES = [scalars, filtering, relational, statistics, search, corpus, platform]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

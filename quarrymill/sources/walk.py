@@ -18,9 +18,35 @@ EXCLUDED_FOLDERS = [".git", ".cache", "node_modules", "__pycache__", "target", "
 EXCLUDED_EXTENSIONS = ["bin", "lock", "log", "png", "jpg", "zip", "gz", "so", "exe", "env", "svg"]
 
 
-def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, content and length of every file below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content", "length")
+#: Most bytes of a file whose content travels with its row.
+INLINE = 512 << 10
+
+
+def read_files(spark: SparkSession, root: str, pattern: str = "*", inline: int | None = None) -> DataFrame:
+    """path, content and length of every file below a folder; content is null for files of more than ``inline`` bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content", "length")
+    return files if inline is None else files.withColumn("content", inlined(F.col("content"), F.col("length"), inline))
+
+
+def inlined(content: Column, length: Column, most: int = INLINE) -> Column:
+    """The content of files that are small enough to carry it; others are read again where they are needed."""
+    return F.when(length <= most, content)
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether ignore patterns take a path out: the last that fits decides, ``!`` takes back, ``/`` anchors or ends a folder."""
+    out = F.lit(False)
+    for raw in patterns:
+        pattern = raw.strip()
+        if not pattern or pattern.startswith("#"):
+            continue
+        back, pattern = pattern.startswith("!"), pattern.removeprefix("!")
+        folder, pattern = pattern.endswith("/"), pattern.rstrip("/")
+        anchored, pattern = "/" in pattern, pattern.removeprefix("/")
+        body = glob_pattern(pattern)[1:-1]
+        fits = path.rlike(("^" if anchored else "(?:^|.*/)") + body + ("/.*$" if folder else "(?:/.*)?$"))
+        out = F.when(fits, F.lit(not back)).otherwise(out)
+    return out
 
 
 def wanted(files: DataFrame, path: str = "path") -> DataFrame:

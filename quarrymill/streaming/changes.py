@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarrymill.operators import changes
+from quarrymill.sources import walk
 
 
 def feed(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -34,8 +35,26 @@ def apply_changes(read: Callable[[], DataFrame | None], write: Callable[[DataFra
     return one
 
 
-def run_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """All that is there now, or for good at an interval such as ``15 seconds``; the checkpoint lets a new run go on."""
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def watched(feed: DataFrame, extensions: list[str] | None = None, ignored_folders: list[str] = walk.EXCLUDED_FOLDERS, ignored_names: list[str] = (), path: str = "path") -> DataFrame:
+    """Changes of files that a watch is about: none below an ignored folder or with a name like an ignored pattern."""
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    keep = ~F.exists(folders, lambda x: x.isin(*ignored_folders))
+    if extensions:
+        keep = keep & F.exists(F.array(*map(F.lit, extensions)), lambda e: F.endswith(F.col(path), e))
+    for pattern in ignored_names:
+        keep = keep & ~F.element_at(F.split(path, "/"), -1).rlike(pattern)
+    return feed.filter(keep)
+
+
+def settled(feed: DataFrame, path: str = "path", time: str = "at") -> DataFrame:
+    """The last change of each path within a micro-batch or table, which is all that a burst of changes leaves to do."""
+    return feed.groupBy(path).agg(F.max_by(F.struct(*[c for c in feed.columns if c != path]), time).alias("_last")).select(path, "_last.*")
 
 
 def deduplicated(stream: DataFrame, key: list[str], time: str, late: str) -> DataFrame:
