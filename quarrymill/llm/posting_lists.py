@@ -3,9 +3,9 @@
 Centroids come from a balanced hierarchical split of a bounded sample and stay in memory, joined by a graph of near
 centroids that both sides search instead of scanning all of them. Every vector goes to its nearest centroid's list,
 and one near a boundary to a few more: those about as near, unless a list it already has lies closer to them than it
-does. A query visits the lists whose centroids are within a ratio of its nearest one's distance. The ratio is fitted on the
-sample, where the true neighbours are known, so that the lists hold ``target`` of them; neighbours lie closer in the
-whole table than in a sample, which makes it a careful one.
+does. A query visits the lists whose centroids are within a ratio of its nearest one's distance. How many lists a vector
+goes to and the ratio are fitted together: for ``tried`` vectors the true neighbours in the whole table are found by one
+scan, and the lists must hold ``target`` of them while a query compares the fewest vectors.
 
 Equal vectors are indexed once, with their smallest ids (k + 1 suffice, as a query leaves out at most itself), which are
 limited before they shuffle; so a vector that a third of the rows share costs as much as any other. A list of more than
@@ -33,21 +33,26 @@ from quarrymill.llm.scratch import Scratch
 
 @dataclass(frozen=True)
 class Plan:
-    """Parameters. Lists have about ``list_rows`` vectors, before replicas, until there are ``most_centroids``."""
+    """Parameters. Lists have about ``list_rows`` vectors, before replicas, until there are ``most_centroids``; beyond
+    ``list_rows * most_centroids`` vectors lists grow with the table."""
 
     sample: int = 20_000
     list_rows: int = 200
     most_centroids: int = 4000
     degree: int = 16
-    #: Lists of a vector at most, how much farther than its nearest centroid they may be, and how far apart.
-    replicas: int = 4
-    boundary: float = 1.1
+    #: Lists of a vector at most, how much farther than its nearest centroid they may be (the pairs that the fit tries),
+    #: and how far apart.
+    boundaries: tuple[tuple[int, float], ...] = ((2, 1.01), (2, 1.03), (2, 1.1), (4, 1.1), (8, 1.2))
     spread: float = 0.3
-    target: float = 0.97
+    target: float = 0.94
     tried: int = 200
     max_list: int = 4096
 
 
+#: Centroids among which a vector's lists are chosen.
+NEAREST = 16
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All squared distances, by one matrix product; exact enough to choose candidates."""
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0.0)
@@ -135,17 +140,17 @@ class CentroidGraph:
             dist[live], ids[live], done[live] = (np.take_along_axis(a, best, 1) for a in (all_d, all_i, all_done))
             done[~np.isfinite(dist)] = True
 
-    def boundary_lists(self, x: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for every list that a vector goes to."""
-        ids, dist = self.search(x, 16)
+    def boundary_lists(self, found: tuple[np.ndarray, np.ndarray], most: int, boundary: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) for every list that a vector goes to, of the nearest centroids ``found``."""
+        ids, dist = found
         near = np.sqrt(dist)
         chosen = np.zeros(ids.shape, bool)
         chosen[:, 0] = True
-        for j in range(1, ids.shape[1]):
-            ok = np.isfinite(near[:, j]) & (near[:, j] <= plan.boundary * near[:, 0]) & (chosen.sum(1) < plan.replicas)
+        for j in range(1, ids.shape[1] if most > 1 else 1):
+            ok = np.isfinite(near[:, j]) & (near[:, j] <= boundary * near[:, 0]) & (chosen.sum(1) < most)
             for i in range(j):
                 between = np.sqrt(((self.centroids[ids[:, i]] - self.centroids[ids[:, j]]) ** 2).sum(1))
-                ok &= ~chosen[:, i] | (between > plan.spread * near[:, j])
+                ok &= ~chosen[:, i] | (between > spread * near[:, j])
             chosen[:, j] = ok
         row, at = np.nonzero(chosen)
         return row, ids[row, at]
@@ -157,18 +162,42 @@ class CentroidGraph:
         row, at = np.nonzero(np.isfinite(near) & (near <= ratio * near[:, :1] + 1e-12))
         return row, ids[row, at]
 
-    def fitted_ratio(self, x: np.ndarray, k: int, plan: Plan) -> tuple[float, int]:
-        """The ratio that finds ``plan.target`` of the sample's true neighbours, and the beam that it takes."""
-        tried = x[np.linspace(0, len(x) - 1, min(len(x), plan.tried)).astype(int)]
-        true = np.argsort(squared(tried, x), axis=1, kind="stable")[:, 1 : k + 1]
-        row, name = self.boundary_lists(x, plan)
+    def fitted(self, x: np.ndarray, tried: np.ndarray, of: np.ndarray, true: np.ndarray, plan: Plan) -> Fitted:
+        """Of the pairs in ``plan.boundaries``, the one by which a query visits the fewest vectors, with the ratio that finds
+        ``plan.target`` of the true neighbours, and the beam that it takes.
+
+        ``true`` are the neighbours of ``tried[of]`` in the whole table; the lists' sizes are those of the sample ``x``.
+        """
+        if not len(true):
+            return Fitted(1, 1.0, 1.0, 1, 0.0)
         near = np.sqrt(squared(tried, self.centroids))
         relative = near / np.maximum(near.min(axis=1, keepdims=True), 1e-300)
-        first = np.searchsorted(row, np.arange(len(x) + 1))
-        needed = np.sort([min(relative[i, name[first[j] : first[j + 1]]]) for i in range(len(tried)) for j in true[i]])
-        ratio = float(needed[min(len(needed) - 1, int(np.ceil(plan.target * len(needed))))]) if len(needed) else 1.0
-        beam = int(min(len(self.centroids), 8 + 1.25 * (relative <= ratio).sum(axis=1).max())) if len(x) else 1
-        return ratio, beam
+        both = np.concatenate([x, true])
+        found = [self.search(both[lo : lo + 2048], NEAREST) for lo in range(0, len(both), 2048)]
+        found = tuple(np.concatenate(part) for part in zip(*found, strict=True))
+        best = None
+        for most, boundary in plan.boundaries:
+            row, name = self.boundary_lists(found, most, boundary, plan.spread)
+            first = np.searchsorted(row, np.arange(len(both) + 1))
+            needed = np.sort([min(relative[i, name[first[j] : first[j + 1]]]) for j, i in enumerate(of, len(x))])
+            ratio = float(needed[min(len(needed) - 1, int(np.ceil(plan.target * len(needed))))])
+            visits = relative <= ratio
+            sizes = np.bincount(name[: first[len(x)]], minlength=len(self.centroids))
+            share = float((visits @ sizes).mean()) / len(x)
+            if best is None or share < best.share:
+                best = Fitted(most, boundary, ratio, int(min(len(self.centroids), 8 + 1.25 * visits.sum(axis=1).max())), share)
+        return best
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """Lists of a vector, how much farther they may be, ratio and beam of a query, and the share of all vectors that it compares."""
+
+    most: int
+    boundary: float
+    ratio: float
+    beam: int
+    share: float
 
 
 def usable(vector: Column) -> Column:
@@ -182,8 +211,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def _dealer(held, plan: Plan, visit: tuple[float, int] | None):
-    """mapInArrow over (id, vector): a row for each list, with the vector's bytes. ``visit``: ratio and beam of a query."""
+def _dealer(held, plan: Plan, fitted: Fitted, asks: bool):
+    """mapInArrow over (id, vector): a row for each list that a point goes to or a query visits, with the vector's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = held.value
@@ -191,13 +220,32 @@ def _dealer(held, plan: Plan, visit: tuple[float, int] | None):
             for lo in range(0, batch.num_rows, 512):
                 ids, part = batch.column(0)[lo : lo + 512], batch.column(1)[lo : lo + 512]
                 x = _matrix(part)
-                row, name = graph.query_lists(x, *visit) if visit else graph.boundary_lists(x, plan)
+                row, name = graph.query_lists(x, fitted.ratio, fitted.beam) if asks else graph.boundary_lists(graph.search(x, NEAREST), fitted.most, fitted.boundary, plan.spread)
                 raw = [v.tobytes() for v in x.astype("<f8" if pa.types.is_float64(part.type.value_type) else "<f4")]
                 yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), ids.take(pa.array(row)), pa.array([raw[r] for r in row], pa.binary())], ["list", "id", "vector"])
 
     return run
 
 
+def _true(held, k: int):
+    """mapInArrow over (id, vector): this batch's nearest ``k`` of the tried vectors (numbers as in the broadcast)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tried = held.value
+        for batch in batches:
+            if batch.num_rows:
+                x, own = _matrix(batch.column(1)), batch.column(0).to_numpy()
+                d = squared(tried, x)
+                d[ids[:, None] == own[None, :]] = np.inf
+                at = np.argpartition(d, min(k, len(x)) - 1, axis=1)[:, :k]
+                q, at = np.repeat(np.arange(len(tried)), at.shape[1]), at.ravel()
+                ok = np.isfinite(d[q, at])
+                q, at = q[ok], at[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(d[q, at]), pa.array([x[i].tobytes() for i in at], pa.binary())], ["q", "d", "vector"])
+
+    return run
+
+
 def _compare(k: int, dtype: str):
     """cogroup: one part of a list and the list's queries to each query's k nearest there, exactly."""
 
@@ -244,17 +292,23 @@ def search(points: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     distinct = rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.array_sort(F.collect_set("id")).alias("ids"))
     distinct = scratch.keep(distinct, "distinct")
     n = distinct.count()
-    sample = distinct.select("v").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(plan.sample)
-    x = np.array([r.v for r in sample.collect()], np.float64)
+    sample = distinct.select("id", "v").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(plan.sample).collect()
+    x = np.array([r.v for r in sample], np.float64)
     wanted = int(max(1, min(n // plan.list_rows, plan.most_centroids, len(x) // 4)))
     graph = CentroidGraph(balanced_centroids(x, wanted), plan.degree)
+    tried = np.linspace(0, len(x) - 1, min(len(x), plan.tried)).astype(int)
+    truth = spark.sparkContext.broadcast((np.array([sample[i].id for i in tried]), x[tried]))  # plan.tried vectors
+    # The tried vectors against the whole table: k rows of each from each batch, k of each in the end.
+    nth = F.row_number().over(Window.partitionBy("q").orderBy("d"))
+    true = distinct.select("id", "v").mapInArrow(_true(truth, k), "q int, d double, vector binary").withColumn("nth", nth).filter(F.col("nth") <= k).collect()
+    fitted = graph.fitted(x, x[tried], np.array([r.q for r in true], int), np.array([np.frombuffer(r.vector) for r in true]), plan)
     held = spark.sparkContext.broadcast(graph)  # bounded by most_centroids
     dealt = "list long, id long, vector binary"
-    lists = scratch.keep(distinct.select("id", "v").mapInArrow(_dealer(held, plan, None), dealt), "lists")
+    lists = scratch.keep(distinct.select("id", "v").mapInArrow(_dealer(held, plan, fitted, False), dealt), "lists")
     sizes = lists.groupBy("list").count().select("list", F.ceil(F.col("count") / plan.max_list).alias("parts"))  # a row for each centroid
     lists = lists.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "vector")
     asking = rows.filter("asks").groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
-    asked = asking.select("id", "v").mapInArrow(_dealer(held, plan, graph.fitted_ratio(x, k, plan)), dealt).join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "vector")
+    asked = asking.select("id", "v").mapInArrow(_dealer(held, plan, fitted, True), dealt).join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "vector")
     found = lists.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(_compare(k + 1, "<f8" if element == "double" else "<f4"), "query long, point long, score double")
     once = found.groupBy("query", "point").agg(F.min("score").alias("score"))
     best = once.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("score", "point"))).filter(F.col("nth") <= k + 1)
