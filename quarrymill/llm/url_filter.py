@@ -6,8 +6,9 @@ listed keys that pass that one go into the third, and so on until nothing passes
 listed exactly if the first level that rejects it is an even one (the second, fourth ...). So membership needs no join, only the
 bits of a few small filters, which are literals in the plan.
 
-Filters of more than ``max_words`` words aren't sent out whole: keys are dealt by hash to as many parts as keep each
-part's first filter below it, and urls are judged part by part over a written table of their hosts.
+Filters of more than ``max_words`` words (a million keys) aren't sent out whole: keys are dealt by hash to as many parts
+as keep each part's first filter below it, and urls are judged by ``parts_a_pass`` of them at a time over a written table
+of their hosts.
 
 Only DataFrame functions are used. Distinct hosts are pre-aggregated, so a hot host costs no more than others.
 
@@ -105,11 +106,19 @@ def listed_by(cascade: list[list[int]], key: Column) -> Column:
     return out
 
 
-def _in_part(cascade: list[list[int]], part: int, dealt):
-    return lambda key: (dealt(key) == part) & listed_by(cascade, key)
+def _in_parts(cascades: dict[int, list[list[int]]], dealt):
+    """Whether the part that a key is dealt to lists it."""
 
+    def listed(key: Column) -> Column:
+        out = F.lit(False)
+        for part, cascade in cascades.items():
+            out = F.when(dealt(key) == part, listed_by(cascade, key)).otherwise(out)
+        return out
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", max_words: int = 1 << 14) -> DataFrame:
+    return listed
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", max_words: int = 1 << 17, parts_a_pass: int = 8) -> DataFrame:
     """page_id, host, path, rule, verdict and ``listed`` (whether the list holds the host) of every row.
 
     ``listed`` has a column ``key`` of blocked hosts, whose subdomains are blocked too.
@@ -123,13 +132,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     dealt = lambda k: F.pmod(F.xxhash64(F.lit(-1), k), F.lit(parts))
     universe = scratch.keep(names, "universe")
     out = rows.withColumn("listed", F.lit(False))
-    for part in range(parts):
-        mine = dealt(F.col("key")) == part
-        cascade = build_cascade(universe.filter(mine), wanted.filter(mine))
-        out = out.withColumn("listed", F.col("listed") | F.exists(keys(F.col("host")), _in_part(cascade, part, dealt)))
-        if parts > 1:
-            out = scratch.keep(out, f"judged-{part}")
-            if part:
-                scratch.drop(f"judged-{part - 1}")
+    for first in range(0, parts, parts_a_pass):
+        cascades = {}
+        for part in range(first, min(parts, first + parts_a_pass)):
+            mine = dealt(F.col("key")) == part
+            cascades[part] = build_cascade(universe.filter(mine), wanted.filter(mine))
+        out = out.withColumn("listed", F.col("listed") | F.exists(keys(F.col("host")), _in_parts(cascades, dealt)))
+        if parts > parts_a_pass:
+            out = scratch.keep(out, f"judged-{first}")
+            if first:
+                scratch.drop(f"judged-{first - parts_a_pass}")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
