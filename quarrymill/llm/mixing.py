@@ -267,7 +267,8 @@ def fit_rates(documents: DataFrame, model: DomainModel, weights: dict[str, float
         still = still + 1 if (np.abs(reached - before) / scale).max() < STILL * tolerance else 0
     held = spark.sparkContext.broadcast(steps)
     out = table.mapInArrow(_moved(held), table.schema)
-    return Fit(out.select("doc_id", "tokens", "p", "rate"), model.names, wanted, reached, done, ended)
+    rate = F.when(F.col("tokens") == 0, start).otherwise(F.col("rate")).alias("rate")
+    return Fit(out.select("doc_id", "tokens", "p", rate), model.names, wanted, reached, done, ended)
 
 
 def copies(rate, key) -> F.Column:
