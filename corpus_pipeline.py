@@ -37,9 +37,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     fit = mixing.fit_rates(docs, mixing.fit_domains(docs, labelled), temper=0.7, floor=1.0)
-    more = fit.rates.select("doc_id", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies")).filter("copies > 1").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    copies = mixing.copies(F.col("rate"), F.col("doc_id"))
+    more = fit.rates.select(F.col("doc_id").alias("_mx_id"), copies.alias("_mx_copies")).filter("_mx_copies > 1").groupBy("_mx_id").agg(F.max("_mx_copies").alias("_mx_copies"))
     # Rows that are read once pass straight through; the others get the rest of their copies by a join.
-    again = docs.join(more, "doc_id").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies") - 1)))
+    again = docs.join(more, F.col("doc_id") == F.col("_mx_id")).withColumn("_mx_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mx_copies") - 1)))
     return docs.unionByName(again.select(*docs.columns))
 
 
