@@ -29,8 +29,21 @@ PRIORITY = {
 KEPT_WHOLE = ["function", "class", "method", "interface", "struct", "enum", "paragraph", "module", "namespace"]
 NESTABLE = ["class", "interface", "struct", "function", "method", "block", "array", "tuple", "conditional", "loop", "try_catch", "namespace", "module", "generic"]
 
-#: Families of some languages.
-FAMILY = {"python": "python_style", "javascript": "c_style", "typescript": "c_style", "rust": "c_style", "go": "c_style", "java": "c_style", "c": "c_style", "cpp": "c_style", "markdown": "markup_style", "html": "markup_style", "bash": "shell_style", "ruby": "ruby_style", "haskell": "functional_style", "ocaml": "ml_style", "lisp": "lisp_style", "latex": "latex_style", "matlab": "matlab_style", "plain_text": "plain_text"}
+#: Families of languages.
+LANGUAGES_OF = {
+    "c_style": ["c", "cpp", "csharp", "java", "javascript", "typescript", "jsx", "tsx", "go", "rust", "kotlin", "scala", "swift", "dart", "php", "objective_c", "d", "zig", "solidity", "groovy", "vala", "verilog", "systemverilog", "cuda", "glsl", "hlsl", "wgsl", "awk", "perl", "css", "scss", "less", "protobuf", "thrift", "hcl", "nix", "json", "jsonnet"],
+    "python_style": ["python", "cython", "starlark", "gdscript", "nim", "coffeescript", "mojo", "yaml", "toml"],
+    "ml_style": ["ocaml", "fsharp", "sml", "reason", "rescript", "coq"],
+    "lisp_style": ["lisp", "clojure", "scheme", "racket", "emacs_lisp", "fennel", "hy"],
+    "markup_style": ["html", "xml", "svg", "vue", "svelte", "astro", "markdown", "rst", "asciidoc", "handlebars", "jinja"],
+    "shell_style": ["bash", "zsh", "fish", "shell", "powershell", "batch", "make", "dockerfile"],
+    "functional_style": ["haskell", "elm", "purescript", "idris", "agda", "erlang", "elixir", "gleam"],
+    "latex_style": ["latex", "tex", "bibtex"],
+    "ruby_style": ["ruby", "crystal", "lua", "julia"],
+    "matlab_style": ["matlab", "octave", "fortran", "r"],
+    "plain_text": ["plain_text", "csv", "tsv", "log", "ini"],
+}
+FAMILY = {language: family for family, languages in LANGUAGES_OF.items() for language in languages}
 
 
 @dataclass(frozen=True)
@@ -176,6 +189,28 @@ class CustomDelimiter:
                 yield Boundary(held.pop(), m.end(), self.kind, len(held))
 
 
+#: Pairs of marks and their kind, from which the kind of a new pair is taken.
+KNOWN_PAIRS = {
+    ("{", "}"): "block", ("(", ")"): "tuple", ("[", "]"): "array", ("/*", "*/"): "comment_block", ("<!--", "-->"): "comment_block", ("//", "\n"): "comment_line", ("#", "\n"): "comment_line", ("\"\"\"", "\"\"\""): "docstring",
+    ("\"", "\""): "string", ("'", "'"): "string", ("`", "`"): "template_string", ("begin", "end"): "block", ("let", "in"): "block", ("<", ">"): "generic", ("\n\n", "\n\n"): "paragraph",
+}
+
+
+def kind_of(opens: str, closes: str) -> str:
+    """The kind of a pair of marks; unknown ones are ``unknown``."""
+    return KNOWN_PAIRS.get((opens, closes), "unknown")
+
+
+def latex_delimiters(environments: dict[str, str]) -> tuple[CustomDelimiter, ...]:
+    """A pair for each environment (name: kind) of a LaTeX text."""
+    return tuple(CustomDelimiter(rf"\begin{{{name}}}", rf"\end{{{name}}}", kind) for name, kind in environments.items())
+
+
+def rst_delimiters(marks: str = "=-~^\"'`#*+", least: int = 4) -> tuple[CustomDelimiter, ...]:
+    """A pair for each mark that underlines titles of a reStructuredText text; a section lies between two of them."""
+    return tuple(CustomDelimiter(mark * least, mark * least, "module") for mark in marks)
+
+
 @dataclass(frozen=True)
 class CustomLanguage:
     """A language with delimiters beside the fixed ones."""

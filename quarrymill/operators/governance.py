@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.functions import vectors as V
+
 #: Data types from the widest to the narrowest.
 TYPE_ORDER = ["float32", "float16", "uint8", "int8"]
 
@@ -44,13 +46,18 @@ def estimate(kind: str, n: Column) -> dict[str, Column]:
     return {"seconds": F.greatest(F.lit(float(least)), n / float(per_second)), "dollars": n * dollars}
 
 
-def validated(before: DataFrame, after: DataFrame, key: str, vector: str, dimensions: int, sample: int = 100) -> DataFrame:
-    """One row: equal counts, equal ids, and the least cosine of a sample of vectors with their former, shortened selves."""
-    from quarrymill.functions import vectors as V
+def compared(before: DataFrame, after: DataFrame, key: str, vector: str, dimensions: int) -> DataFrame:
+    """One row: both counts, whether the ids are the same, and the least cosine of any vector with its former, shortened self."""
+    digest = lambda c: F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    sides = before.select(key, F.lit(0).alias("_side")).unionByName(after.select(key, F.lit(1).alias("_side")))
+    of = lambda side, x: F.when(F.col("_side") == side, x)
+    counts = sides.agg(F.count(of(0, F.lit(1))).alias("n_before"), F.count(of(1, F.lit(1))).alias("n_after"), (F.coalesce(F.bit_xor(of(0, digest(F.col(key)))), F.lit(0)) == F.coalesce(F.bit_xor(of(1, digest(F.col(key)))), F.lit(0))).alias("ids"))
+    pairs = before.select(key, F.col(vector).alias("_old")).join(after.select(key, F.col(vector).alias("_new")), key)
+    least = pairs.agg(F.min(V.cosine(V.shortened(F.col("_old"), dimensions), F.col("_new"))).alias("least_cosine"))
+    return counts.join(least, F.lit(True))  # two single rows
+
 
-    ids = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(key)).alias("ids"))
-    a, b = ids(before).select(F.col("n").alias("n_before"), F.col("ids").alias("ids_before")), ids(after).select(F.col("n").alias("n_after"), F.col("ids").alias("ids_after"))
-    some = before.select(key, F.col(vector).alias("_old")).orderBy(F.xxhash64(F.lit(5), key), key).limit(sample)
-    near = some.join(after.select(key, F.col(vector).alias("_new")), key).agg(F.min(V.cosine(V.shortened(F.col("_old"), dimensions), F.col("_new"))).alias("least_cosine"))
-    one = a.join(b, F.lit(True)).join(near, F.lit(True))  # three single rows
-    return one.select((F.col("n_before") == F.col("n_after")).alias("counts"), (F.col("ids_before") == F.col("ids_after")).alias("ids"), (F.col("least_cosine") >= 0.9999).alias("vectors"))
+def to_redo(points: DataFrame, vectors: DataFrame, key: str, stale) -> DataFrame:
+    """Points whose vector is missing or ``stale``, with ``redo``: whether there is an old one to replace."""
+    held = vectors.select(key).distinct().withColumn("_held", F.lit(True))
+    return points.join(held, key, "left").filter(F.col("_held").isNull() | stale).withColumn("redo", F.col("_held").isNotNull()).drop("_held")

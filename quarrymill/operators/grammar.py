@@ -202,3 +202,11 @@ def inside(nodes: DataFrame) -> DataFrame:
     a = nodes.filter(F.col("start") <= F.col("end")).select("file", F.col("node").alias("ancestor"), F.col("start").alias("a1"), F.col("end").alias("a2"), F.explode(F.sequence(at(F.col("start")), at(F.col("end")))).alias("_block"))
     n = nodes.withColumn("_block", at(F.col("start")))
     return a.join(n, ["file", "_block"]).filter((F.col("ancestor") != F.col("node")) & (F.col("a1") <= F.col("start")) & (F.col("a2") >= F.col("end"))).select("file", "ancestor", "node")
+
+
+def membership(things: DataFrame, categories: DataFrame, links: DataFrame, thing: str, category: str) -> DataFrame:
+    """(thing, category) of all links whose both ends are known; either side may be asked for the other's members.
+
+    Grammars are small next to what is parsed by them; the links are the large side and meet each in turn.
+    """
+    return links.select(thing, category).join(things, thing).join(categories, category)

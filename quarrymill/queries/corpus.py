@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import vectors as V
-from quarrymill.operators import batching, chunking, governance, grammar
-from quarrymill.plans import indexing
-from quarrymill.sources import walk
+from quarrymill.operators import batching, changes, chunking, governance, grammar
+from quarrymill.plans import indexing, migration
+from quarrymill.sources import store, walk
 from quarrymill.sources.tables import FILES_SQL, files, load
 from quarrymill.streaming import changes as stream
 
@@ -156,7 +155,7 @@ def _(spark, d):
     return _things(spark, d).select("event_id", F.coalesce(grammar.by_name(c("name")), F.lit("none")).alias("class"))
 
 
-@query("g11_node_types")
+@query("g11_node_types", "SELECT n_nationkey, 't' || n_nationkey AS type, 'body' AS field, 'block' AS target, '1' AS cardinality FROM nation")
 def _(spark, d):
     one = '[{"type": "t%d", "named": true, "fields": {"body": {"multiple": false, "required": true, "types": [{"type": "block", "named": true}]}}, "children": {"multiple": true, "required": false, "types": []}}]'
     raw = load(spark, d, "nation").select("n_nationkey", F.format_string(one, "n_nationkey").alias("raw"))
@@ -215,17 +214,19 @@ def _(spark, d):
     return _prints(spark, d).select("event_id", governance.can_quantise(c("old.dtype"), c("new.dtype")).alias("ok"))
 
 
-@query("m6_m7_migration", "SELECT true AS counts, true AS ids, true AS vectors")
+@query("m6_m7_migration", "WITH e AS (SELECT list_transform(embedding, lambda x: x::DOUBLE)[1:16] AS v FROM embeddings), z AS (SELECT v, list_transform(v, lambda x: round(x * 127) / 127) AS w FROM e) SELECT count(*) AS n_before, count(*) AS n_after, true AS ids, round(min(list_cosine_similarity(v, w)), 5) AS least_cosine FROM z")
 def _(spark, d):
-    before = load(spark, d, "embeddings").select("vec_id", "embedding")
-    after = before.select("vec_id", V.normalised(V.shortened(c("embedding"), 16)).alias("embedding"))
-    return governance.validated(before, after, "vec_id", "embedding", 16)
+    """A collection of vectors moved to 16 components in steps of 1/127, and both compared."""
+    at = store.PointStore(spark, store.shared_folder(spark, "migration"))
+    at.replace("whole", load(spark, d, "embeddings").select(c("vec_id").alias("chunk_id"), c("embedding").alias("dense")))
+    migration.migrate(at, "whole", "short", lambda v: F.transform(V.doubles(V.shortened(v, 16)), lambda x: F.round(x * 127) / 127), batches=4)
+    return migration.check(at, "whole", "short", 16).withColumn("least_cosine", F.round("least_cosine", 5))
 
 
-@query("m8_reconcile", "SELECT vec_id, label % 2 = 0 AS redo FROM embeddings WHERE vec_id % 3 <> 0 OR label % 2 = 0")
+@query("m8_reconcile", "SELECT vec_id, vec_id % 3 = 0 AS redo FROM embeddings WHERE vec_id % 3 <> 0 OR label % 2 = 0")
 def _(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", "label")
-    return e.filter((c("vec_id") % 3 != 0) | (c("label") % 2 == 0)).select("vec_id", (c("label") % 2 == 0).alias("redo"))
+    return governance.to_redo(e, e.filter("vec_id % 3 = 0"), "vec_id", c("label") % 2 == 0).select("vec_id", "redo")
 
 
 @query("m9_m10_dimensions", "SELECT vec_id, len(embedding) = 64 AS fits, (SELECT min_by(x, abs(x - len(embedding)) * 10000 + x) FROM (VALUES (16), (48), (128)) t(x))::INT AS resolved FROM embeddings")
@@ -248,10 +249,8 @@ def _(spark, d):
 
 @query("asof_join", "SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts")
 def _(spark, d):
-    e = load(spark, d, "events").filter("event_type IN ('purchase', 'click')")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_type").rowsBetween(Window.unboundedPreceding, 0)
-    last = e.withColumn("click_id", F.last(F.when(c("event_type") == "click", c("event_id")), ignorenulls=True).over(w))
-    return last.filter("event_type = 'purchase' AND click_id IS NOT NULL").select("event_id", "click_id")
+    e = load(spark, d, "events").select("event_id", "event_type", "user_id", "ts")
+    return changes.as_of(e.filter("event_type = 'purchase'"), e.filter("event_type = 'click'"), "user_id", "ts", "event_id", "click_id").select("event_id", "click_id")
 
 
 @query("qb_index_documents")

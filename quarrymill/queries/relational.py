@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
 from quarrymill.operators import changes as C
+from quarrymill.operators import grammar as G
 from quarrymill.operators import spans as S
 from quarrymill.operators import stats as A
 from quarrymill.sources.tables import FILES_SQL, files, load
@@ -72,14 +73,14 @@ def _(spark, d):
 @query("j6_missing_backup", "SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 0")
 def _(spark, d):
     e = load(spark, d, "embeddings").select("vec_id")
-    return e.join(e.filter("vec_id % 5 = 0"), "vec_id", "left_anti")
+    return C.missing_from(e, e.filter("vec_id % 5 = 0"), "vec_id")
 
 
 @query("j7_rerank_enrichment", "SELECT r.event_id, r.value AS rerank_score, o.value AS original_score FROM events r LEFT JOIN (SELECT event_id, value FROM events WHERE event_type <> 'view') o USING (event_id)")
 def _(spark, d):
     e = load(spark, d, "events")
     original = e.filter("event_type <> 'view'").select("event_id", c("value").alias("original_score"))
-    return e.select("event_id", c("value").alias("rerank_score")).join(original, "event_id", "left")
+    return e.select("event_id", c("value").alias("rerank_score")).transform(lambda hits: C.enriched(hits, original, "event_id"))
 
 
 @query("j8_positional_join", "SELECT a.o_orderkey, b.l_partkey FROM orders a JOIN lineitem b ON a.o_orderkey = b.l_orderkey AND b.l_linenumber = 1")
@@ -91,7 +92,9 @@ def _(spark, d):
 @query("j13_j14_membership", "SELECT n_name, r_name, count(*) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def _(spark, d):
     n, r, s = (load(spark, d, t) for t in ("nation", "region", "supplier"))
-    return s.join(n, c("s_nationkey") == c("n_nationkey")).join(r, c("n_regionkey") == c("r_regionkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("suppliers"))
+    links = s.select(c("s_nationkey").alias("n_nationkey")).join(n.select("n_nationkey", "n_regionkey"), "n_nationkey").withColumnRenamed("n_regionkey", "r_regionkey")
+    members = G.membership(n.select("n_nationkey", "n_name"), r.select("r_regionkey", "r_name"), links, "n_nationkey", "r_regionkey")
+    return members.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("suppliers"))
 
 
 @query("j15_cross_language_pairs", """WITH t AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)
@@ -112,7 +115,7 @@ def _(spark, d):
 def _(spark, d):
     ids = load(spark, d, "documents").select("doc_id")
     backup = ids.filter("doc_id % 2 = 0").withColumn("model", F.when(c("doc_id") % 3 == 0, "s0").otherwise("s1"))
-    return ids.join(backup, "doc_id", "left").select("doc_id", F.when(c("model").isNull(), "embed").when(c("model") == "s1", "keep").otherwise("redo").alias("action"))
+    return C.backup_plan(ids, backup, "doc_id", "s1")
 
 
 @query("j19_dimension_join", "SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -204,8 +207,7 @@ def _(spark, d):
 
 @query("u8_store_merge", "SELECT DISTINCT sha256(text) AS key FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)")
 def _(spark, d):
-    both = load(spark, d, "documents").select("text").unionByName(load(spark, d, "conversations").select("text"))
-    return both.select(T.content_hash(c("text")).alias("key")).distinct()
+    return C.merged([load(spark, d, "documents"), load(spark, d, "conversations")], "text")
 
 
 @query("u9_category_overlap", "SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
@@ -247,8 +249,8 @@ def _(spark, d):
 
 @query("w11_siblings", "SELECT conv_id, turn, coalesce(lag(turn) OVER w, -1) AS prev_turn, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def _(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return load(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.lag("turn").over(w), F.lit(-1)).alias("prev_turn"), F.lead("role").over(w).alias("next_role"))
+    near = C.siblings(load(spark, d, "conversations"), "conv_id", "turn", {"prev_turn": "turn"}, {"next_role": "role"})
+    return near.select("conv_id", "turn", F.coalesce("prev_turn", F.lit(-1)).alias("prev_turn"), "next_role")
 
 
 @query("w12_snapshot_retention", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) <= 3")

@@ -9,11 +9,19 @@ from pyspark.sql.types import BooleanType
 
 from quarrymill.functions import text as T
 
-#: Suffix, language, kind.
-EXTENSIONS = [
-    ("py", "python", "code"), ("js", "javascript", "code"), ("ts", "typescript", "code"), ("rs", "rust", "code"), ("go", "go", "code"), ("java", "java", "code"), ("c", "c", "code"), ("cpp", "cpp", "code"), ("rb", "ruby", "code"), ("sh", "bash", "code"),
-    ("md", "markdown", "docs"), ("rst", "rst", "docs"), ("txt", "plain_text", "docs"), ("toml", "toml", "config"), ("yaml", "yaml", "config"), ("json", "json", "config"), ("ini", "ini", "config"), ("csv", "csv", "data"), ("html", "html", "code"), ("sql", "sql", "code"),
-]
+#: Suffixes of each language, by kind.
+SUFFIXES = {
+    "code": {
+        "python": ["py", "pyi", "pyw"], "cython": ["pyx", "pxd"], "javascript": ["js", "mjs", "cjs"], "jsx": ["jsx"], "typescript": ["ts", "mts", "cts"], "tsx": ["tsx"], "rust": ["rs"], "go": ["go"], "java": ["java"], "kotlin": ["kt", "kts"], "scala": ["scala", "sc"], "groovy": ["groovy", "gradle"],
+        "c": ["c", "h"], "cpp": ["cpp", "cc", "cxx", "hpp", "hh", "hxx"], "csharp": ["cs", "csx"], "objective_c": ["m", "mm"], "swift": ["swift"], "dart": ["dart"], "php": ["php"], "ruby": ["rb", "rake", "gemspec"], "crystal": ["cr"], "lua": ["lua"], "julia": ["jl"], "perl": ["pl", "pm"], "r": ["r"], "fortran": ["f90", "f95"],
+        "haskell": ["hs", "lhs"], "elm": ["elm"], "purescript": ["purs"], "erlang": ["erl", "hrl"], "elixir": ["ex", "exs"], "gleam": ["gleam"], "ocaml": ["ml", "mli"], "fsharp": ["fs", "fsx", "fsi"], "sml": ["sml"], "clojure": ["clj", "cljs", "cljc"], "scheme": ["scm"], "racket": ["rkt"], "lisp": ["lisp", "lsp"], "emacs_lisp": ["el"],
+        "bash": ["sh", "bash"], "zsh": ["zsh"], "fish": ["fish"], "powershell": ["ps1", "psm1"], "batch": ["bat", "cmd"], "zig": ["zig"], "nim": ["nim"], "d": ["d"], "solidity": ["sol"], "verilog": ["v"], "systemverilog": ["sv"], "cuda": ["cu", "cuh"], "glsl": ["glsl", "vert", "frag"], "html": ["html", "htm"], "css": ["css"], "scss": ["scss"], "less": ["less"], "vue": ["vue"], "svelte": ["svelte"], "astro": ["astro"], "sql": ["sql"], "protobuf": ["proto"], "thrift": ["thrift"], "graphql": ["graphql", "gql"],
+    },
+    "docs": {"markdown": ["md", "markdown", "mdx"], "rst": ["rst"], "asciidoc": ["adoc", "asciidoc"], "plain_text": ["txt", "text"], "latex": ["tex", "sty"], "bibtex": ["bib"]},
+    "config": {"toml": ["toml"], "yaml": ["yaml", "yml"], "json": ["json", "jsonc", "json5"], "ini": ["ini", "cfg", "conf", "properties"], "hcl": ["hcl", "tf", "tfvars"], "nix": ["nix"], "xml": ["xml"], "make": ["mk"], "dockerfile": ["dockerfile"], "starlark": ["bzl"], "jsonnet": ["jsonnet"]},
+    "data": {"csv": ["csv"], "tsv": ["tsv"]},
+}
+EXTENSIONS = [(e, language, kind) for kind, languages in SUFFIXES.items() for language, suffixes in languages.items() for e in suffixes]
 EXCLUDED_FOLDERS = [".git", ".cache", "node_modules", "__pycache__", "target", "dist", "build", ".venv"]
 EXCLUDED_EXTENSIONS = ["bin", "lock", "log", "png", "jpg", "zip", "gz", "so", "exe", "env", "svg"]
 

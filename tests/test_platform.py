@@ -148,3 +148,60 @@ def test_tokenizers(spark):
     public = pytest.importorskip("public_tokenizers")
     ranked = providers.RankedBpe(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     assert [r.n > 0 for r in df.orderBy("i").select(ranked.column(F.col("text")).alias("n")).collect()] == [True, False]
+
+
+def test_a_migration_goes_on_where_it_ended(spark, tmp_path):
+    from quarrymill.functions import vectors as V
+    from quarrymill.plans import migration
+
+    at = store.PointStore(spark, f"file://{tmp_path}/store")
+    at.replace("old", points(spark, [(f"c{i}", "f", "n", [float(i + 1), 1.0, 2.0]) for i in range(40)]))
+    calls = []
+
+    def failing(v):
+        calls.append(v)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return V.shortened(v, 2)
+
+    with pytest.raises(RuntimeError):
+        migration.migrate(at, "old", "new", failing, batches=4)
+    assert "new" not in at.collections()
+    assert migration.migrate(at, "old", "new", lambda v: V.shortened(v, 2), batches=4) == 2
+    row = migration.check(at, "old", "new", 2).first()
+    assert (row.n_before, row.n_after, row.ids) == (40, 40, True) and row.least_cosine > 0.999999
+
+
+def test_kinds_and_generated_delimiters():
+    from quarrymill.operators import chunking
+
+    assert chunking.kind_of("{", "}") == "block" and chunking.kind_of("<?", "?>") == "unknown"
+    text = "\\begin{proof}\nline\n\\end{proof}\n\nafter\n"
+    assert (1, 3, "function", 0) in chunking.delimiter_chunks(text, custom=chunking.latex_delimiters({"proof": "function"}))
+    assert len(chunking.rst_delimiters()) == 10
+    with pytest.raises(ValueError):
+        chunking.CustomDelimiter("a", "b", "no such kind")
+
+
+def test_find_code_by_brute_force(spark):
+    """The flow of a search against the same sums written out."""
+    import math
+
+    from quarrymill.plans import search
+
+    docs = [(1, "alpha beta beta"), (2, "gamma alpha"), (3, "delta"), (4, "beta")]
+    asked = [(10, "beta alpha"), (11, "delta zeta")]
+    got = search.find(spark.createDataFrame(docs, "chunk_id long, text string"), None, spark.createDataFrame(asked, "query_id long, text string")).collect()
+    words = {i: t.split() for i, t in docs}
+    mean = sum(map(len, words.values())) / 4
+    df = lambda w: sum(w in x for x in words.values())
+    want = {}
+    for q, text in asked:
+        for i, ws in words.items():
+            s = sum(math.log(1 + (4 - df(w) + 0.5) / (df(w) + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in text.split() if w in ws)
+            if s:
+                want[q, i] = s
+    assert {(r.query_id, r.chunk_id) for r in got} == set(want) and all(r.score == pytest.approx(want[r.query_id, r.chunk_id]) for r in got)
+    for q in (10, 11):
+        order = [r.chunk_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+        assert order == sorted(order, key=lambda i: -want[q, i])
