@@ -9,7 +9,7 @@ their range, so rows are numbered without ever standing in one task.
 The law held is ``rows``: the shards' counts differ by one at most. Bytes may differ, and a row's shard can depend on
 the load, so ``grown_shard`` is null.
 
-Defined results: a null text has size 1 and the checksum of no bytes; a null id is placed by its text's checksum. Rows
+Defined results: a null text has size 1 and the checksum of no bytes; a row is placed by its id and its text's checksum, so rows that share only one of them spread over the ring. Rows
 that are alike in every respect take neighbouring slots. An empty table gives no rows.
 """
 
@@ -72,7 +72,7 @@ def shard_rows(documents: DataFrame, shards: int = 8, vnodes: int = 64, id_col:
     scratch = Scratch(spark, "sharding")
     text = F.col(text_col)
     rows = documents.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = scratch.keep(rows.withColumn("pos", F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id"), F.col("text_crc32"))), 1)), "rows")
+    rows = scratch.keep(rows.withColumn("pos", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 1)), "rows")
     n = rows.count()
     bits = min(MAX_BITS, max(MIN_BITS, (n // ROWS_PER_RANGE).bit_length()))
     rows = rows.withColumn("range", F.shiftrightunsigned("pos", 63 - bits).cast("int"))
