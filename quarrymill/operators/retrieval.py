@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -149,38 +150,97 @@ def tokenised(documents: DataFrame, key: str, text: str) -> DataFrame:
     return words.select("chunk_id", "words", F.coalesce(F.size("words"), F.lit(0)).alias("dl"))
 
 
-def terms(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(chunk_id, term, tf, dl) of all words."""
-    exploded = tokenised(documents, key, text).select("chunk_id", "dl", F.explode("words").alias("term"))
-    return exploded.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+@dataclass
+class Asked:
+    """A block of queries by term: ``at[first[t] : first[t + 1]]`` are the places of the queries that hold term ``t``."""
 
+    names: list
+    terms: pa.Array
+    first: np.ndarray
+    at: np.ndarray
+    idf: np.ndarray
+    average: float
 
-#: Most terms of queries that are sent to every task; with more, words meet them in a shuffle.
-MOST_TERMS = 1 << 20
+
+#: Scores (documents times queries) that a task holds at once.
+HELD_SCORES = 2_000_000
+
+
+def _okapi(held, k: int, k1: float, b: float):
+    """mapInArrow over (chunk_id, words, dl): this batch's best ``k`` of each query, ties to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: Asked = held.value
+        n_queries, n_terms = len(asked.names), len(asked.terms)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, max(1, HELD_SCORES // n_queries)):
+                part = batch.slice(lo, max(1, HELD_SCORES // n_queries))
+                m, dl = part.num_rows, part.column(2).to_numpy(zero_copy_only=False)
+                lengths = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
+                term = pc.fill_null(pc.index_in(part.column(1).flatten(), value_set=asked.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(m), lengths)[term >= 0]
+                pairs, tf = np.unique(doc * n_terms + term[term >= 0], return_counts=True)
+                doc, term = np.divmod(pairs, n_terms)
+                weight = asked.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / asked.average))
+                n = asked.first[term + 1] - asked.first[term]
+                to = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(asked.first[term], n)
+                score = np.bincount(np.repeat(doc, n) * n_queries + asked.at[to], np.repeat(weight, n), m * n_queries).reshape(m, n_queries)
+                ids = part.column(0)
+                order = np.empty(m, np.int64)
+                order[pc.array_sort_indices(ids).to_numpy()] = np.arange(m)
+                row, col = [], []
+                for q in np.flatnonzero((score > 0).any(axis=0)):
+                    at = np.flatnonzero(score[:, q] > 0)
+                    if len(at) > k:
+                        shown = np.round(score[at, q], 9)
+                        at = at[shown >= np.partition(shown, len(at) - k)[len(at) - k]]
+                        at = at[np.lexsort((order[at], -np.round(score[at, q], 9)))[:k]]
+                    row.append(at)
+                    col.append(np.full(len(at), q))
+                if row:
+                    row, col = np.concatenate(row), np.concatenate(col)
+                    yield pa.RecordBatch.from_arrays([pa.array([asked.names[q] for q in col], held_type(asked.names)), ids.take(pa.array(row)), pa.array(score[row, col])], ["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def bm25_search(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi scores of (query_id, text) over documents.
+    """Okapi scores of (query_id, text) over documents: query_id, chunk_id, score and rank of the best ``k``.
 
-    A text is cut into words once, before they are exploded, so no text or regular expression stands above the explosion.
-    One pass counts documents by term (each document's words once, and a null word that counts it and its length), the
-    other keeps the words that are asked for, which are all that is counted by document and shuffled.
+    Queries are counted and asked in blocks of ``QUERY_BLOCK`` at most, whose terms are sent to the tasks. A text is cut into
+    words in the JVM, once in each of two passes: one counts the documents that hold each term, the other scores a batch
+    of documents against all queries of a block and keeps the best k of each before anything is shuffled. No posting leaves
+    its task.
     """
-    asked = tokenised(queries, "query_id", "text").select(F.col("chunk_id").alias("query_id"), F.explode(F.array_distinct("words")).alias("term"))
-    wanted = asked.select("term").distinct()
-    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    sent = lambda df: F.broadcast(df) if few else df  # noqa: E731  a row for each term of the queries, at most MOST_TERMS
+    spark = documents.sparkSession
+    n_queries = queries.count()
+    blocks = -(-n_queries // QUERY_BLOCK) or 1
     words = tokenised(documents, key, text)
-    once = words.select("dl", F.explode(F.array_append(F.coalesce(F.array_distinct("words"), F.array().cast("array<string>")), F.lit(None).cast("string"))).alias("term"))
-    counted = once.join(sent(wanted.unionByName(documents.sparkSession.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "_t")), F.col("term").eqNullSafe(F.col("_t")))
-    found = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
-    total = found.filter("term IS NULL").first()
-    n, average = (float(total.n), float(total.dl / total.n)) if total else (0.0, 1.0)
-    idf = found.filter("term IS NOT NULL").select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
-    postings = words.select("chunk_id", "dl", F.explode("words").alias("term")).join(sent(idf), "term").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.max("idf").alias("idf"))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average or 1.0)))
-    weighted = postings.select("chunk_id", "term", (F.col("idf") * tf).alias("weight"))
-    return sparse_search(weighted, asked.withColumn("weight", F.lit(1.0)), k)
+    kinds = (dict(queries.dtypes)["query_id"], dict(words.dtypes)["chunk_id"])
+    schema, out = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double", None
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        held = tokenised(part, "query_id", text).select("chunk_id", F.array_distinct("words").alias("words")).collect()  # about QUERY_BLOCK rows
+        terms_of = sorted({w for r in held for w in r.words or ()})
+        if not terms_of:
+            continue
+        wanted = spark.createDataFrame(pa.table({"_t": pa.array([*terms_of, None], pa.string())}))  # the terms of a block
+        # Each document's different words, and a null word that counts the document and its length.
+        once = words.select("dl", F.explode(F.array_append(F.coalesce(F.array_distinct("words"), F.array().cast("array<string>")), F.lit(None).cast("string"))).alias("term"))
+        found = {r.term: r for r in once.join(F.broadcast(wanted), F.col("term").eqNullSafe(F.col("_t"))).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).collect()}
+        if None not in found:
+            break
+        n, number = found[None].n, {w: i for i, w in enumerate(terms_of)}
+        df = np.array([found[w].n if w in found else 0 for w in terms_of], float)
+        places: list[list[int]] = [[] for _ in terms_of]
+        for q, r in enumerate(held):
+            for w in r.words or ():
+                places[number[w]].append(q)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in places])])
+        asked = Asked([r.chunk_id for r in held], pa.array(terms_of), first, np.array([q for x in places for q in x], np.int64), np.log(1.0 + (n - df + 0.5) / (df + 0.5)), float(found[None].dl / n) or 1.0)
+        scored = words.select("chunk_id", "words", "dl").mapInArrow(_okapi(spark.sparkContext.broadcast(asked), k, k1, b), schema)
+        out = scored if out is None else out.unionByName(scored)
+    return top_k(spark.createDataFrame([], schema) if out is None else out, k, F.round("score", 9))
 
 
 def rrf(legs: list[DataFrame], k: int, constant: float = 2.0, rank_base: int = 0) -> DataFrame:
