@@ -33,32 +33,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.scratch import small_batches
-from quarrymill.llm.text_kernel import slices
+from quarrymill.llm.text_kernel import give_back, released, slices, text_bytes
 
 #: Of pieces and their ids, with what Python adds to each.
-CACHE_BYTES, ENTRY_BYTES = 160 << 20, 150
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 150
 IDLE_SECONDS = 10.0
+#: Bytes of texts (or one longer text) that are cut at once; the more there are, the more pieces share a query.
+TEXT_BYTES = 1 << 20
 #: Bytes of pieces in one recursive query.
-QUERY_BYTES = 1 << 20
+QUERY_BYTES = 1 << 18
 #: Pieces of more bytes, of which places fit in 6 bits, contract all safe occurrences in a step.
 LONG_PIECE = 24
 STEPS = 32
-DECODE_IDS = 1 << 18
+DECODE_IDS = 1 << 17
 
-#: ``best`` packs the smallest rank, the leftmost place that has it and the place after, so one minimum finds all three.
+#: A word's tokens are laid out by position to meet the merge table; ``best`` packs the smallest rank and the leftmost place
+#: that has it, so one minimum finds both. A word without a best pair is done.
 SHORT_SQL = """
-WITH RECURSIVE s(w, pos, tok, live) AS (
-    SELECT w, pos, tok, true FROM start
+WITH RECURSIVE s(w, toks, best) AS (
+    SELECT w, list(tok ORDER BY pos), 0::BIGINT FROM start GROUP BY w
   UNION ALL
-    SELECT w, pos, CASE WHEN pos = (best // 64) % 64 THEN (best // 4096)::INT ELSE tok END, best IS NOT NULL
-    FROM (
-        SELECT n.w, n.pos, n.tok, min(m.rank::BIGINT * 4096 + n.pos * 64 + n.next) OVER (PARTITION BY n.w) AS best
-        FROM (SELECT w, pos, tok, lead(tok) OVER d AS after, lead(pos) OVER d AS next FROM s WHERE live WINDOW d AS (PARTITION BY w ORDER BY pos)) n
-        LEFT JOIN merges m ON m.l = n.tok AND m.r = n.after
-    )
-    WHERE best IS NULL OR pos <> best % 64
+    SELECT s.w, CASE WHEN b.best IS NULL THEN toks ELSE list_concat(list_append(toks[:b.best % 64], (b.best // 64)::INT), toks[b.best % 64 + 3:]) END, b.best
+    FROM s LEFT JOIN (
+        SELECT p.w, min(m.rank::BIGINT * 64 + p.at) AS best
+        FROM (SELECT w, unnest(range(len(toks) - 1)) AS at, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS after FROM s WHERE best IS NOT NULL) p
+        JOIN merges m ON m.l = p.tok AND m.r = p.after GROUP BY p.w
+    ) b ON b.w = s.w WHERE s.best IS NOT NULL
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM s WHERE NOT live GROUP BY w
+SELECT w, toks AS ids FROM s WHERE best IS NULL
 """
 
 #: ``nth`` counts a run of overlapping occurrences; only odd ones contract.
@@ -91,7 +93,7 @@ SELECT w, pos, tok, live FROM s WHERE NOT live OR step = {steps}
 """
 
 DECODE_SQL = """
-SELECT doc, string_agg(v.hex, '' ORDER BY t.at) AS hex
+SELECT doc, list(v.raw ORDER BY t.at) AS parts
 FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY doc
 """
 
@@ -129,7 +131,7 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False, "temp_directory": ""})
         left, right, rank, safe = merge_rows(ranks)
         merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32()), "safe": pa.array(safe)})  # noqa: F841
-        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
+        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": pa.array(list(ranks), pa.binary())})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.cache: dict[str, bytes] = {}
@@ -218,8 +220,14 @@ class Codec:
         for lo in range(0, len(flat), DECODE_IDS):
             part = slice(lo, lo + DECODE_IDS)
             tokens = pa.table({"doc": doc[part], "id": flat[part], "at": np.arange(len(flat[part]), dtype=np.int32)})  # noqa: F841
-            for d, text in sorted(self.db.execute(DECODE_SQL).fetchall()):
-                out[d].append(bytes.fromhex(text))
+            found = self.db.execute(DECODE_SQL).to_arrow_table().combine_chunks()
+            if found.num_rows:
+                # A document's parts lie side by side in one buffer.
+                lists = found.column("parts").chunk(0)
+                raw, bounds = text_bytes(lists.flatten().cast(pa.large_binary()))
+                whole, first = raw.tobytes(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                for d, i, j in zip(found.column("doc").to_pylist(), bounds[first[:-1]].tolist(), bounds[first[1:]].tolist(), strict=True):
+                    out[d].append(whole[i:j])
         return [b"".join(x) for x in out]
 
 
@@ -230,6 +238,7 @@ _IDLE: list[threading.Timer] = []
 def _free() -> None:
     while _CODECS:
         _CODECS.popitem()[1].close()
+    give_back()
 
 
 @contextlib.contextmanager
@@ -265,14 +274,14 @@ def encode_documents(documents: DataFrame, ranks: bytes, pattern: str, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _codec(held) as codec:
-            for texts, (lo, hi, _, _), batch in ((t, s, b) for b in batches for t in [b.column(1).fill_null("")] for s in slices(t)):
+            for texts, (lo, hi, _, _), batch in ((t, s, b) for b in batches for t in [b.column(1).fill_null("")] for s in slices(t, TEXT_BYTES)):
                 ids = codec.encode(texts[lo:hi].to_pylist())
                 decoded = codec.decode(ids)
                 columns = {"doc_id": batch.column(0)[lo:hi], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "ids_sha256": pa.array(list(map(digest, ids)), pa.string()), "decoded_sha256": pa.array(list(map(digest, decoded)), pa.string())}
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(released(run), "doc_id long, n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -284,4 +293,4 @@ def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFram
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.decode(batch.column(1).fill_null(b"").to_pylist()), pa.binary())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(released(run), "doc_id long, text binary")

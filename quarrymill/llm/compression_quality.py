@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.folds import fit_logistic, fold, logistic, sample_labelled
 from quarrymill.llm.scratch import small_batches
-from quarrymill.llm.text_kernel import text_bytes
+from quarrymill.llm.text_kernel import released, text_bytes
 
 BLOCK = 4096
 #: Bytes of a text's pieces in a dictionary.
@@ -121,7 +121,7 @@ def score_quality(documents: DataFrame, model: QualityModel, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fitted.score(batch.column(1), compressors))], ["doc_id", "score"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(released(run), "doc_id long, score double")
 
 
 def held_out_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

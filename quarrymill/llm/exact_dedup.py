@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarrymill.llm.scratch import Scratch
+from quarrymill.llm.text_kernel import released
 
 #: What normalisation deletes: space and U+0009 to U+000D.
 WHITESPACE = " \t\n\x0b\f\r"
@@ -121,7 +122,7 @@ def possibly_repeated(rows: DataFrame, bits: int, scratch: Scratch, max_filter_b
     of rows within the files lets them find, so a filter of any size costs one reading and one writing of the rows.
     """
     spark = rows.sparkSession
-    slots = rows.select("h").mapInArrow(_slot_emitter(bits), "segment long, once binary, again binary")
+    slots = rows.select("h").mapInArrow(released(_slot_emitter(bits)), "segment long, once binary, again binary")
     bitmaps = scratch.keep(slots.groupBy("segment").applyInPandas(_merge_segment, "segment long, bitmap binary"), "bitmaps")
     segments, per_round = 1 << (bits - SEGMENT_BITS), max(1, max_filter_bytes // (SEGMENT // 8))
     schema, width, out = StructType([*rows.schema.fields, StructField("hit", IntegerType())]), 1 << (64 + SEGMENT_BITS - bits), None
@@ -134,7 +135,7 @@ def possibly_repeated(rows: DataFrame, bits: int, scratch: Scratch, max_filter_b
         part = rows
         if segments > per_round:
             part = rows.filter(F.col("h").between(F.lit(first * width - (1 << 63)), F.lit(last * width - (1 << 63) - 1)))
-        part = scratch.keep(part.mapInArrow(_tester(bits, held, first), schema), f"tested-{first}")
+        part = scratch.keep(part.mapInArrow(released(_tester(bits, held, first)), schema), f"tested-{first}")
         held.unpersist()
         out = part if out is None else out.unionByName(part)
     scratch.drop("bitmaps")

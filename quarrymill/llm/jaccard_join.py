@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.scratch import Scratch
-from quarrymill.llm.text_kernel import U64, distinct_rows, mixed, shingles, slices, sort_rows, word_hashes, words
+from quarrymill.llm.text_kernel import U64, distinct_rows, mixed, released, shingles, slices, sort_rows, word_hashes, words
 
 #: Shingles or index entries that a task holds before it sends them on.
 FLUSH = 1 << 19
@@ -166,13 +166,13 @@ class Order:
         place = np.argsort(np.lexsort((brief, sets)))
         by = np.argsort(brief)
         self.brief, self.place, self.hot = brief[by], place[by].astype(U64), int((sets >= HOT).sum())
-        self.sieve = np.zeros(1 << 24, bool)
-        self.sieve[(brief & U64(0xFFFFFF)).view(np.int64)] = True
+        self.sieve = np.zeros(1 << 22, bool)
+        self.sieve[(brief & U64(0x3FFFFF)).view(np.int64)] = True
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """A 64-bit place of each shingle in the order."""
         key, brief = h.copy(), _brief(h)
-        maybe = np.flatnonzero(self.sieve[(brief & U64(0xFFFFFF)).view(np.int64)])
+        maybe = np.flatnonzero(self.sieve[(brief & U64(0x3FFFFF)).view(np.int64)])
         if len(self.brief):
             at = np.minimum(np.searchsorted(self.brief, brief[maybe]), len(self.brief) - 1)
             found = self.brief[at] == brief[maybe]
@@ -354,23 +354,23 @@ def _joined(documents: DataFrame, width: int, id_col: str, text_col: str) -> Dat
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard-join")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    rows = scratch.keep(docs.mapInArrow(_describe(width), "doc_id long, n long, a long, b long, th long"), "rows")
+    rows = scratch.keep(docs.mapInArrow(released(_describe(width)), "doc_id long, n long, a long, b long, th long"), "rows")
     sets = rows.filter("n > 0 and doc_id is not null")
     classes = scratch.keep(sets.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep")), "classes")
     entries = classes.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0)).alias("e")).first().e
     bits = max(8, int(np.ceil(np.log2(max(1, entries) / ENTRIES_PER_SEGMENT))))
     texts = docs.filter("doc_id is not null").select("text")
 
-    counts = scratch.keep(texts.mapInArrow(_counted(bits, width), "segment long, t binary, count binary").groupBy("segment").applyInPandas(_frequent(bits), "brief long, sets long"), "counts")
+    counts = scratch.keep(texts.mapInArrow(released(_counted(bits, width)), "segment long, t binary, count binary").groupBy("segment").applyInPandas(_frequent(bits), "brief long, sets long"), "counts")
     order = spark.sparkContext.broadcast(_order(counts))  # MOST_FREQUENT entries of 17 bytes
     scratch.drop("counts")
 
     entry = "segment long, t binary, a binary, n binary, p binary"
-    index = texts.mapInArrow(_index(order, bits, width), entry)
+    index = texts.mapInArrow(released(_index(order, bits, width)), entry)
     listed = "list long, a long, n int, p int, w int"
     if order.value.hot:
         index = scratch.keep(index, "index")
-        plain = index.filter("segment < 0").mapInArrow(_unpacked(), listed).groupBy("list", "a", "n", "w").agg(F.min("p").alias("p")).select("list", "a", "n", "p", "w")
+        plain = index.filter("segment < 0").mapInArrow(released(_unpacked()), listed).groupBy("list", "a", "n", "w").agg(F.min("p").alias("p")).select("list", "a", "n", "p", "w")
         lists = index.filter("segment >= 0").groupBy("segment").applyInPandas(_lists, listed).unionByName(plain)
     else:
         lists = index.groupBy("segment").applyInPandas(_lists, listed)
@@ -386,7 +386,7 @@ def _joined(documents: DataFrame, width: int, id_col: str, text_col: str) -> Dat
 
     # The sets of lists, packed, one document's text for each.
     wanted = scratch.keep(lists.select("a").distinct().join(classes, "a").select("a", "rep.doc_id", "rep.th"), "wanted")
-    sets_packed = picked(docs, wanted, ["doc_id", "th"]).dropDuplicates(["a"]).select("text", "a").mapInArrow(_packed(width), "a long, h binary")
+    sets_packed = picked(docs, wanted, ["doc_id", "th"]).dropDuplicates(["a"]).select("text", "a").mapInArrow(released(_packed(width)), "a long, h binary")
     sets_packed = scratch.keep(sets_packed, "packed", compression="lz4")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
@@ -395,7 +395,7 @@ def _joined(documents: DataFrame, width: int, id_col: str, text_col: str) -> Dat
         ids = scratch.keep(pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct(), f"{name}-ids")
         some = picked(sets_packed, ids, ["a"])
         met = pairs.join(some.select(F.col("a").alias("x"), F.col("h").alias("hx")), "x").join(some.select(F.col("a").alias("y"), F.col("h").alias("hy")), "y")
-        out = scratch.keep(met.select("x", "y", "n", "m", "hx", "hy").mapInArrow(_overlaps, "x long, y long, n long, m long, inter long"), name)
+        out = scratch.keep(met.select("x", "y", "n", "m", "hx", "hy").mapInArrow(released(_overlaps), "x long, y long, n long, m long, inter long"), name)
         scratch.drop(f"{name}-pairs", f"{name}-ids")
         return out
 

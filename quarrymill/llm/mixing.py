@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.scratch import Scratch, small_batches
-from quarrymill.llm.text_kernel import slices, words
+from quarrymill.llm.text_kernel import released, slices, words
 
 BITS = 12
 SNAPSHOT = 10
@@ -144,7 +144,7 @@ def posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(tokens.astype(np.int64)), lists], ["doc_id", "tokens", "p"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens long, p array<double>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, tokens long, p array<double>")
 
 
 @dataclass

@@ -6,12 +6,37 @@ follow the size of an Arrow batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a Python worker lives on after its task, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run):
+    """A function over batches that gives its memory back when the task's batches are through."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 SLICE_BYTES = 1 << 20
 
 #: Space and U+0009 to U+000D.
@@ -45,12 +70,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column and the offsets of its rows; a null row has no bytes."""
+    """The bytes of a column of texts or byte strings and the offsets of its rows; a null row has no bytes."""
     if column.null_count:
-        column = column.fill_null("")
-    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
-        column = column.cast(pa.large_string())
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not (wide or pa.types.is_string(column.type) or pa.types.is_binary(column.type)):
+        column, wide = column.cast(pa.large_string()), True
     _, offsets, data = column.buffers()
     if offsets is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.folds import fit_logistic, fold, logistic, sample_labelled
 from quarrymill.llm.scratch import Scratch, small_batches
-from quarrymill.llm.text_kernel import IS_BREAK, U64, Hasher, distinct_by_row, mixed, slices, words
+from quarrymill.llm.text_kernel import IS_BREAK, U64, Hasher, distinct_by_row, mixed, released, slices, words
 
 #: Bytes of the beginnings and ends that count as features beside the word.
 AFFIXES = (4, 5, 6, 7, 8, 9)
@@ -336,7 +336,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", keep=None
     if not toxic or not clean:
         return ToxicModel(Lexicon(), START_WEIGHTS, np.array([4.0 if toxic else -4.0, 0.0, 0.0]))
     scratch = Scratch(documents.sparkSession, "toxic-counts")
-    counts = rows.select("text", "y").mapInArrow(_counter(), "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.select("text", "y").mapInArrow(released(_counter()), "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # A feature of one document is no entry at any bound and needs no place in the table.
     counts = scratch.keep(counts.filter(F.col("toxic") + F.col("clean") >= MIN_TOXIC), "counts")
     n, (surprise, evidence) = F.col("toxic") + F.col("clean"), _strength(F.col("toxic"), F.col("clean"), toxic, clean)
@@ -411,7 +411,7 @@ def tag_toxicity(documents: DataFrame, model: ToxicModel, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double" + ", spans array<struct<start: int, end: int, probability: double>>" * with_spans)
+    return rows.mapInArrow(released(run), "doc_id long, score double" + ", spans array<struct<start: int, end: int, probability: double>>" * with_spans)
 
 
 def drop_toxic(documents: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -429,7 +429,7 @@ def drop_toxic(documents: DataFrame, model: ToxicModel, text_col: str = "text",
                 score = logistic(document_features(marginals(m.weights, c), c.first), m.curve)
                 yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(released(run), documents.schema)
 
 
 def held_out_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
