@@ -37,7 +37,7 @@ from quarrymill.llm.text_kernel import give_back, released, slices, text_bytes
 
 #: Of pieces and their ids, with what Python adds to each.
 CACHE_BYTES, ENTRY_BYTES = 48 << 20, 150
-IDLE_SECONDS = 10.0
+IDLE_SECONDS = 2.0
 #: Bytes of texts (or one longer text) that are cut at once; the more there are, the more pieces share a query.
 TEXT_BYTES = 1 << 20
 #: Bytes of pieces in one recursive query.

@@ -27,9 +27,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB (or one row), so that memory doesn't follow the length of texts, unless the session says otherwise."""
+    """Arrow batches of 2 MB (or one row), so that memory doesn't follow the length of texts, unless the session says otherwise."""
     if not spark.sparkContext.getConf().contains(ARROW_BYTES):
-        spark.conf.set(ARROW_BYTES, str(8 << 20))
+        spark.conf.set(ARROW_BYTES, str(2 << 20))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
