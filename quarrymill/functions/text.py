@@ -175,8 +175,8 @@ PERSONAL = {
     "ip": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
     "path": r"/(?:home|Users)/[A-Za-z0-9._-]+",
     "username": r"(?:@[A-Za-z0-9._-]{3,}|(?:user|username|usr)[:=]\s*[A-Za-z0-9._-]{3,})",
-    "company": r"\b[A-Z][A-Za-z0-9&]*(?:[ \t]+[A-Z&][A-Za-z0-9&]*){0,4}[ \t]+(?:Inc|LLC|LLP|Corp|Corporation|PBC|Ltd|Limited|GmbH|AG|Partners|Group|Holdings|Company|Technologies|Systems|Solutions|Services)\b",
-    "name": r"\b[A-Z][a-z]{2,}[ \t]+[A-Z][a-z]{2,}(?:[ \t]+[A-Z][a-z]{2,})?\b",
+    "company": r"[A-Z][A-Za-z0-9&]*(?:[ \t]+[A-Z&][A-Za-z0-9&]*){0,4}[ \t]+(?:Inc|LLC|LLP|Corp|Corporation|PBC|Ltd|Limited|GmbH|AG|Partners|Group|Holdings|Company|Technologies|Systems|Solutions|Services)\b",
+    "name": r"\p{Lu}\p{Ll}{2,}[ \t]+\p{Lu}\p{Ll}{2,}(?:[ \t]+\p{Lu}\p{Ll}{2,})?",
 }
 
 
