@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, compression_quality, exact_dedup, jaccard_join, line_dedup, mixing, posting_lists, sharding, toxic_crf, url_filter
+from quarrymill.llm import bpe, compression_quality, decontamination, exact_dedup, jaccard_join, line_dedup, mixing, periodic_runs, posting_lists, sharding, threshold_search, toxic_crf, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,37 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents, by the checksum of the id, go on periodically from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = documents.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.coalesce(F.size("w"), F.lit(0)).cast("long"))
+    placed = cut.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    period = F.expr("slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int((n - a + p - 1) div p))), 1, int(n - a))")
+    changed = F.array_join(F.concat(F.expr("slice(w, 1, int(a))"), period), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("e"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    out = found.withColumn("best", best)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")], F.expr("1000 * best.length div best.period").alias("exponent_milli"), digest(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = threshold_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_posting_lists": op2_posting_lists,
@@ -90,14 +121,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxic_crf": op9_toxic_crf,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_threshold_search": op12_threshold_search,
+    "op13_decontamination": op13_decontamination,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(h_of, ''), lambda c: ascii(c)::BIGINT)), lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
 _URL_PARTS = r"""
     SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
     FROM pages"""
 
 ORACLE_SQL: dict[str, str] = {
+    # A run with period q is an island of words that equal the word q places on.
+    "op11_periodic_runs": rf"""
+        WITH d AS (SELECT doc_id, doc_id::VARCHAR AS h_of, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        h AS (SELECT doc_id, w, len(w) AS n, {_CRC} AS h FROM d),
+        g AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+        t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_concat(w[:a], list_transform(range(a, n), lambda i: w[(a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1)::BIGINT])) END AS w FROM g),
+        x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+        e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 4),
+        island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
+        s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+        runs AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start, length, period), struct_pack(e := -length / period, s := start, p := period)) AS best,
+                        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listing FROM r GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+               sha256(coalesce(listing, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+        FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_threshold_search": rf"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+        totals AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+        f AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d),
+        p AS (SELECT doc_id, t, any_value(n) AS n, count(*) AS tf FROM f WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+        w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, totals GROUP BY t),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score FROM p JOIN w USING (t) JOIN q USING (t), totals GROUP BY item_id, doc_id)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""",
+    "op13_decontamination": rf"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+        b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+        k AS (SELECT item_id, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i, w FROM b WHERE len(w) > 0),
+        wins AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM k),
+        place AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k),
+        hits AS (SELECT p.doc_id, p.i, p.k, item_id FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM place) p JOIN wins ON wins.k = p.k AND wins.win = p.win),
+        covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM hits) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op4_line_dedup": r"""
         WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
         n AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),

@@ -108,6 +108,12 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE)
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
+def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, breaks: np.ndarray = IS_SPACE) -> pa.Array:
+    """The words that ``words`` found, as byte strings."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[~breaks[data]])])
+
+
 class Hasher:
     """64-bit hashes of runs of bytes with A-Z lower-cased: polynomials over the bytes, read off sums made once."""
 
