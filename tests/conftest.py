@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -48,7 +49,7 @@ def duck(sf_dir):
 
 
 def _plain(value):
-    if value is None or value != value or str(value) == "NaT":
+    if value is None or value is pd.NA or value != value or str(value) == "NaT":
         return None
     if hasattr(value, "tolist"):
         value = value.tolist()
