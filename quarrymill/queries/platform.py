@@ -57,6 +57,30 @@ def _(spark, d):
     return other.get("points").select("chunk_id")
 
 
+@query("s14_s16_layers", """
+    WITH s AS (SELECT vec_id AS chunk_id, CASE WHEN vec_id % 11 = 0 THEN 'u10' WHEN label = 2 THEN NULL WHEN vec_id % 9 = 0 THEN 'u8' WHEN vec_id % 14 = 0 THEN 'u6' WHEN vec_id % 7 = 0 THEN NULL
+        WHEN vec_id % 5 = 0 THEN 'u4' WHEN label = 4 OR vec_id % 3 = 0 THEN NULL ELSE 'v' || vec_id END AS name FROM embeddings)
+    SELECT chunk_id, name FROM s WHERE name IS NOT NULL""")
+def _(spark, d):
+    """Ten changes, each a layer of its own, folded after eight and compacted at the end."""
+    p, at = _points(spark, d), _store(spark)
+    every = lambda n, name: p.filter(c("chunk_id") % n == 0).withColumn("name", F.lit(name))
+    at.create("points", p.schema)
+    at.upsert("points", p)
+    at.upsert("points", every(3, "u2"))
+    at.delete_files("points", p.filter("path = '4'").select("path"))
+    at.upsert("points", every(5, "u4"))
+    at.delete_ids("points", every(7, "").select("chunk_id"))
+    at.upsert("points", every(14, "u6"))
+    at.delete_names("points", every(3, "u2").select("name"))
+    at.upsert("points", every(9, "u8"))
+    at.fold("points")
+    at.delete_files("points", p.filter("path = '2'").select("path"))
+    at.upsert("points", every(11, "u10"))
+    at.compact("points")
+    return at.get("points").select("chunk_id", "name")
+
+
 @query("s22_entries", "SELECT c_nationkey::VARCHAR AS key, max(c_name) AS value FROM customer GROUP BY ALL")
 def _(spark, d):
     at = _store(spark)
