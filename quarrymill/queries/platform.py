@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
-from quarrymill.operators import chunking, grammar
+from quarrymill.operators import chunking, grammar, trees
 from quarrymill.plans import providers
 from quarrymill.sources import store, walk
 from quarrymill.sources.tables import EXTENSIONS, FILES_SQL, files, load
@@ -270,3 +270,45 @@ def _(spark, d):
     f = load(spark, d, "documents").filter("text <> ''").select(c("doc_id").cast("string").alias("path"), body.alias("text"), F.lit("lines").alias("language"))
     found = chunking.chunk_files(f, languages=(language,))
     return found.groupBy(c("key").cast("long").alias("doc_id")).agg((F.max("line_end") - F.min("line_start") - 1).cast("int").alias("lines"))
+
+
+@query("g9_bound_links", r"""
+    WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS item FROM pages)
+    SELECT page_id, regexp_extract(item, '">([^<]*)<', 1) AS label, count(*) AS n FROM l GROUP BY ALL""")
+def _(spark, d):
+    """The label of every link that is all of a list's item, by a pattern with a variable."""
+    pages = load(spark, d, "pages").select(c("page_id").alias("path"), c("html").alias("text"))
+    found = trees.matches(trees.nodes(pages), "<li><a href=$_>$LABEL</a></li>")
+    span = c("bound")["LABEL"]
+    body = found.join(pages.withColumnRenamed("path", "page_id"), c("file") == c("page_id").cast("string"))
+    return body.groupBy("page_id", F.substring("text", span["start"] + 1, span["end"] - span["start"]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g8_related_nodes", r"""
+    SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*</nav>'), '<a ')) AS links_in_nav, len(regexp_extract_all(regexp_extract(html, '(?s)<article>.*</article>'), '<p>')) AS paragraphs_after_nav,
+           len(regexp_extract_all(html, '<nav>')) AS navs_before_article, len(regexp_extract_all(html, '<ul>')) AS lists_with_links FROM pages""")
+def _(spark, d):
+    """Links inside a navigation, paragraphs of articles that follow one, navigations that precede an article, lists that have a link."""
+    pages = load(spark, d, "pages").select(c("page_id").alias("path"), c("html").alias("text"))
+    tree = trees.nodes(pages)
+    kind = lambda k: trees.matches(tree, f"<{k}>$$$</{k}>")
+    link, nav = trees.matches(tree, "<a href=$_>$$$</a>"), kind("nav")
+    parts = {
+        "links_in_nav": trees.related(link, nav, "inside"),
+        "paragraphs_after_nav": trees.related(trees.related(kind("p"), kind("article"), "inside"), nav, "follows"),
+        "navs_before_article": trees.related(nav, kind("article"), "precedes", "end"),
+        "lists_with_links": trees.related(kind("ul"), link, "has"),
+    }
+    out = pages.select(c("path").alias("page_id"), *[F.lit(0).cast("long").alias(n) for n in parts])
+    for name, found in parts.items():
+        out = out.unionByName(found.select(c("file").cast("long").alias("page_id"), *[F.lit(int(n == name)).cast("long").alias(n) for n in parts]))
+    return out.groupBy("page_id").agg(*[F.sum(n).alias(n) for n in parts])
+
+
+@query("g10_edits", r"""SELECT page_id, sha256(regexp_replace(html, '<a href="[^"]*">([^<]*)</a>', '[\1]', 'g')) AS html_sha256, len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS edits FROM pages""")
+def _(spark, d):
+    """Every link of a page becomes its label in brackets, in one pass."""
+    pages = load(spark, d, "pages").select(c("page_id").alias("path"), c("html").alias("text"))
+    links = trees.matches(trees.nodes(pages), "<a href=$_>$$$LABEL</a>")
+    done = trees.commit_edits(pages, trees.replacements(links, pages, "[$$$LABEL]"))
+    return done.select(c("path").alias("page_id"), T.content_hash(c("text")).alias("html_sha256"), F.size("edited").cast("long").alias("edits"))
