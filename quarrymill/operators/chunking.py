@@ -11,6 +11,7 @@ import bisect
 import itertools
 import math
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,7 +114,32 @@ _WORD = re.compile(r"\b(" + "|".join(sorted(_KIND, key=len, reverse=True)) + r")
 _PAIR = {"{": "}", "(": ")", "[": "]"}
 _OPENS = {closed: opened for opened, closed in _PAIR.items()}
 _BRACKET = re.compile(r"[{}()\[\]]")
-_SKIP = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*.*?\*/|#[^\n]*", re.S)
+_STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+
+#: Marks of comments, to the end of the line and by pairs, by family; some languages differ from theirs.
+COMMENTS = {
+    "c_style": (["//"], [("/*", "*/")]), "python_style": (["#"], []), "ml_style": ([], [("(*", "*)")]), "lisp_style": ([";"], [("#|", "|#")]), "markup_style": ([], [("<!--", "-->")]), "shell_style": (["#"], []),
+    "functional_style": (["--"], [("{-", "-}")]), "latex_style": (["%"], []), "ruby_style": (["#"], []), "matlab_style": (["%"], []), "plain_text": ([], []),
+}
+COMMENTS_OF = {
+    "perl": (["#"], []), "awk": (["#"], []), "nix": (["#"], [("/*", "*/")]), "hcl": (["#", "//"], [("/*", "*/")]), "php": (["#", "//"], [("/*", "*/")]), "css": ([], [("/*", "*/")]), "json": ([], []), "fsharp": (["//"], [("(*", "*)")]), "lua": (["--"], []), "erlang": (["%"], []), "elixir": (["#"], []),
+    "gleam": (["//"], []), "r": (["#"], []), "fortran": (["!"], []), "batch": (["::"], []), "ini": ([";", "#"], []), "vue": (["//"], [("<!--", "-->"), ("/*", "*/")]), "svelte": (["//"], [("<!--", "-->"), ("/*", "*/")]),
+}
+_ANY_COMMENT = (["//", "#"], [("/*", "*/")])
+
+
+class Deadline:
+    """When the work on one file must end; asked now and then."""
+
+    def __init__(self, seconds: float | None):
+        self.at = None if seconds is None else time.monotonic() + seconds
+        self.passed, self._asked = seconds is not None and seconds <= 0, 0
+
+    def over(self, every: int = 256) -> bool:
+        self._asked += 1
+        if self.at is not None and not self.passed and self._asked % every == 0:
+            self.passed = time.monotonic() > self.at
+        return self.passed
 
 
 @dataclass
@@ -128,9 +154,34 @@ class Boundary:
         return PRIORITY[self.kind]
 
 
-def masked(text: str) -> str:
-    """The text with strings and comments blanked, so that places stay."""
-    return _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+def masked(text: str, language: str | None = None) -> str:
+    """The text with strings and comments blanked, so that places stay; marks of comments are those of the language."""
+    to_end, paired = COMMENTS_OF.get(language or "") or COMMENTS.get(FAMILY.get(language or "", ""), _ANY_COMMENT)
+    marks = [*to_end, *(a for a, _ in paired)]
+    start = re.compile("|".join(["[\"']", *map(re.escape, sorted(marks, key=len, reverse=True))]))
+    close, unclosed = dict(paired), set()
+    blank = lambda t: re.sub(r"[^\n]", " ", t)
+    out, at = [], 0
+    while m := start.search(text, at):
+        mark, end = m[0], None
+        if mark in close:
+            found = -1 if mark in unclosed else text.find(close[mark], m.end())
+            if found < 0:
+                unclosed.add(mark)  # and so are all later ones
+            else:
+                end = found + len(close[mark])
+        elif mark in to_end:
+            end = text.find("\n", m.end())
+            end = len(text) if end < 0 else end
+        elif held := _STRING.match(text, m.start()):
+            end = held.end()
+        if end is None:
+            out.append(text[at : m.end()])
+            at = m.end()
+        else:
+            out += [text[at : m.start()], blank(text[m.start() : end])]
+            at = end
+    return "".join([*out, text[at:]])
 
 
 def brackets(code: str) -> list[tuple[int, int, str, int]]:
@@ -146,20 +197,41 @@ def brackets(code: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
+class Indents:
+    """Where blocks that open on a line end: before the next line that isn't indented further. All lines are looked at once."""
+
+    def __init__(self, code: str):
+        self.begins, at = [0], code.find("\n")
+        while at >= 0:
+            self.begins.append(at + 1)
+            at = code.find("\n", at + 1)
+        depth = []
+        for a, b in itertools.pairwise([*self.begins, len(code) + 1]):
+            line = code[a : b - 1]
+            depth.append(len(line) - len(line.lstrip(" \t")) if line.strip() else None)
+        self.last = len(code) - 1 if code.endswith("\n") else len(code)
+        self.next: list[int | None] = [None] * len(depth)
+        open_lines: list[int] = []
+        for i in range(len(depth) - 1, -1, -1):
+            if depth[i] is None:
+                continue
+            while open_lines and depth[open_lines[-1]] > depth[i]:
+                open_lines.pop()
+            self.next[i] = open_lines[-1] if open_lines else None
+            open_lines.append(i)
+
+    def line(self, at: int) -> int:
+        return bisect.bisect_right(self.begins, at) - 1
+
+    def end(self, at: int) -> int:
+        line = self.line(at)
+        if line == len(self.begins) - 1:
+            return self.begins[-1] + max(0, self.last - self.begins[-1]) if self.last >= self.begins[-1] else self.last
+        return self.last if self.next[line] is None else self.begins[self.next[line]] - 1
+
+
 def indented_end(code: str, at: int) -> int:
-    """Where the block that opens on the line of ``at`` ends: before the next line that isn't indented further."""
-    begin = code.rfind("\n", 0, at) + 1
-    own = len(code[begin:]) - len(code[begin:].lstrip(" \t"))
-    end = pos = code.find("\n", at)
-    if pos < 0:
-        return len(code)
-    while 0 <= pos < len(code) - 1:
-        nxt = code.find("\n", pos + 1)
-        line = code[pos + 1 : nxt if nxt >= 0 else len(code)]
-        if line.strip() and len(line) - len(line.lstrip(" \t")) <= own:
-            break
-        end, pos = (nxt if nxt >= 0 else len(code)), nxt
-    return end if end >= 0 else len(code)
+    return Indents(code).end(at)
 
 
 @dataclass(frozen=True)
@@ -219,30 +291,72 @@ class CustomLanguage:
     delimiters: tuple[CustomDelimiter, ...]
 
 
-def boundaries(text: str, custom: tuple[CustomDelimiter, ...] = ()) -> list[Boundary]:
-    code = masked(text)
-    pairs = brackets(code)
-    braces = {a: (b, depth) for a, b, ch, depth in pairs if ch == "{"}
+def boundaries(text: str, custom: tuple[CustomDelimiter, ...] = (), language: str | None = None, deadline: Deadline | None = None) -> list[Boundary]:
+    """All structures; those found until the deadline, if it passes."""
+    deadline = deadline or Deadline(None)
+    if deadline.over():
+        return []
+    code = masked(text, language)
+    indents = Indents(code)
+    braces: dict[int, tuple[int, int]] = {}
+    out = []
+    for a, b, ch, depth in brackets(code):
+        if deadline.over():
+            return out
+        if ch == "{":
+            braces[a] = (b, depth)
+        if indents.line(a) != indents.line(b - 1):
+            out.append(Boundary(a, b, "block" if ch == "{" else "array" if ch == "[" else "generic", depth))
     opens = sorted(braces)
-    out = [Boundary(a, b, "block" if ch == "{" else "array" if ch == "[" else "generic", depth) for a, b, ch, depth in pairs if "\n" in code[a:b]]
     for m in _WORD.finditer(code):
-        line_end = code.find("\n", m.end())
-        line_end = len(code) if line_end < 0 else line_end
+        if deadline.over():
+            return out
+        line = indents.line(m.end())
+        line_end = indents.begins[line + 1] - 1 if line + 1 < len(indents.begins) else len(code)
         at = bisect.bisect_left(opens, m.end())
         if at < len(opens) and opens[at] <= line_end:
             out.append(Boundary(m.start(), braces[opens[at]][0], _KIND[m[1]], braces[opens[at]][1]))
         elif code[m.end() : line_end].rstrip().endswith(":"):
-            out.append(Boundary(m.start(), indented_end(code, m.start()), _KIND[m[1]], 0))
-    return out + [b for delimiter in custom for b in delimiter.boundaries(text)]
+            out.append(Boundary(m.start(), indents.end(m.start()), _KIND[m[1]], 0))
+    return out + [b for delimiter in custom for b in itertools.takewhile(lambda _: not deadline.over(), delimiter.boundaries(text))]
 
 
-def resolved(found: list[Boundary]) -> list[Boundary]:
-    """By priority, then length, then place; one that overlaps a chosen one goes, unless nested in it at equal priority."""
+def resolved(found: list[Boundary], deadline: Deadline | None = None) -> list[Boundary]:
+    """By priority, then length, then place; one that overlaps a chosen one goes, unless nested in it at equal priority.
+
+    What higher priorities have chosen is kept as disjoint stretches, so one search tells whether they are touched. Within a
+    priority longer ones come first, so a later one crosses an earlier one exactly if an end of that lies inside it; two
+    sorted lists of ends tell. Those chosen until the deadline are kept.
+    """
+    deadline = deadline or Deadline(None)
     chosen: list[Boundary] = []
-    for b in sorted(found, key=lambda b: (-b.priority, -(b.end - b.start), b.start)):
-        clash = [c for c in chosen if b.start < c.end and c.start < b.end]
-        if all(c.start <= b.start and b.end <= c.end and c.priority == b.priority for c in clash):
-            chosen.append(b)
+    taken: list[tuple[int, int]] = []
+    ordered = sorted(found, key=lambda b: (-b.priority, -(b.end - b.start), b.start))
+    for _, group in itertools.groupby(ordered, lambda b: b.priority):
+        begins, ends = [x for x, _ in taken], [y for _, y in taken]
+        starts: list[int] = []
+        stops: list[int] = []
+        mine = []
+        for b in group:
+            if deadline.over():
+                return sorted([*chosen, *mine], key=lambda b: (b.start, -b.end))
+            above = bisect.bisect_left(begins, b.end) - 1
+            if above >= 0 and ends[above] > b.start:
+                continue
+            i, j = bisect.bisect_right(starts, b.start), bisect.bisect_right(stops, b.start)
+            if i < len(starts) and starts[i] < b.end or j < len(stops) and stops[j] < b.end:
+                continue
+            bisect.insort(starts, b.start)
+            bisect.insort(stops, b.end)
+            mine.append(b)
+        chosen += mine
+        merged: list[tuple[int, int]] = []
+        for a, z in sorted([*taken, *((b.start, b.end) for b in mine)]):
+            if merged and a < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(z, merged[-1][1]))
+            else:
+                merged.append((a, z))
+        taken = merged
     return sorted(chosen, key=lambda b: (b.start, -b.end))
 
 
@@ -301,8 +415,12 @@ def uncovered(lines: Lines, found: list[Chunk]) -> list[Chunk]:
     return out
 
 
-def sized(lines: Lines, found: list[Chunk], sizes: Sizes) -> list[Chunk]:
-    """Chunks after what their size asks for: small neighbours of no kind of their own join, those over the limit are cut."""
+def sized(lines: Lines, found: list[Chunk], sizes: Sizes, deadline: Deadline | None = None) -> list[Chunk]:
+    """Chunks after what their size asks for: small neighbours of no kind of their own join, those over the limit are cut.
+
+    After the deadline structures whose lines an outer one holds are left out.
+    """
+    deadline, reached = deadline or Deadline(None), 0
     out: list[Chunk] = []
     run: list[Chunk] = []
 
@@ -314,6 +432,9 @@ def sized(lines: Lines, found: list[Chunk], sizes: Sizes) -> list[Chunk]:
         run.clear()
 
     for a, b, kind, depth in sorted(set(found)):
+        if deadline.over(every=1) and b <= reached:
+            continue
+        reached = max(reached, b)
         most = sizes.limit if kind in KEPT_WHOLE else sizes.acceptable
         if lines.size(a, b) // 4 > most:
             close()
@@ -329,24 +450,26 @@ def sized(lines: Lines, found: list[Chunk], sizes: Sizes) -> list[Chunk]:
     return sorted(set(out))
 
 
-def delimiter_chunks(text: str, sizes: Sizes = Sizes(), custom: tuple[CustomDelimiter, ...] = ()) -> list[Chunk]:
+def delimiter_chunks(text: str, sizes: Sizes = Sizes(), custom: tuple[CustomDelimiter, ...] = (), language: str | None = None, seconds: float | None = None) -> list[Chunk]:
     """(first line, last line, kind, depth) of a file's chunks, which hold every line that isn't blank.
 
-    Structures, and blocks of what stands between them; paragraphs where there are no structures.
+    Structures, and blocks of what stands between them; paragraphs where there are no structures. After ``seconds`` no more
+    structures are looked for, and the lines of those not yet found become blocks.
     """
     if not text.strip():
         return [(1, text.count("\n") + 1, "whitespace", 0)] if text else []
     lines = Lines(text)
-    kept = [b for b in resolved(boundaries(text, custom)) if b.kind in KEPT_WHOLE or b.end - b.start >= sizes.floor * 4]
+    deadline = Deadline(seconds)
+    kept = [b for b in resolved(boundaries(text, custom, language, deadline), deadline) if b.kind in KEPT_WHOLE or b.end - b.start >= sizes.floor * 4]
     found = [(lines.of(b.start), lines.of(max(b.start, b.end - 1)), b.kind, b.depth) for b in kept]
     if found:
         found += uncovered(lines, found)
     else:
         found = [(a, b, "paragraph", 0) for a, b in lines.stretches(1, len(lines.text))]
-    return sized(lines, found, sizes)
+    return sized(lines, found, sizes, deadline)
 
 
-def python_chunks(text: str, sizes: Sizes = Sizes(), deepest: int = 200) -> list[Chunk]:
+def python_chunks(text: str, sizes: Sizes = Sizes(), deepest: int = 200, seconds: float | None = None) -> list[Chunk]:
     """The same from the syntax tree of Python code; what doesn't parse is cut by delimiters.
 
     A class over the limit gives way to its parts; what stands between them, and what is nested deeper than ``deepest``,
@@ -355,11 +478,11 @@ def python_chunks(text: str, sizes: Sizes = Sizes(), deepest: int = 200) -> list
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return delimiter_chunks(text, sizes)
-    lines = Lines(text)
+        return delimiter_chunks(text, sizes, (), "python", seconds)
+    lines, deadline = Lines(text), Deadline(seconds)
     found: list[Chunk] = []
     todo: list[tuple[ast.AST, int]] = [(tree, 0)]
-    while todo:
+    while todo and not deadline.over():
         node, depth = todo.pop()
         for child in ast.iter_child_nodes(node):
             kind = "class" if isinstance(child, ast.ClassDef) else "function" if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef) else None
@@ -371,7 +494,7 @@ def python_chunks(text: str, sizes: Sizes = Sizes(), deepest: int = 200) -> list
                     found.append((first, last, "method" if kind == "function" and isinstance(node, ast.ClassDef) else kind, depth))
             elif isinstance(node, ast.Module) and hasattr(child, "lineno"):
                 found.append((child.lineno, child.end_lineno, "module", depth))
-    return sized(lines, found + uncovered(lines, found), sizes) or delimiter_chunks(text, sizes)
+    return sized(lines, found + uncovered(lines, found), sizes, deadline) or delimiter_chunks(text, sizes, (), "python", seconds)
 
 
 def over_limit(chunks: DataFrame, key: str, most: int = 5000) -> DataFrame:
@@ -379,8 +502,8 @@ def over_limit(chunks: DataFrame, key: str, most: int = 5000) -> DataFrame:
     return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks")).filter(F.col("chunks") > most)
 
 
-def chunk_files(files: DataFrame, key: str = "path", text: str = "text", language: str = "language", sizes: Sizes = Sizes(), languages: tuple[CustomLanguage, ...] = ()) -> DataFrame:
-    """Chunks of every file: key, chunk_index, line_start, line_end, kind, priority, nesting_level and content."""
+def chunk_files(files: DataFrame, key: str = "path", text: str = "text", language: str = "language", sizes: Sizes = Sizes(), languages: tuple[CustomLanguage, ...] = (), seconds: float = 30.0) -> DataFrame:
+    """Chunks of every file, each within so many seconds: key, chunk_index, line_start, line_end, kind, priority, nesting_level and content."""
 
     own = {x.name: x.delimiters for x in languages}
 
@@ -389,7 +512,7 @@ def chunk_files(files: DataFrame, key: str = "path", text: str = "text", languag
             rows = []
             for name, body, lang in pdf.itertuples(index=False, name=None):
                 body = body or ""
-                found = python_chunks(body, sizes) if lang == "python" else delimiter_chunks(body, sizes, own.get(lang, ()))
+                found = python_chunks(body, sizes, seconds=seconds) if lang == "python" else delimiter_chunks(body, sizes, own.get(lang, ()), lang, seconds)
                 lines = body.split("\n")
                 rows += [(name, i, a, b, kind, PRIORITY[kind], depth, "\n".join(lines[a - 1 : b])) for i, (a, b, kind, depth) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["key", "chunk_index", "line_start", "line_end", "kind", "priority", "nesting_level", "content"])

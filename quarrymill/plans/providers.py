@@ -4,6 +4,8 @@ makes a column, given as an argument to the flows; the ones here need no model a
 from __future__ import annotations
 
 import base64
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
 from quarrymill.operators import retrieval
-from quarrymill.operators.batching import running_batches
+from quarrymill.operators.batching import RANGES, running_batches
+from quarrymill.sources.store import shared_folder
 
 
 class Embedder(Protocol):
@@ -118,19 +121,86 @@ def rerank(hits: DataFrame, queries: DataFrame, documents: DataFrame, rerankers:
     return retrieval.top_k(pairs.select("query_id", "chunk_id", F.col("score").alias("original_score"), best.alias("score")), k, F.col("score"))
 
 
-def embed_chunks(chunks: DataFrame, registry: DataFrame | None, embedder: Embedder, batch_tokens: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Vectors of the texts that the registry lacks, each different text once, and the registry with them.
+class BatchEmbedder(Protocol):
+    """A model that is called with texts; it may fail."""
 
-    ``chunks`` has chunk_id and text, the registry content_hash, dense and batch. Batches are bounded by tokens, and a batch
-    that is computed again gives the same rows.
+    name: str
+    dimensions: int
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        """A vector for each text."""
+
+
+def embed_or_split(embed: Callable[[list[str]], list[list[float]]], texts: list[str], attempts: int = 3, pause: float = 0.0) -> list[tuple[list[float] | None, str | None]]:
+    """(vector, error) of each text: a batch that fails ``attempts`` times is halved, until a text fails on its own.
+
+    Every other text has its vector from a call that went well; a text alone is asked no more than ``attempts`` times.
+    """
+    out: list[tuple[list[float] | None, str | None]] = [(None, None)] * len(texts)
+    todo = [(0, len(texts))] if texts else []
+    while todo:
+        lo, hi = todo.pop()
+        for attempt in range(attempts):
+            try:
+                made = list(embed(texts[lo:hi]))
+                if len(made) != hi - lo:
+                    raise ValueError(f"{len(made)} vectors for {hi - lo} texts")
+                out[lo:hi] = [(list(map(float, v)), None) for v in made]
+                break
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+                time.sleep(pause * 2**attempt)
+        else:
+            if hi - lo == 1:
+                out[lo] = (None, error)
+            else:
+                mid = (lo + hi) // 2
+                todo += [(mid, hi), (lo, mid)]
+    return out
+
+
+@dataclass(frozen=True)
+class Embedded:
+    """What an embedding run made: vectors by chunk, the registry of contents, and the contents that no call would take."""
+
+    vectors: DataFrame
+    registry: DataFrame
+    failed: DataFrame
+
+
+def embed_registered(chunks: DataFrame, registry: DataFrame | None, embedder: Embedder | BatchEmbedder, batch_tokens: int = 100_000, attempts: int = 3, pause: float = 0.0, at: str | None = None) -> Embedded:
+    """Vectors of the texts that the registry lacks, each different text once.
+
+    ``chunks`` has chunk_id and text, the registry content_hash, dense and batch. Batches are bounded by tokens; a batch of an
+    embedder that is called with texts is tried again and then halved. What is made is written once, below ``at`` or in the
+    shared folder, and all three tables read it from there, so no reader calls the model again. Failed contents are in no
+    registry, so a later run asks for them again; their chunks have no vector.
     """
     hashed = chunks.withColumn("content_hash", T.content_hash(F.col("text")))
     fresh = hashed if registry is None else hashed.join(registry.select("content_hash"), "content_hash", "left_anti")
     once = fresh.groupBy("content_hash").agg(F.min("text").alias("text"))
-    batched = running_batches(once, ["content_hash"], T.token_estimate(F.col("text")), batch_tokens)
-    made = batched.select("content_hash", embedder.column(F.col("text")).alias("dense"), "batch")
-    whole = made if registry is None else registry.unionByName(made)
-    return hashed.join(whole.select("content_hash", "dense"), "content_hash").select("chunk_id", "dense"), whole
+    batched = running_batches(once, ["content_hash"], T.token_estimate(F.col("text")), batch_tokens).select("content_hash", "text", "batch")
+    if hasattr(embedder, "embed"):
+
+        def call(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = embed_or_split(embedder.embed, pdf["text"].fillna("").tolist(), attempts, pause)
+            return pd.DataFrame({"content_hash": pdf["content_hash"], "dense": [v for v, _ in found], "batch": pdf["batch"], "error": [e for _, e in found]})
+
+        made = batched.groupBy("batch").applyInPandas(call, "content_hash string, dense array<float>, batch long, error string")
+    else:
+        made = batched.select("content_hash", embedder.column(F.col("text")).alias("dense"), "batch", F.lit(None).cast("string").alias("error"))
+    place = at or shared_folder(chunks.sparkSession, "registry")
+    made.write.parquet(place)
+    made = chunks.sparkSession.read.parquet(place)
+    new = made.filter("error IS NULL").drop("error")
+    whole = new if registry is None else registry.unionByName(new)
+    return Embedded(hashed.join(whole.select("content_hash", "dense"), "content_hash").select("chunk_id", "dense"), whole, made.filter("error IS NOT NULL").select("content_hash", "error"))
+
+
+def embed_chunks(chunks: DataFrame, registry: DataFrame | None, embedder: Embedder | BatchEmbedder, batch_tokens: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """The vectors and the registry of ``embed_registered``."""
+    made = embed_registered(chunks, registry, embedder, batch_tokens)
+    return made.vectors, made.registry
 
 
 @dataclass
@@ -152,12 +222,18 @@ def register(spark: SparkSession, documents: str) -> list[str]:
     find_code(query, token_limit, languages), the best documents in order as long as their tokens fit the limit."""
     asked, body = f"array_distinct({_SQL_WORDS.format('query')})", _SQL_WORDS.format("body")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION token_overlap(query STRING, body STRING) RETURNS DOUBLE RETURN coalesce(try_divide(CAST(size(array_intersect({asked}, {body})) AS DOUBLE), size({asked})), 0D)")
+    # Totals of (score, range of ids) come before the rows of each, so the running total needs no task that sees all rows.
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION find_code(query STRING, token_limit INT, languages ARRAY<STRING>)
         RETURNS TABLE (chunk_id BIGINT, score DOUBLE, tokens BIGINT) RETURN
+        WITH scored AS (
+            SELECT chunk_id, token_overlap(find_code.query, text) AS score, CAST(char_length(text) DIV 4 AS BIGINT) AS tokens FROM {documents}
+            WHERE find_code.languages IS NULL OR array_contains(find_code.languages, language)),
+        ends AS (SELECT min(chunk_id) AS lo, max(chunk_id) AS hi FROM {documents}),
+        ranged AS (SELECT chunk_id, score, tokens, CAST(floor({RANGES}D * (chunk_id - lo) / (hi - lo + 1D)) AS INT) AS part FROM scored CROSS JOIN ends WHERE score > 0),
+        totals AS (SELECT score, part, sum(tokens) AS total FROM ranged GROUP BY score, part),
+        reached AS (SELECT score, part, sum(total) OVER (ORDER BY score DESC, part) - total AS before FROM totals)
         SELECT chunk_id, score, tokens FROM (
-            SELECT chunk_id, score, tokens, sum(tokens) OVER (ORDER BY score DESC, chunk_id) AS used FROM (
-                SELECT chunk_id, token_overlap(find_code.query, text) AS score, CAST(char_length(text) DIV 4 AS BIGINT) AS tokens FROM {documents}
-                WHERE find_code.languages IS NULL OR array_contains(find_code.languages, language)
-                ORDER BY score DESC, chunk_id LIMIT 1000))
-        WHERE used <= token_limit AND score > 0""")
+            SELECT r.chunk_id, r.score, r.tokens, before, sum(r.tokens) OVER (PARTITION BY r.score, r.part ORDER BY r.chunk_id) AS own
+            FROM ranged r JOIN reached USING (score, part) WHERE before <= find_code.token_limit)
+        WHERE before + own <= token_limit""")
     return ["find_code", "token_overlap"]
