@@ -2,11 +2,19 @@
 
 Each text is cut by the vocabulary's pattern. Pieces that a task hasn't met go into a table of (piece, position, token),
 first a token per byte; a recursive query joins neighbouring tokens to the merge table and contracts in every piece the
-leftmost pair of the smallest rank, until no pair of a piece is in the table. Long pieces are first cut between bytes that no token has
-side by side, and contract all occurrences of that pair in one step wherever this can't differ from one at a time: the
-new token must not be part of a pair of smaller rank, and in a run of overlapping pairs every other one is taken, from
-the left. Their recursion pauses after ``STEPS`` steps, so that it holds a bounded number of states, and goes on from
-there. Decoding joins ids to the vocabulary and strings the bytes together in the order of the ids, per document.
+leftmost pair of the smallest rank, until no pair of a piece is in the table.
+
+A long piece is cut into segments that are contracted side by side, and then mended. A sequence of tokens is what the
+contraction of its bytes gives exactly if every two neighbours, contracted on their own, stay as they are: the first
+contraction over a boundary would be the smallest between those two as well, since until then both sides have gone their
+own way. So only the pairs at segments' ends are in question. Where one doesn't stay, the tokens around it are contracted
+again together and the ends of that window are asked, with a window twice as wide each time. A window over ``WINDOW`` bytes,
+as in repetitive text, contracts all occurrences of its smallest pair in one step wherever this can't differ from one at a
+time: the new token must not be part of a pair of smaller rank, and in a run of overlapping pairs every other one is taken,
+from the left. That recursion pauses after ``STEPS`` steps, so that it holds a bounded number of states, and goes on from
+there.
+
+Decoding joins ids to the vocabulary and strings the bytes together in the order of the ids, per document.
 
 The merge table is the vocabulary's own: a pair's rank is that of its joined bytes. Memory is bounded by slices of
 texts, the pieces of one query and a cache of pieces that is emptied at ``CACHE_BYTES``; a Python worker keeps it for
@@ -42,8 +50,8 @@ IDLE_SECONDS = 2.0
 TEXT_BYTES = 1 << 20
 #: Bytes of pieces in one recursive query.
 QUERY_BYTES = 1 << 18
-#: Pieces of more bytes, of which places fit in 6 bits, contract all safe occurrences in a step.
-LONG_PIECE = 24
+#: Pieces of more bytes are mended from segments; a place within a segment or a window fits in 6 bits.
+LONG_PIECE, SEGMENT, WINDOW = 24, 40, 60
 STEPS = 32
 DECODE_IDS = 1 << 17
 
@@ -123,6 +131,9 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.byte_token = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.ranks = ranks
+        self.raw = {rank: token for token, rank in ranks.items()}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(token) for token in ranks]
         #: Bytes that some token has side by side; no contraction ever spans any others.
         self.together = np.zeros((256, 256), bool)
         for token in ranks:
@@ -159,7 +170,67 @@ class Codec:
             found[w] = flat[a:b].tobytes()
         return found
 
+    def _contracted(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each, equal ones contracted once."""
+        found: dict[bytes, np.ndarray] = {}
+        for contract, group in ((self._short, [p for p in dict.fromkeys(parts) if len(p) <= WINDOW]), (self._by_rank, [p for p in dict.fromkeys(parts) if len(p) > WINDOW])):
+            lo = 0
+            while lo < len(group):
+                hi, size = lo, 0
+                while hi < len(group) and (hi == lo or size + len(group[hi]) <= QUERY_BYTES):
+                    size += len(group[hi])
+                    hi += 1
+                found.update((p, np.frombuffer(ids, "<u4")) for p, ids in zip(group[lo:hi], contract(group[lo:hi]), strict=True))
+                lo = hi
+        return [found[p] for p in parts]
+
     def _long(self, pieces: list[bytes]) -> list[bytes]:
+        cut = [[piece[a : a + SEGMENT] for a in range(0, len(piece), SEGMENT)] if len(piece) > WINDOW else [piece] for piece in pieces]
+        made = iter(self._contracted([segment for segments in cut for segment in segments]))
+        tokens, doubtful = [], []
+        for segments in cut:
+            parts = [next(made) for _ in segments]
+            tokens.append(np.concatenate(parts))
+            # Places of bytes between tokens that are in question, and how many tokens on each side a window takes.
+            doubtful.append({SEGMENT * i: 2 for i in range(1, len(segments))})
+        fits: dict[tuple[int, int], bool] = {}
+        while any(doubtful):
+            ends = [np.cumsum(self.sizes[t]) for t in tokens]
+            asked = {}
+            for i, places in enumerate(doubtful):
+                for place in places:
+                    at = int(np.searchsorted(ends[i], place))
+                    pair = (int(tokens[i][at]), int(tokens[i][at + 1]))
+                    if pair not in fits:
+                        asked[pair] = self.raw[pair[0]] + self.raw[pair[1]]
+            for (pair, _), ids in zip(asked.items(), self._contracted(list(asked.values())), strict=True):
+                fits[pair] = ids.tolist() == list(pair)
+            windows = []
+            for i, places in enumerate(doubtful):
+                for place in sorted(places):
+                    at = int(np.searchsorted(ends[i], place))
+                    if fits[int(tokens[i][at]), int(tokens[i][at + 1])]:
+                        continue
+                    wide = places[place]
+                    lo, hi = max(0, at + 1 - wide), min(len(tokens[i]), at + 1 + wide)
+                    if windows and windows[-1][0] == i and windows[-1][2] >= lo:
+                        windows[-1] = (i, min(lo, windows[-1][1]), max(hi, windows[-1][2]), max(wide, windows[-1][3]))
+                    else:
+                        windows.append((i, lo, hi, wide))
+            doubtful = [{} for _ in pieces]
+            bounds = [(int(ends[i][lo - 1]) if lo else 0, int(ends[i][hi - 1])) for i, lo, hi, _ in windows]
+            again = self._contracted([pieces[i][a:b] for (i, _, _, _), (a, b) in zip(windows, bounds, strict=True)])
+            spliced: dict[int, list[np.ndarray]] = {}
+            done: dict[int, int] = {}
+            for (i, lo, hi, wide), (a, b), ids in zip(windows, bounds, again, strict=True):
+                spliced.setdefault(i, []).extend([tokens[i][done.get(i, 0) : lo], ids])
+                done[i] = hi
+                doubtful[i] |= {place: 2 * wide for place in (a, b) if 0 < place < len(pieces[i])}
+            for i, parts in spliced.items():
+                tokens[i] = np.concatenate([*parts, tokens[i][done[i] :]])
+        return [t.astype("<u4").tobytes() for t in tokens]
+
+    def _by_rank(self, pieces: list[bytes]) -> list[bytes]:
         parts, owner = [], []
         for i, piece in enumerate(pieces):
             raw = np.frombuffer(piece, np.uint8)
