@@ -4,7 +4,7 @@ The listed hosts go into the first filter. Over the corpus's complete universe o
 parent domains) the keys that pass it without being listed are its false positives and go into the second filter; the
 listed keys that pass that one go into the third, and so on until nothing passes wrongly. A key of the universe is
 listed exactly if the first level that rejects it is an even one (the second, fourth ...). So membership needs no join, only the
-bits of a few small filters, which are literals in the plan.
+bits of a few small filters, each one binary value in the plan, however many keys it holds.
 
 Filters of more than ``max_words`` words (a million keys) aren't sent out whole: keys are dealt by hash to as many parts
 as keep each part's first filter below it, and urls are judged by ``parts_a_pass`` of them at a time over a written table
@@ -20,6 +20,7 @@ judged alike; other columns pass by.
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,27 +63,29 @@ def _bits(key: Column, level: int, words: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(level * HASHES + j), key), F.lit(64 * words)) for j in range(HASHES)]
 
 
-def _fill(found: DataFrame, level: int, words: int) -> list[int]:
-    """The words of a filter with the keys of ``found``; what reaches the driver is bounded by ``words``."""
+def _fill(found: DataFrame, level: int, words: int) -> bytes:
+    """A filter with the keys of ``found``, 64 bits a word; what reaches the driver is bounded by ``words``."""
     bits = found.select(F.explode(F.array(*_bits(F.col("key"), level, words))).alias("bit"))
     filled = bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
     out = [0] * words
     for r in filled.collect():
         out[r.word] = r.mask
-    return out
+    return struct.pack(f"<{words}q", *out)
 
 
-def _passes(key: Column, level: int, words: list[int]) -> Column:
-    held = F.lit(words).cast("array<bigint>")
+def _passes(key: Column, level: int, bits: bytes) -> Column:
+    """Whether a filter, one binary value in the plan, has all of a key's bits."""
+    held = F.lit(bytearray(bits))
     hit = F.lit(True)
-    for bit in _bits(key, level, len(words)):
-        hit = hit & (F.getbit(F.get(held, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1)
+    for bit in _bits(key, level, len(bits) // 8):
+        byte = F.ascii(F.decode(F.substring(held, F.floor(bit / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+        hit = hit & (F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1)
     return hit
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> list[list[int]]:
+def build_cascade(universe: DataFrame, listed: DataFrame) -> list[bytes]:
     """Filters, each over keys that the one before passes wrongly. Both frames are written tables of distinct ``key``."""
-    levels: list[list[int]] = []
+    levels: list[bytes] = []
     wanted, others, n = listed, None, listed.count()
     while n and len(levels) < MAX_LEVELS:
         level = len(levels)
@@ -98,7 +101,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> list[list[int]]:
     return levels
 
 
-def listed_by(cascade: list[list[int]], key: Column) -> Column:
+def listed_by(cascade: list[bytes], key: Column) -> Column:
     """True if the first level that rejects the key is the second, fourth ...; or none does and their number is odd."""
     out = F.lit(len(cascade) % 2 == 1)
     for level in reversed(range(len(cascade))):
@@ -106,7 +109,7 @@ def listed_by(cascade: list[list[int]], key: Column) -> Column:
     return out
 
 
-def _in_parts(cascades: dict[int, list[list[int]]], dealt):
+def _in_parts(cascades: dict[int, list[bytes]], dealt):
     """Whether the part that a key is dealt to lists it."""
 
     def listed(key: Column) -> Column:
