@@ -15,12 +15,13 @@ def fold(doc_id, folds: int) -> F.Column:
 def sample_labelled(documents: DataFrame, labels: DataFrame, label: str, keep, per_class: int, max_bytes: int) -> list[Row]:
     """(doc_id, text, y) of up to ``per_class`` labelled rows a class, the first in the order of a hash of the id.
 
-    ``keep`` is the condition on labelled ids that a fit may use. Ids are chosen before any text moves, twice the sample,
-    to allow for rows that are absent or of more than ``max_bytes``, which are left out of the fit (never out of the
-    scoring); so at most ``4 * per_class * max_bytes`` reach the driver.
+    ``keep`` is the condition on labelled ids that a fit may use. Ids are chosen among those of
+    documents before any text moves, twice the sample, to allow for rows of more than ``max_bytes``, which are left out of
+    the fit (never out of the scoring); so at most ``4 * per_class * max_bytes`` reach the driver, unless ids repeat.
     """
     spark = documents.sparkSession
     known = labels.select(F.col("doc_id"), F.col(label).alias("y")).filter(keep & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).distinct()
+    known = known.join(documents.select("doc_id"), "doc_id", "left_semi")
     chosen = [tuple(r) for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()]
     ids = spark.createDataFrame(chosen, "doc_id long, y int")
     text = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
