@@ -164,10 +164,11 @@ class Codec:
         start = self._start(pieces)  # noqa: F841
         out = self.db.execute(SHORT_SQL).to_arrow_table().combine_chunks()
         ids = out.column("ids").chunk(0)
-        flat, offsets = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+        # Each piece's ids lie side by side in one buffer.
+        raw, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (4 * np.cumsum(ids.value_lengths().to_numpy())).tolist()
         found: list[bytes] = [b""] * len(pieces)
-        for w, a, b in zip(out.column("w").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-            found[w] = flat[a:b].tobytes()
+        for w, a, b in zip(out.column("w").to_pylist(), [0, *ends], ends, strict=False):
+            found[w] = raw[a:b]
         return found
 
     def _contracted(self, parts: list[bytes]) -> list[np.ndarray]:
@@ -250,27 +251,25 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of pieces into the cache; only pieces that aren't tokens themselves need a query."""
-        short, long = [], []
+        names, ids, todo = [], [], []
         for piece in pieces:
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                self._hold(piece, rank.to_bytes(4, "little"))
+                names.append(piece)
+                ids.append(rank.to_bytes(4, "little"))
             else:
-                (long if len(raw) > LONG_PIECE else short).append((piece, raw))
-        for group, contract in ((short, self._short), (long, self._long)):
-            lo = 0
+                todo.append((piece, raw))
+        self._hold(names, ids)
+        for contract, group in ((self._short, [x for x in todo if len(x[1]) <= LONG_PIECE]), (self._long, [x for x in todo if len(x[1]) > LONG_PIECE])):
+            ends, lo = np.cumsum([len(raw) for _, raw in group]), 0
             while lo < len(group):
-                hi, size = lo, 0
-                while hi < len(group) and (hi == lo or size + len(group[hi][1]) <= QUERY_BYTES):
-                    size += len(group[hi][1])
-                    hi += 1
-                for (piece, _), ids in zip(group[lo:hi], contract([raw for _, raw in group[lo:hi]]), strict=True):
-                    self._hold(piece, ids)
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + QUERY_BYTES, "right")))
+                self._hold([piece for piece, _ in group[lo:hi]], contract([raw for _, raw in group[lo:hi]]))
                 lo = hi
 
-    def _hold(self, piece: str, ids: bytes) -> None:
-        self.cache[piece] = ids
-        self.held += ENTRY_BYTES + len(piece) + len(ids)
+    def _hold(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.cache.update(zip(pieces, ids, strict=True))
+        self.held += ENTRY_BYTES * len(pieces) + sum(map(len, pieces)) + sum(map(len, ids))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
