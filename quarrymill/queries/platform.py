@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import text as T
 from quarrymill.operators import chunking, grammar, trees
 from quarrymill.plans import providers
-from quarrymill.sources import store, walk
+from quarrymill.sources import ignores, store, walk
 from quarrymill.sources.tables import EXTENSIONS, FILES_SQL, files, load
 from quarrymill.streaming import changes, health
 
@@ -112,6 +112,24 @@ def _(spark, d):
     return files(spark, d).select("doc_id", walk.ignored(c("path"), _IGNORE).alias("ignored"))
 
 
+#: Ignore files of a project whose topmost folders are languages: its own, those of two languages, those of folders of tests and sources.
+_ROOT_RULES, _EN_RULES, _SRC_RULES = "# caches\n*.lock\n.cache/\ntests/\n/fr/**/doc_1*", "!tests/\n*.bin", "/test_*\n!doc_[0-4]*.lock"
+
+
+@query("s1_nested_ignores", rf"""WITH f AS (SELECT doc_id, lang, string_split(path, '/')[-2] AS folder, string_split(path, '/')[-1] AS name FROM ({FILES_SQL}))
+    SELECT doc_id, CASE WHEN folder = '.cache' THEN true WHEN folder = 'tests' AND lang <> 'en' THEN true
+        WHEN folder = 'tests' AND ends_with(name, '.lock') THEN false WHEN lang = 'en' AND ends_with(name, '.bin') THEN true
+        WHEN folder = 'src' AND lang = 'de' AND regexp_matches(name, '^doc_[0-4].*\.lock$') THEN false WHEN folder = 'src' AND lang = 'de' AND starts_with(name, 'test_') THEN true
+        WHEN lang = 'fr' AND starts_with(name, 'doc_1') THEN true ELSE ends_with(name, '.lock') END AS ignored FROM f""")
+def _(spark, d):
+    """Rules of four depths: some take back what those above ignore, which has no effect below an ignored folder."""
+    tree = files(spark, d).select("doc_id", F.concat_ws("/", "lang", "path").alias("path"), F.concat_ws("/", "lang", "source").alias("top"), "lang")
+    tops = tree.select("top", "lang").distinct()
+    held = [(F.lit(".ignore"), F.lit(_ROOT_RULES)), (F.lit("en/.ignore"), F.lit(_EN_RULES)), (F.concat("top", F.lit("/tests/.ignore")), F.lit("!*.lock")), (F.concat("top", F.lit("/src/.ignore")), F.when(c("lang") == "de", _SRC_RULES))]
+    rules = tops.select(F.explode(F.array(*[F.struct(at.alias("path"), text.alias("text")) for at, text in held])).alias("held")).select("held.*").distinct()
+    return ignores.mark_ignored(tree.select("doc_id", "path"), rules).select("doc_id", "ignored")
+
+
 @query("f27_watch_filters", f"SELECT doc_id FROM ({FILES_SQL}) WHERE NOT list_has_any(string_split(path, '/')[1:-2], {walk.EXCLUDED_FOLDERS}) AND (ends_with(path, '.py') OR ends_with(path, '.md')) AND NOT regexp_matches(string_split(path, '/')[-1], '^test_')")
 def _(spark, d):
     return changes.watched(files(spark, d), [".py", ".md"], ignored_names=["^test_"]).select("doc_id")
