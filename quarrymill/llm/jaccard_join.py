@@ -43,6 +43,8 @@ from quarrymill.llm.text_kernel import U64, distinct_rows, mixed, released, shin
 FLUSH = 1 << 19
 #: Least number of sets of a shingle in the order table, and its most entries.
 FREQUENT, MOST_FREQUENT = 4, 1 << 21
+#: Sets that a task knows by name, so as not to send equal ones twice; when there are more it begins anew.
+MOST_MET = 1 << 19
 #: Sets of a shingle whose index entries travel as plain rows.
 HOT = 1 << 16
 ENTRIES_PER_SEGMENT = 1 << 21
@@ -74,13 +76,18 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mixed(total[first[1:]] - total[first[:-1]]), mixed(other[first[1:]] - other[first[:-1]])
 
 
-def _new_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(names, offsets, hashes) of the sets of a text column that this task hasn't met."""
+def _new_sets(batches: Iterator[pa.RecordBatch], width: int, most_met: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, offsets, hashes) of the sets of a text column that this task has not met since it last began anew, after ``most_met``.
+
+    A set that comes again is sent again, which shifts the order at most, and which lists hold once.
+    """
     met: set[int] = set()
     for batch in batches:
         for _, _, first, h in sets_of(batch.column(0), width):
             a, _ = signatures(h, first)
             fresh = np.zeros(len(a), bool)
+            if len(met) > most_met:
+                met.clear()
             for i, name in enumerate(a.tolist()):
                 if name not in met:
                     met.add(name)
@@ -115,7 +122,7 @@ def _runs(sorted_names: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return name, list(zip(first, [*first[1:], len(sorted_names)], strict=True))
 
 
-def _counted(segment_bits: int, width: int):
+def _counted(segment_bits: int, width: int, most_met: int):
     """mapInArrow over (text): how many sets new to this task have each shingle; packed, those of one set apart."""
     within = U64(40 - segment_bits)
     low = (U64(1) << within) - U64(1)
@@ -132,7 +139,7 @@ def _counted(segment_bits: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, _, h in _new_sets(batches, width):
+        for _, _, h in _new_sets(batches, width, most_met):
             held.append(_brief(h))
             size += len(h)
             if size >= FLUSH:
@@ -184,7 +191,7 @@ class Order:
         return ~U64(MOST_FREQUENT) + U64(len(self.brief) - self.hot) if self.hot else ~U64(0)
 
 
-def _index(order, segment_bits: int, width: int):
+def _index(order, segment_bits: int, width: int, most_met: int):
     """mapInArrow over (text): packed (shingle, set, size, position) entries of prefixes by segment; of hot ones a row each (segment -1)."""
     shift = U64(64 - segment_bits)
 
@@ -207,7 +214,7 @@ def _index(order, segment_bits: int, width: int):
         table = order.value
         first_hot = table.first_hot()
         held, size = [], 0
-        for a, first, h in _new_sets(batches, width):
+        for a, first, h in _new_sets(batches, width, most_met):
             key = table.keys(h)
             sort_rows(key, first)
             n = np.diff(first)
@@ -361,12 +368,12 @@ def _joined(documents: DataFrame, width: int, id_col: str, text_col: str) -> Dat
     bits = max(8, int(np.ceil(np.log2(max(1, entries) / ENTRIES_PER_SEGMENT))))
     texts = docs.filter("doc_id is not null").select("text")
 
-    counts = scratch.keep(texts.mapInArrow(released(_counted(bits, width)), "segment long, t binary, count binary").groupBy("segment").applyInPandas(_frequent(bits), "brief long, sets long"), "counts")
+    counts = scratch.keep(texts.mapInArrow(released(_counted(bits, width, MOST_MET)), "segment long, t binary, count binary").groupBy("segment").applyInPandas(_frequent(bits), "brief long, sets long"), "counts")
     order = spark.sparkContext.broadcast(_order(counts))  # MOST_FREQUENT entries of 17 bytes
     scratch.drop("counts")
 
     entry = "segment long, t binary, a binary, n binary, p binary"
-    index = texts.mapInArrow(released(_index(order, bits, width)), entry)
+    index = texts.mapInArrow(released(_index(order, bits, width, MOST_MET)), entry)
     listed = "list long, a long, n int, p int, w int"
     if order.value.hot:
         index = scratch.keep(index, "index")

@@ -319,8 +319,8 @@ def components(texts):
     return {i: (len(s[i]), find(i)) for i in range(len(s))}
 
 
-# The defaults; hot shingles and ids that are too many to be sent; an order without a table.
-@pytest.mark.parametrize("limits", [{}, {"HOT": 4, "MOST_SENT": 0}, {"MOST_FREQUENT": 0}])
+# The defaults; hot shingles and ids that are too many to be sent; an order without a table; tasks that forget the sets they met.
+@pytest.mark.parametrize("limits", [{}, {"HOT": 4, "MOST_SENT": 0}, {"MOST_FREQUENT": 0}, {"MOST_MET": 0}, {"MOST_MET": 0, "HOT": 4}])
 def test_near_copies_by_brute_force(spark, monkeypatch, limits):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
