@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from quarrymill.functions import text as T
 from quarrymill.operators import changes, chunking
 
+if TYPE_CHECKING:
+    from quarrymill.plans.providers import Embedder
+
 
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
     """A deterministic stand-in for a model: counts of words by the hash of the word, over Arrow batches."""
@@ -24,8 +28,11 @@ def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
     return embed(text)
 
 
-def index(files: DataFrame, manifest: DataFrame | None, points: DataFrame | None, dense_model: str = "hashed", sparse_model: str = "bm25") -> tuple[DataFrame, DataFrame]:
-    """Points and manifest after indexing files (path, text, language); unchanged files keep their points."""
+def index(files: DataFrame, manifest: DataFrame | None, points: DataFrame | None, dense_model: str = "hashed", sparse_model: str = "bm25", embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points and manifest after indexing files (path, text, language); unchanged files keep their points.
+
+    Vectors are those of ``embedder``, else of the stand-in.
+    """
     now = files.withColumn("content_hash", T.content_hash(F.col("text")))
     if manifest is None:
         todo = now.withColumn("reason", F.lit("new_file"))
@@ -33,7 +40,7 @@ def index(files: DataFrame, manifest: DataFrame | None, points: DataFrame | None
         todo = now.join(changes.detect(now.select("path", "content_hash"), manifest, dense_model, sparse_model).select("path", "reason"), "path").filter("reason <> 'unchanged'")
     chunks = chunking.chunk_files(todo).withColumnRenamed("key", "path")
     chunk_id = F.sha2(F.concat_ws("|", "path", F.col("line_start").cast("string"), F.col("line_end").cast("string"), T.content_hash(F.col("content"))), 256)
-    fresh = chunks.select("path", chunk_id.alias("chunk_id"), "line_start", "line_end", "kind", hashed_embedding(F.col("content")).alias("dense"))
+    fresh = chunks.select("path", chunk_id.alias("chunk_id"), "line_start", "line_end", "kind", (embedder.column if embedder else hashed_embedding)(F.col("content")).alias("dense"))
     if points is None:
         all_points = fresh
     else:

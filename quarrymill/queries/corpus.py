@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import vectors as V
 from quarrymill.operators import batching, changes, chunking, governance, grammar
-from quarrymill.plans import indexing, migration
+from quarrymill.plans import indexing, migration, providers
 from quarrymill.sources import store, walk
 from quarrymill.sources.tables import FILES_SQL, files, load
 from quarrymill.streaming import changes as stream
@@ -229,6 +229,18 @@ def _(spark, d):
     return governance.to_redo(e, e.filter("vec_id % 3 = 0"), "vec_id", c("label") % 2 == 0).select("vec_id", "redo")
 
 
+@query("m8_repaired", "SELECT doc_id AS chunk_id, doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0 AS made FROM documents")
+def _(spark, d):
+    """A collection of which points are missing, without a vector, or with one that is too short: these alone are made."""
+    at = store.PointStore(spark, store.shared_folder(spark, "repair"))
+    chunks = load(spark, d, "documents").select(c("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+    i = c("chunk_id")
+    old = F.when(i % 5 == 0, None).when(i % 7 == 0, F.array_repeat(F.lit(-1.0), 3)).otherwise(F.array_repeat(F.lit(-1.0), 8)).cast("array<float>")
+    at.replace("points", chunks.filter(i % 3 != 0).select(i, old.alias("dense")))
+    migration.repair(at, "points", chunks, providers.HashedEmbedder(8))
+    return at.get("points").filter(~migration.unfit(c("dense"), 8)).select("chunk_id", (F.get("dense", F.lit(0)) >= 0).alias("made"))
+
+
 @query("m9_m10_dimensions", "SELECT vec_id, len(embedding) = 64 AS fits, (SELECT min_by(x, abs(x - len(embedding)) * 10000 + x) FROM (VALUES (16), (48), (128)) t(x))::INT AS resolved FROM embeddings")
 def _(spark, d):
     near = F.array_min(F.transform(F.array(*map(F.lit, (16, 48, 128))), lambda x: F.struct(F.abs(x - F.size("embedding")).alias("gap"), x.alias("x"))))

@@ -6,7 +6,8 @@ from pathlib import Path
 
 import pytest
 
-from quarrymill.plans import providers
+from quarrymill.plans import indexing, migration, providers
+from quarrymill.sources.store import PointStore, shared_folder
 
 
 def test_a_failed_batch_is_halved():
@@ -72,3 +73,24 @@ def test_all_documents_within_the_limit_are_found(spark, limit):
         if used <= limit:
             want.append((i * 7, 0.5 + 0.5 * (i % 3 == 0), tokens))
     assert sorted(found) == sorted(want) and (limit < 100_000 or len(found) == 5000)
+
+
+def test_only_what_is_missing_or_unfit_is_made_anew(spark, tmp_path):
+    store = PointStore(spark, shared_folder(spark, "repair-test"))
+    chunks = spark.createDataFrame([(i, f"text {i % 6}", f"f{i}") for i in range(12)] + [(12, "poison", "p"), (None, "text", "n")], "chunk_id long, text string, path string")
+    held = [(0, "f0", [9.0]), (1, "f1", [float("nan")]), (2, "f2", [1.0, 2.0]), (3, "f3", None), (4, "f4", [9.0]), (5, "f5", []), (6, "f6", [None]), (12, "p", [float("inf")])]
+    store.replace("points", spark.createDataFrame(held, "chunk_id long, path string, dense array<float>"))
+    made = migration.repair(store, "points", chunks, counting(str(tmp_path)), at=f"file://{tmp_path}/made")
+    got = {r.chunk_id: (r.path, r.dense) for r in store.get("points").collect()}
+    assert got == {i: (f"f{i}", [9.0 if i in (0, 4) else 6.0]) for i in range(12)} | {12: ("p", [float("inf")])}
+    assert made.failed.count() == 1
+    asked = [t for p in tmp_path.glob("call-*") for t in p.read_text().split("\n")]
+    assert sorted(asked) == sorted({f"text {i % 6}" for i in range(12) if i not in (0, 4)})
+    before = len(store._state("points")["layers"])
+    migration.repair(store, "points", chunks.filter("chunk_id < 12"), counting(str(tmp_path)), at=f"file://{tmp_path}/again")
+    assert len(store._state("points")["layers"]) == before
+
+
+def test_an_index_takes_the_embedder_it_is_given(spark):
+    files = spark.createDataFrame([("a.txt", "one two", "text")], "path string, text string, language string")
+    assert [len(r.dense) for r in indexing.index(files, None, None, embedder=providers.HashedEmbedder(5))[0].collect()] == [5]
