@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keywords of each intent. The order of intents decides ties.
@@ -66,6 +66,28 @@ def classes(spark) -> DataFrame:
     return spark.createDataFrame(CLASSES, "class string, class_rank int, " + ", ".join(f"{a} double" for a in ASPECTS))
 
 
+#: The rank of what has no class or one that isn't known, and of tokens; operators stand before those.
+LAST_RANK, OPERATOR_RANK = 5, 4
+
+
+def class_rank(name: Column, custom: dict[str, int] | None = None) -> Column:
+    """From 1 (definitions) to 5 (syntax); classes of a deployment's own count before the fixed ones, unknown and null are last."""
+    ranks = {row[0]: row[1] for row in CLASSES} | (custom or {})
+    known = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, name), F.lit(LAST_RANK))
+
+
+def purpose_rank(purpose: Column) -> Column:
+    """The rank of a token by what it is for."""
+    return F.when(purpose == "operator", OPERATOR_RANK).otherwise(LAST_RANK)
+
+
+def ordered_by_rank(things: DataFrame, group: str, key: str, importance: Column, k: int) -> DataFrame:
+    """The first ``k`` things of each group by rank of class, then importance, then key, with ``place`` from 1."""
+    order = Window.partitionBy(group).orderBy(class_rank(F.col("class")), importance.desc_nulls_last(), key)
+    return things.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
 def intent(query: Column) -> Column:
     """A struct of intent, confidence and the number of keywords found anywhere in the query."""
     lower = F.lower(query)

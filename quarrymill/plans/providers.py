@@ -55,6 +55,24 @@ class HashedEmbedder:
         return hashed_embedding(text, self.dimensions)
 
 
+@dataclass(frozen=True)
+class CharacterCounts:
+    """How often a text holds each of so many characters: one number a character, as a column."""
+
+    characters: str
+
+    @property
+    def name(self) -> str:
+        return f"characters:{self.characters}"
+
+    @property
+    def dimensions(self) -> int:
+        return len(self.characters)
+
+    def column(self, text: Column) -> Column:
+        return F.array(*[F.char_length(text) - F.char_length(F.replace(text, F.lit(x), F.lit(""))) for x in self.characters]).cast("array<float>")
+
+
 _WORDS = r"([\p{L}\p{N}_]+)"
 
 
@@ -64,13 +82,22 @@ def _words(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class TermFrequencies:
-    """Each word's share of the text's words."""
+    """Each word's share of the text's words; a text without words has none, null stays null."""
 
     def column(self, text: Column) -> Column:
-        words = F.array_sort(_words(text))
-        empty = F.create_map().cast("map<string,double>")
-        counted = F.aggregate(words, empty, lambda m, w: F.map_concat(F.map_filter(m, lambda k, _: k != w), F.create_map(w, F.coalesce(F.try_element_at(m, w), F.lit(0.0)) + 1.0)))
-        return F.transform_values(counted, lambda _, n: n / F.size(words))
+        # Words and starts are bound as variables, so neither is made anew for each word.
+        bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+
+        def shares(words: Column, starts: Column) -> Column:
+            n = F.size(words)
+            ends = F.transform(starts, lambda at, i: F.coalesce(F.get(starts, i + 1), n) - at)
+            return F.map_from_arrays(F.transform(starts, lambda at: F.get(words, at)), F.transform(ends, lambda k: k / n))
+
+        def counted(words: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+            return F.when(F.size(words) > 0, bound(starts, lambda at: shares(words, at))).when(words.isNotNull(), F.create_map().cast("map<string,double>"))
+
+        return bound(F.array_sort(_words(text)), counted)
 
 
 @dataclass(frozen=True)
@@ -212,6 +239,10 @@ class Providers:
     rerankers: list[Reranker] = field(default_factory=lambda: [TokenOverlap()])
     tokenizer: Tokenizer = field(default_factory=CharacterRatio)
 
+    @property
+    def sparse_name(self) -> str:
+        return getattr(self.sparse, "name", type(self.sparse).__name__)
+
 
 #: Words of a text, and how well a text answers a query, as SQL.
 _SQL_WORDS = r"regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_]+)', 1)"

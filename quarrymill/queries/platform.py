@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
-from quarrymill.operators import chunking, grammar, trees
-from quarrymill.plans import providers
+from quarrymill.operators import chunking, grammar, ranking, trees
+from quarrymill.plans import indexing, providers
 from quarrymill.sources import ignores, store, walk
 from quarrymill.sources.tables import EXTENSIONS, FILES_SQL, files, load
 from quarrymill.streaming import changes, health
@@ -218,6 +218,29 @@ def _(spark, d):
     return grammar.cascade(_grammar_things(spark, d)).select("event_id", F.coalesce("class", F.lit("none")).alias("class"), F.coalesce("stage", F.lit("none")).alias("stage"))
 
 
+_RANKS = {row[0]: row[1] for row in ranking.CLASSES} | {"house_rule": 2}
+_RANKED = ["house_rule", "no_such_class", *[row[0] for row in ranking.CLASSES]]
+
+
+@query("g13_class_rank", f"""WITH t AS (SELECT event_id, CASE WHEN event_id % 29 <> 0 THEN {_RANKED}[event_id % {len(_RANKED)} + 1] END AS class, ['keyword', 'operator', 'literal'][event_id % 3 + 1] AS purpose FROM events)
+    SELECT event_id, coalesce({_case(_RANKS, "class").replace("'1'", "1").replace("'2'", "2").replace("'3'", "3").replace("'4'", "4").replace("'5'", "5")}::INT, 5) AS rank, CASE purpose WHEN 'operator' THEN 4 ELSE 5 END AS token_rank FROM t""")
+def _(spark, d):
+    """The rank of every class, of one that a deployment adds, of one that isn't known and of none."""
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (c("event_id") % len(values)).cast("int"))
+    name = F.when(c("event_id") % 29 != 0, pick(_RANKED))
+    return load(spark, d, "events").select("event_id", ranking.class_rank(name, {"house_rule": 2}).alias("rank"), ranking.purpose_rank(pick(["keyword", "operator", "literal"])).alias("token_rank"))
+
+
+@query("g13_first_things", f"""WITH t AS (SELECT user_id, event_id, {_RANKED}[event_id % {len(_RANKED)} + 1] AS class, value FROM events),
+    r AS (SELECT *, coalesce({_case(_RANKS, "class")}::INT, 5) AS rank FROM (SELECT * FROM t WHERE class <> 'house_rule'))
+    SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY rank, value DESC NULLS LAST, event_id) AS place FROM r QUALIFY place <= 3""")
+def _(spark, d):
+    """The first three things of each user by rank of class and importance."""
+    name = F.get(F.array(*map(F.lit, _RANKED)), (c("event_id") % len(_RANKED)).cast("int"))
+    things = load(spark, d, "events").select("user_id", "event_id", name.alias("class"), "value").filter("class <> 'house_rule'")
+    return ranking.ordered_by_rank(things, "user_id", "event_id", c("value"), 3).select("user_id", "event_id", "place")
+
+
 # Health.
 
 
@@ -270,6 +293,22 @@ def _(spark, d):
     return spark.sql("SELECT chunk_id, round(score, 6) AS score, tokens FROM find_code('the old river and the town', 4000, array('en', 'de'))")
 
 
+#: Texts of one line without marks of structures, each of which is one chunk.
+_FLAT = r"[\x20\x09-\x0D:{}()\[\]]+"
+
+
+@query("e9_swapped_providers", rf"""WITH f AS (SELECT doc_id, regexp_replace(text, '{_FLAT}', ' ', 'g') AS t FROM documents WHERE text <> '')
+    SELECT doc_id, 1::BIGINT AS chunks, (length(t) - length(replace(t, 'a', '')))::BIGINT AS a, (length(t) - length(replace(t, 'o', '')))::BIGINT AS o, (length(t) // 3)::BIGINT AS tokens, len(list_distinct({_SQL_WORDS.format('t')}))::BIGINT AS terms FROM f""")
+def _(spark, d):
+    """An index made anew when another embedder and tokenizer are given: every file has the vector and tokens of the new ones."""
+    rows = load(spark, d, "documents").filter("text <> ''").select(c("doc_id").cast("string").alias("path"), F.regexp_replace("text", _FLAT, " ").alias("text"), F.lit("text").alias("language"))
+    points, manifest = indexing.index(rows, None, None, providers=providers.Providers(embedder=providers.CharacterCounts("et")))
+    swapped = providers.Providers(embedder=providers.CharacterCounts("ao"), tokenizer=providers.CharacterRatio(3.0))
+    points = indexing.index(rows, manifest, points, providers=swapped)[0]
+    sums = [F.sum(x).cast("long").alias(n) for n, x in (("a", F.get("dense", F.lit(0))), ("o", F.get("dense", F.lit(1))), ("tokens", c("tokens")), ("terms", F.size("sparse")))]
+    return points.groupBy(c("path").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"), *sums)
+
+
 @query("v21_embed_once", "SELECT doc_id AS chunk_id, sha256(text) AS content_hash, count(*) OVER (PARTITION BY text) AS uses FROM documents")
 def _(spark, d):
     """Every document has the vector of its content, which is made once."""
