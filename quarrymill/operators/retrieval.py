@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,8 +50,38 @@ def _exactly(metric: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
         return product / (np.sqrt((x * x).sum()) * np.sqrt((p * p).sum(axis=1)))
 
 
-def _nearest(held, k: int, metric: str, same: bool):
-    """mapInArrow over (chunk_id, dense): this batch's best ``k`` of each query."""
+#: Points of a batch, in units of k, that are rescored first to tell which others can still be among the best.
+FIRST = 4
+
+
+def _reach(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each query the largest cosine that a vector with the signs of each row of ``p`` can have."""
+    squares, up = q * q, (p > 0).astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.sqrt(((squares * (q > 0)) @ up.T + (squares * (q <= 0)) @ (1 - up).T) / squares.sum(axis=1)[:, None])
+
+
+def _rescored(q: np.ndarray, p: np.ndarray, own: list[int | None], k: int) -> np.ndarray:
+    """Cosines of the points whose signs let them be among a query's best ``k`` of this batch; minus infinity for the others."""
+    reach = np.nan_to_num(_reach(q, p), nan=-np.inf)
+    for i, at in enumerate(own):
+        if at is not None:
+            reach[i, at] = -np.inf
+    first = np.argpartition(-reach, min(FIRST * k, len(p)) - 1, axis=1)[:, : FIRST * k]
+    score = np.full(first.shape, -np.inf)
+    for i, at in enumerate(first):
+        score[i] = np.where(np.isfinite(reach[i, at]), np.nan_to_num(_similar("cosine", q[i : i + 1], p[at])[0], nan=-np.inf), -np.inf)
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.full(len(q), -np.inf)
+    open_ = np.isfinite(reach) & (reach >= least[:, None] - 1e-9)
+    asked = np.flatnonzero(open_.any(axis=0))
+    rough = np.full(reach.shape, -np.inf)
+    rough[:, asked] = np.nan_to_num(_similar("cosine", q, p[asked]), nan=-np.inf)
+    rough[~open_] = -np.inf
+    return rough
+
+
+def _nearest(held, k: int, metric: str, same: bool, signs: bool = False):
+    """mapInArrow over (chunk_id, dense): this batch's best ``k`` of each query; with ``signs`` only points whose signs allow it are scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = held.value
@@ -64,7 +94,10 @@ def _nearest(held, k: int, metric: str, same: bool):
             order = np.argsort(np.argsort(np.array(ids.to_pylist()))) if len(ids) else np.zeros(0, int)
             who, at, score = [], [], []
             for lo in range(0, len(q), 256):
-                rough = np.nan_to_num(_similar(metric, q[lo : lo + 256], p), nan=-np.inf) if len(p) else np.zeros((0, 0))
+                if signs and len(p):
+                    rough = _rescored(q[lo : lo + 256], p, [None if same else number.get(x) for x in names[lo : lo + 256]], k)
+                else:
+                    rough = np.nan_to_num(_similar(metric, q[lo : lo + 256], p), nan=-np.inf) if len(p) else np.zeros((0, 0))
                 for i, row in enumerate(rough):
                     if not same and (own := number.get(names[lo + i])) is not None:
                         row[own] = -np.inf
@@ -96,9 +129,15 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, metric: str = "c
     moved. Points without a vector of the queries' length don't take part. ``same`` lets a query find the point of its
     own id.
     """
-    spark = points.sparkSession
     if condition is not None:
         points = points.filter(condition)
+    out = top_k(_scanned(points, queries, lambda held: _nearest(held, k, metric, same)), k, F.col("score"))
+    return out.withColumn("score", -F.col("score")) if metric in V.DISTANCES else out
+
+
+def _scanned(points: DataFrame, queries: DataFrame, kernel: Callable) -> DataFrame:
+    """query_id, chunk_id and score that ``kernel`` keeps of each batch of points, for all blocks of queries."""
+    spark = points.sparkSession
     kinds = dict(points.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
     q = queries.filter(F.size("dense") > 0).select("query_id", F.transform("dense", lambda x: x.cast("double")).alias("_q"), F.size("dense").alias("_n"))
@@ -110,12 +149,9 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, metric: str = "c
             rows = (own if blocks == 1 else own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).collect()  # about QUERY_BLOCK rows
             if rows:
                 held = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r["_q"] for r in rows], np.float64)))
-                part = points.select("chunk_id", "dense").mapInArrow(_nearest(held, k, metric, same), schema)
+                part = points.select("chunk_id", "dense").mapInArrow(kernel(held), schema)
                 found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    out = top_k(found, k, F.col("score"))
-    return out.withColumn("score", -F.col("score")) if metric in V.DISTANCES else out
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def binary_search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -137,6 +173,16 @@ def rescored(hits: DataFrame, points: DataFrame, queries: DataFrame, k: int, met
     return out.withColumn("score", -F.col("score")) if metric in V.DISTANCES else out
 
 
+def rescored_search(points: DataFrame, queries: DataFrame, k: int, same: bool = False) -> DataFrame:
+    """The ``k`` points nearest by cosine, as by ``dense_search``, by signs first and original vectors after.
+
+    The signs of a point bound its cosine with a query. In each batch the points with the highest bounds are rescored, and
+    then all others whose bound reaches the k-th best score; so the result is exact, and neither candidates nor vectors are
+    shuffled: a batch gives its best ``k`` of each query.
+    """
+    return top_k(_scanned(points, queries, lambda held: _nearest(held, k, "cosine", same, signs=True)), k, F.col("score"))
+
+
 def sparse_search(postings: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
     """Dot products of sparse vectors: (chunk_id, term, weight) with (query_id, term, weight), joined on the term."""
     q = query_terms.select("query_id", "term", F.col("weight").alias("_qw"))

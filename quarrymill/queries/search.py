@@ -202,10 +202,7 @@ def _(spark, d):
 
 @query("v18_rescored_search", _dense_sql("cosine", 10).replace("chunk_id, label, round", "chunk_id, round"))
 def _(spark, d):
-    p, q = _points(spark, d).select("chunk_id", "dense"), _asked(spark, d)
-    whole = p.count()
-    rough = Q.binary_search(p, q, whole)  # every point is a candidate, so that the rescored result is the exact one
-    return Q.rescored(rough, p, q, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return Q.rescored_search(_points(spark, d), _asked(spark, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("v19_shortened", f"WITH e AS ({_E}) SELECT vec_id, round(sqrt(list_sum(list_transform(v[1:16], lambda x: x * x))), 6) AS norm16 FROM e")
