@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import vectors as V
+from quarrymill.sources.tables import bounded_batches
 
 #: Most queries that may be sent to every task; more are searched in blocks.
 QUERY_BLOCK = 4096
@@ -208,8 +209,8 @@ class Asked:
     average: float
 
 
-#: Scores (documents times queries) that a task holds at once.
-HELD_SCORES = 2_000_000
+#: Scores (documents times queries) that a task holds at once, and megabytes of words in a batch.
+HELD_SCORES, HELD_WORDS = 2_000_000, 16
 
 
 def _okapi(held, k: int, k1: float, b: float):
@@ -259,6 +260,7 @@ def bm25_search(documents: DataFrame, queries: DataFrame, k: int, key: str = "do
     its task.
     """
     spark = documents.sparkSession
+    bounded_batches(spark, HELD_WORDS)
     n_queries = queries.count()
     blocks = -(-n_queries // QUERY_BLOCK) or 1
     words = tokenised(documents, key, text)

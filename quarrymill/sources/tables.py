@@ -12,6 +12,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, megabytes: int) -> None:
+    """Arrow batches of so many megabytes (or one row), so that a task's memory follows neither its rows nor their texts,
+    unless the cluster's configuration says otherwise."""
+    if not spark.sparkContext.getConf().contains(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, str(megabytes << 20))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the files of a project: path, extension and folder follow from the id."""
     d = load(spark, sf_dir, "documents")

@@ -28,3 +28,13 @@ def test_rescored_search_is_exact(spark):
 def test_rescored_search_joins_no_pairs(spark, sf_dir):
     plan = search.QUERIES["v18_rescored_search"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_batches_are_bounded_by_bytes(spark, sf_dir):
+    from quarrymill.queries import platform
+    from quarrymill.sources.tables import ARROW_BYTES
+
+    for module, name, most in ((search, "v4_bm25", 16 << 20), (platform, "v21_embed_once", 2 << 20), (platform, "e9_swapped_providers", 2 << 20)):
+        spark.conf.unset(ARROW_BYTES)
+        module.QUERIES[name](spark, sf_dir)
+        assert int(spark.conf.get(ARROW_BYTES)) == most
