@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from typing import TYPE_CHECKING
 
@@ -22,8 +23,8 @@ def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        words = texts.fillna("").str.lower().str.findall(r"\w+")
-        return words.map(lambda ws: np.bincount([zlib.crc32(w.encode()) % dimensions for w in ws], minlength=dimensions).astype(np.float32) if ws else np.zeros(dimensions, np.float32))
+        counts = lambda t: np.bincount([zlib.crc32(w.encode()) % dimensions for w in re.findall(r"\w+", t.lower())], minlength=dimensions)
+        return texts.fillna("").map(lambda t: counts(t).astype(np.float32))  # the words of one text at a time
 
     return embed(text)
 

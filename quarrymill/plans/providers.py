@@ -17,6 +17,7 @@ from quarrymill.functions import text as T
 from quarrymill.operators import retrieval
 from quarrymill.operators.batching import RANGES, running_batches
 from quarrymill.sources.store import shared_folder
+from quarrymill.sources.tables import bounded_batches
 
 
 class Embedder(Protocol):
@@ -203,6 +204,7 @@ def embed_registered(chunks: DataFrame, registry: DataFrame | None, embedder: Em
     shared folder, and all three tables read it from there, so no reader calls the model again. Failed contents are in no
     registry, so a later run asks for them again; their chunks have no vector.
     """
+    bounded_batches(chunks.sparkSession, 2)
     hashed = chunks.withColumn("content_hash", T.content_hash(F.col("text")))
     fresh = hashed if registry is None else hashed.join(registry.select("content_hash"), "content_hash", "left_anti")
     once = fresh.groupBy("content_hash").agg(F.min("text").alias("text"))
