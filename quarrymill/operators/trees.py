@@ -2,7 +2,7 @@
 
 A node is a row: its file, its place in the walk of the tree (``pre``) and that of its last descendant (``last``), parent, depth, kind,
 text (of a name, a literal or attributes; null where there is none), whether it is named and whether it is a comment,
-the characters it spans and a digest of its subtree. Python code and markup are read into the same table, file by file
+the characters it spans, a digest of its subtree and the kind of its parent (``above``). Python code and markup are read into the same table, file by file
 over Arrow batches; whatever comes after is joins and windows over it.
 
 A pattern is code of the same language. In it ``$A`` stands for one node, ``$$$A`` for any number of neighbours, ``$_`` and
@@ -27,12 +27,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.sources import store
+from quarrymill.sources.tables import bounded_batches
+
 STRICTNESS = ("cst", "smart", "ast", "relaxed", "signature")
-NODE = "file string, pre int, last int, parent int, depth int, kind string, text string, named boolean, comment boolean, start int, end int, digest string"
+NODE = "file string, pre int, last int, parent int, depth int, kind string, text string, named boolean, comment boolean, start int, end int, digest string, above string"
 _FIELDS = NODE.replace(",", "").split()[::2]
+#: Rows that a task gathers before it gives them away; a file's are together.
+HELD_NODES = 20_000
 
 
 @dataclass
@@ -151,14 +157,33 @@ def _rows(root: Node) -> list[tuple]:
 def nodes(files: DataFrame, file: str = "path", text: str = "text", language: str = "markup") -> DataFrame:
     """The node table of all files; a null text has the nodes of an empty one."""
     read = READERS[language]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[x] for x in NODE.replace(",", "").split()[1::2]]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], _FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                walk = _rows(read(body or ""))
+                rows += [(name, pre, last, parent if parent >= 0 else None, depth, n.kind, n.text, n.named, n.comment, n.start, n.end, digest, walk[parent][4].kind if parent >= 0 else None) for pre, last, parent, depth, n, digest in walk]
+                if len(rows) >= HELD_NODES:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, body in pdf.itertuples(index=False, name=None):
-                rows = [(name, pre, last, parent if parent >= 0 else None, depth, n.kind, n.text, n.named, n.comment, n.start, n.end, digest) for pre, last, parent, depth, n, digest in _rows(read(body or ""))]
-                yield pd.DataFrame(rows, columns=_FIELDS).astype({"parent": "Int32"})
+    bounded_batches(files.sparkSession, 2)
+    return files.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text")).mapInArrow(run, NODE)
 
-    return files.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text")).mapInPandas(run, NODE)
+
+def written(tree: DataFrame) -> DataFrame:
+    """The same table, written once to the shared folder, so that several patterns don't read the files anew."""
+    spark = tree.sparkSession
+    place = store.shared_folder(spark, "trees")
+    tree.write.option("compression", "zstd").parquet(place)
+    return spark.read.parquet(place)
 
 
 _META = re.compile(r"\$\$\$([A-Z_][A-Z0-9_]*)?|\$([A-Z_][A-Z0-9_]*)")
@@ -232,7 +257,14 @@ def matches(tree: DataFrame, wanted: Pattern | str, language: str = "markup", st
     everything = strictness == "cst" or strictness == "smart" and has_unnamed(wanted)
     seen = tree if everything else _seen(tree, "ast" if strictness == "smart" else strictness)
     held = F.struct("pre", "kind", "text", "start", "end", "digest")
-    families = seen.filter("parent IS NOT NULL").groupBy("file", F.col("parent").alias("_p")).agg(F.array_sort(F.collect_list(held)).alias("kids"))
+    below = seen.filter("parent IS NOT NULL")
+    if "above" in tree.columns:  # only families of kinds that the pattern has are gathered
+
+        def inner(p: Pattern) -> set[str]:
+            return set().union({p.kind} if p.children else set(), *map(inner, p.children)) - {None}
+
+        below = below.filter(F.col("above").isin(sorted(inner(wanted))))
+    families = below.groupBy("file", F.col("parent").alias("_p")).agg(F.array_sort(F.collect_list(held)).alias("kids"))
     family = families.withColumnRenamed("file", "_f")
     same = lambda at, p: [at["kind"] == p.kind] + ([at["text"] == p.text] if p.text is not None and not (strictness == "signature" and p.leaf) else [])
     out = seen.select("file", "pre", "last", "parent", "depth", "start", "end", F.struct("pre", "kind", "text", "start", "end", "digest").alias("_0"))

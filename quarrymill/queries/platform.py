@@ -335,7 +335,7 @@ def _(spark, d):
 def _(spark, d):
     """The label of every link that is all of a list's item, by a pattern with a variable."""
     pages = load(spark, d, "pages").select(c("page_id").alias("path"), c("html").alias("text"))
-    found = trees.matches(trees.nodes(pages), "<li><a href=$_>$LABEL</a></li>")
+    found = trees.matches(trees.written(trees.nodes(pages)), "<li><a href=$_>$LABEL</a></li>")
     span = c("bound")["LABEL"]
     body = found.join(pages.withColumnRenamed("path", "page_id"), c("file") == c("page_id").cast("string"))
     return body.groupBy("page_id", F.substring("text", span["start"] + 1, span["end"] - span["start"]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -347,7 +347,7 @@ def _(spark, d):
 def _(spark, d):
     """Links inside a navigation, paragraphs of articles that follow one, navigations that precede an article, lists that have a link."""
     pages = load(spark, d, "pages").select(c("page_id").alias("path"), c("html").alias("text"))
-    tree = trees.nodes(pages)
+    tree = trees.written(trees.nodes(pages))
     kind = lambda k: trees.matches(tree, f"<{k}>$$$</{k}>")
     link, nav = trees.matches(tree, "<a href=$_>$$$</a>"), kind("nav")
     parts = {
@@ -366,6 +366,6 @@ def _(spark, d):
 def _(spark, d):
     """Every link of a page becomes its label in brackets, in one pass."""
     pages = load(spark, d, "pages").select(c("page_id").alias("path"), c("html").alias("text"))
-    links = trees.matches(trees.nodes(pages), "<a href=$_>$$$LABEL</a>")
+    links = trees.matches(trees.written(trees.nodes(pages)), "<a href=$_>$$$LABEL</a>")
     done = trees.commit_edits(pages, trees.replacements(links, pages, "[$$$LABEL]"))
     return done.select(c("path").alias("page_id"), T.content_hash(c("text")).alias("html_sha256"), F.size("edited").cast("long").alias("edits"))

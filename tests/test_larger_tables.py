@@ -38,3 +38,15 @@ def test_batches_are_bounded_by_bytes(spark, sf_dir):
         spark.conf.unset(ARROW_BYTES)
         module.QUERIES[name](spark, sf_dir)
         assert int(spark.conf.get(ARROW_BYTES)) == most
+
+
+def test_trees_are_read_once_and_families_pruned(spark, sf_dir):
+    from quarrymill.operators import trees
+    from quarrymill.queries import platform
+
+    for name in ("g8_related_nodes", "g9_bound_links", "g10_edits"):
+        assert "MapInArrow" not in platform.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    page = spark.createDataFrame([("p", "<ul><li><a href=x>one</a></li></ul><p>" + "<b>t</b>" * 50 + "</p>")], "path string, text string")
+    tree = trees.nodes(page)
+    assert {(r.kind, r.above) for r in tree.select("kind", "above").collect()} == {("document", None), ("ul", "document"), ("li", "ul"), ("a", "li"), ("text", "a"), ("p", "document"), ("b", "p"), ("text", "b")}
+    assert trees.matches(tree, "<li><a href=$_>$LABEL</a></li>").count() == trees.matches(tree.drop("above"), "<li><a href=$_>$LABEL</a></li>").count() == 1
