@@ -50,3 +50,12 @@ def test_trees_are_read_once_and_families_pruned(spark, sf_dir):
     tree = trees.nodes(page)
     assert {(r.kind, r.above) for r in tree.select("kind", "above").collect()} == {("document", None), ("ul", "document"), ("li", "ul"), ("a", "li"), ("text", "a"), ("p", "document"), ("b", "p"), ("text", "b")}
     assert trees.matches(tree, "<li><a href=$_>$LABEL</a></li>").count() == trees.matches(tree.drop("above"), "<li><a href=$_>$LABEL</a></li>").count() == 1
+
+
+def test_batches_of_files_hold_few_texts(spark, sf_dir):
+    from quarrymill.queries import platform
+
+    platform.QUERIES["e9_swapped_providers"](spark, sf_dir)
+    files = spark.range(0, 4000, numPartitions=1).selectExpr("id", "repeat('word ', 800) AS text")
+    seen = files.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches), "n long").toPandas().n
+    assert seen.sum() > 16_000_000 and seen.max() < 5 << 20
