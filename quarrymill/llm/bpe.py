@@ -17,8 +17,9 @@ there.
 Decoding joins ids to the vocabulary and strings the bytes together in the order of the ids, per document.
 
 The merge table is the vocabulary's own: a pair's rank is that of its joined bytes. Memory is bounded by slices of
-texts, the pieces of one query and a cache of pieces that is emptied at ``CACHE_BYTES``; a Python worker keeps it for
-its next tasks, and frees it when ``IDLE_SECONDS`` pass without one.
+texts, the pieces of one query and a cache of pieces, of which those not met lately go before it holds ``CACHE_BYTES``; what
+a slice has freed goes back to the system before the next. A Python worker keeps its cache for its next tasks, and frees it
+when ``IDLE_SECONDS`` pass without one.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Texts are never shuffled, so repeated rows,
 ties and other columns have no effect on a row.
@@ -41,10 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.scratch import small_batches
-from quarrymill.llm.text_kernel import give_back, released, slices, text_bytes
+from quarrymill.llm.text_kernel import give_back, released, slices, text_bytes, trim
 
 #: Of pieces and their ids, with what Python adds to each.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 150
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 150
 IDLE_SECONDS = 2.0
 #: Bytes of texts (or one longer text) that are cut at once; the more there are, the more pieces share a query.
 TEXT_BYTES = 1 << 20
@@ -145,11 +146,15 @@ class Codec:
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": pa.array(list(ranks), pa.binary())})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        #: Pieces met since the last turn, and those of the turn before; ``held`` is the size of the first.
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
+        give_back()  # the lists of merges
 
     def close(self) -> None:
         self.cache.clear()
+        self.older.clear()
         self.db.close()
 
     def _start(self, pieces: list[bytes]) -> pa.Table:
@@ -274,11 +279,13 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self.find(t) for t in texts]
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.cache, self.held = self.cache, {}, 0
         fresh: set[str] = set().union(*cut)
         fresh.difference_update(self.cache)
+        known = [piece for piece in fresh if piece in self.older]
+        self._hold(known, [self.older[piece] for piece in known])
+        fresh.difference_update(known)
         self.learn(fresh)
         return [b"".join(map(self.cache.__getitem__, pieces)) for pieces in cut]
 
@@ -349,6 +356,8 @@ def encode_documents(documents: DataFrame, ranks: bytes, pattern: str, id_col: s
                 decoded = codec.decode(ids)
                 columns = {"doc_id": batch.column(0)[lo:hi], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "ids_sha256": pa.array(list(map(digest, ids)), pa.string()), "decoded_sha256": pa.array(list(map(digest, decoded)), pa.string())}
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+                del ids, decoded, columns
+                trim()
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(released(run), "doc_id long, n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string")

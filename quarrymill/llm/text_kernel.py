@@ -20,6 +20,11 @@ U64 = np.uint64
 def give_back() -> None:
     """Returns freed memory to the system; a Python worker lives on after its task, beside those of other stages."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same without a search for cycles, which is cheap enough within a task."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
         ctypes.CDLL(None).malloc_trim(0)

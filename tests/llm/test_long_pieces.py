@@ -58,3 +58,17 @@ def test_merge_order_that_neighbours_cannot_tell(both):
     for n in [3, 4, 5, *range(20, 400, 7)]:
         assert same((codec, library), "".join(rng.choices("abcd", k=n)))
     codec.close()
+
+
+def test_pieces_met_lately_outlast_the_cache(both, monkeypatch):
+    codec, library = both
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 40_000)
+    learned, learn = [], codec.learn
+    monkeypatch.setattr(codec, "learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    rng = random.Random(3)
+    codec.encode([" qzxwvk"])
+    for _ in range(30):
+        text = " qzxwvk" + "".join(" " + "".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(40))
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+        assert codec.held < 40_000
+    assert learned.count(" qzxwvk") == 1 and len(codec.cache) + len(codec.older) < 400
